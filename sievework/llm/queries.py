@@ -1,0 +1,60 @@
+"""The pN_ queries of this subpackage, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.llm import canonical, splitting, tokens
+from sievework.sources.tables import read_table
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies hidden by formatting: the first entry of each set with each other one."""
+    rows = canonical.collapse_formatting(read_table(spark, sf_dir, "entries"))
+    return rows.filter("id <> first").select(F.col("first").alias("first_entry_id"), F.col("id").alias("entry_id"))
+
+
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each set once, with its number of copies."""
+    rows = canonical.collapse_formatting(read_table(spark, sf_dir, "entries"))
+    return rows.filter("id = first").select(F.col("first").alias("first_entry_id"), "copies")
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(read_table(spark, sf_dir, "semantic_chunks"), read_table(spark, sf_dir, "processing_sessions"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that had to be cut."""
+    return _pieces(spark, sf_dir).filter("piece_id = 2").select("session_id", "chunk_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of oversized chunks."""
+    return _pieces(spark, sf_dir)
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids}
+
+_P4 = r"""
+WITH e AS (SELECT DISTINCT entry_id, lower(coalesce(entry_key, '')) AS k, entry_value AS v FROM entries
+           WHERE entry_value IS NOT NULL AND lower(trim(entry_value, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) NOT IN ('', 'null', 'none', 'n/a', 'na', 'nil', 'undefined', 'empty', 'missing', 'unknown', 'blank')),
+b AS (SELECT entry_id, regexp_replace(k, '[^\p{L}\p{N}]+', '', 'g') AS kb, regexp_replace(lower(v), '[^\p{L}\p{N}]+', '', 'g') AS vb,
+             list_filter(regexp_split_to_array(lower(v), '[;|\r\n]+'), lambda x: regexp_matches(x, '\S')) AS parts FROM e),
+f AS (SELECT entry_id, kb, vb, CASE WHEN len(parts) >= 2 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '^[^:]*[^:\s][^:]*:'))) = 0
+             THEN array_to_string(list_sort(list_transform(parts, lambda x: regexp_replace(x[1:instr(x, ':') - 1], '[^\p{L}\p{N}]+', '', 'g') || ':' || regexp_replace(x[instr(x, ':') + 1:], '[^\p{L}\p{N}]+', '', 'g'))), ';') END AS ff
+      FROM b WHERE length(vb) >= 20),
+g AS (SELECT entry_id, coalesce(kb || '#' || min(ff) OVER (PARTITION BY kb, vb), kb || '=' || vb) AS s FROM f),
+h AS (SELECT s, entry_id, min(entry_id) OVER (PARTITION BY s) AS first_entry_id FROM (SELECT DISTINCT s, entry_id FROM g))
+"""
+SQL = {
+    "p4_found": _P4 + "SELECT first_entry_id, entry_id FROM h WHERE entry_id <> first_entry_id",
+    "p4_copies": _P4 + "SELECT first_entry_id, count(*) AS copies FROM h GROUP BY 1 HAVING count(*) > 1",
+    "p6_found": "SELECT DISTINCT c.session_id, c.chunk_id FROM semantic_chunks c JOIN (SELECT session_id, max(chunk_size) AS size FROM processing_sessions GROUP BY 1) s USING (session_id) WHERE length(c.content) > s.size",
+}
