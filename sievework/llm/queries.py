@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import canonical, splitting, tokens
+from sievework.llm import canonical, near_dups, splitting, tokens
 from sievework.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entries that say nearly the same."""
+    pairs = near_dups.near_duplicate_pairs(read_table(spark, sf_dir, "entries"))
+    return pairs.select(F.col("id_a").alias("entry_id_a"), F.col("id_b").alias("entry_id_b"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each eligible entry with its near-duplicate group and its number of links."""
+    rows = near_dups.near_duplicate_groups(read_table(spark, sf_dir, "entries"))
+    return rows.select(F.col("id").alias("entry_id"), F.col("group").alias("group_entry_id"), "links")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies hidden by formatting: the first entry of each set with each other one."""
     rows = canonical.collapse_formatting(read_table(spark, sf_dir, "entries"))
@@ -40,7 +52,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids}
 
 _P4 = r"""
 WITH e AS (SELECT DISTINCT entry_id, lower(coalesce(entry_key, '')) AS k, entry_value AS v FROM entries
