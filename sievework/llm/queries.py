@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import canonical, near_dups, splitting, tokens
+from sievework.llm import canonical, near_dups, splitting, survivorship, tokens, truncation
 from sievework.sources.tables import read_table
 
 
@@ -21,6 +21,26 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("entry_id"), F.col("group").alias("group_entry_id"), "links")
 
 
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = read_table(spark, sf_dir, "entries")
+    return survivorship.survivors(entries, read_table(spark, sf_dir, "extractors"), truncation.truncated(entries))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry each field of each group survives from."""
+    return survivorship.surviving_fields(_survivors(spark, sf_dir))
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record built for each group."""
+    return survivorship.golden_records(read_table(spark, sf_dir, "entries"), _survivors(spark, sf_dir))
+
+
+def p2_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consolidated entries per session beside the recorded count."""
+    return survivorship.consolidation(_survivors(spark, sf_dir), read_table(spark, sf_dir, "entries"), read_table(spark, sf_dir, "processing_sessions"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies hidden by formatting: the first entry of each set with each other one."""
     rows = canonical.collapse_formatting(read_table(spark, sf_dir, "entries"))
@@ -33,6 +53,17 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("id = first").select(F.col("first").alias("first_entry_id"), "copies")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose value was cut off."""
+    return truncation.truncated(read_table(spark, sf_dir, "entries")).select(F.col("id").alias("entry_id"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut entries per source, beside recorded repairs."""
+    entries = read_table(spark, sf_dir, "entries")
+    return truncation.truncation_rates(entries, truncation.truncated(entries), read_table(spark, sf_dir, "processing_sessions"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, sf_dir, "semantic_chunks"), read_table(spark, sf_dir, "processing_sessions"))
 
@@ -52,7 +83,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_copies": p4_copies, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_groups, p2_found, p2_records, p2_consolidation, p4_found, p4_copies, p5_found, p5_rates, p6_found, p6_pieces, p8_ids)
+}
 
 _P4 = r"""
 WITH e AS (SELECT DISTINCT entry_id, lower(coalesce(entry_key, '')) AS k, entry_value AS v FROM entries
