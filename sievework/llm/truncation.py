@@ -295,7 +295,7 @@ def truncated(df: DataFrame, id_col: str = "entry_id", value_col: str = "entry_v
     order = F.floor(F.col("o") / len(FRAMES))
     best = ends.groupBy("id", "cls", "partial").agg(F.min(F.when(F.col("n").isNotNull(), F.struct(order.alias("o"), (-F.col("ends") / F.col("n")).alias("rest")))).alias("b"))
     copies = aligned_classes(values).withColumn("copy", F.lit(True))
-    why = F.when(F.col("copy"), "copy").when(F.col("partial"), "word").when(F.col("b.share") < TERMINALITY, "ending")
+    why = F.when(F.col("copy"), "copy").when(F.col("partial"), "word").when(-F.col("b.rest") < F.when(F.col("b.o") == len(ORDERS) - 1, TERMINALITY_OF_ONE).otherwise(TERMINALITY), "ending")
     rest = best.join(copies, "cls", "left").select("id", why.alias("why")).filter("why is not null")
     return values.filter("state = 'marked'").select("id", F.lit("mark").alias("why")).unionByName(rest).groupBy("id").agg(F.min("why").alias("why"))
 
