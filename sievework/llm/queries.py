@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import canonical, near_dups, splitting, survivorship, tokens, truncation
+from sievework.llm import abuse, canonical, mixing, near_dups, qdigest, splitting, survivorship, tokens, truncation
+from sievework.session import cut
 from sievework.sources.tables import read_table
 
 
@@ -83,9 +84,63 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read_table(spark, sf_dir, "documents"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "sources"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix, texts and all, in order of training position."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixing.laid_out(cut(_mix(spark, sf_dir)), read_table(spark, sf_dir, "documents"), parts)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.shares(_mix(spark, sf_dir), read_table(spark, sf_dir, "sources"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    return _scores(spark, sf_dir).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
+    return _scores(spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of flagged documents per source."""
+    return abuse.rates(read_table(spark, sf_dir, "documents"), _scores(spark, sf_dir))
+
+
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qdigest.build(qdigest.session_times(read_table(spark, sf_dir, "processing_sessions")), ["document_type", "measure", "month", "day"], "seconds")
+
+
+def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of processing times per document type and day."""
+    return qdigest.read(_digests(spark, sf_dir), ["document_type", "measure", "day"])
+
+
+def p3_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per document type and month, from the digests of its days."""
+    keys = ["document_type", "measure", "month"]
+    return qdigest.read(qdigest.merge(_digests(spark, sf_dir), keys), keys)
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements per document type, measure and month, as the merged digests have them."""
+    return qdigest.merge(_digests(spark, sf_dir), ["document_type", "measure", "month"]).select("document_type", "measure", "month", "n")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_records, p2_consolidation, p4_found, p4_copies, p5_found, p5_rates, p6_found, p6_pieces, p8_ids)
+    for f in (p1_found, p1_groups, p2_found, p2_records, p2_consolidation, p3_daily, p3_monthly, p3_counts, p4_found, p4_copies, p5_found, p5_rates, p6_found, p6_pieces, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 
 _P4 = r"""
@@ -100,6 +155,13 @@ g AS (SELECT entry_id, coalesce(kb || '#' || min(ff) OVER (PARTITION BY kb, vb),
 h AS (SELECT s, entry_id, min(entry_id) OVER (PARTITION BY s) AS first_entry_id FROM (SELECT DISTINCT s, entry_id FROM g))
 """
 SQL = {
+    "p3_counts": """
+WITH last AS (SELECT DISTINCT ON (session_id) session_id, document_type, created_ts, chunk_results, total_processing_time FROM processing_sessions
+              WHERE session_id IS NOT NULL ORDER BY session_id, received_ts DESC, coalesce(len(chunk_results), 0) DESC, coalesce(total_processing_time, -1) DESC),
+t AS (SELECT coalesce(nullif(lower(trim(document_type)), ''), 'unknown') AS document_type, strftime(created_ts, '%Y-%m') AS month, chunk_results, total_processing_time FROM last),
+m AS (SELECT document_type, 'total' AS measure, month, total_processing_time AS v FROM t
+      UNION ALL SELECT document_type, 'chunk', month, unnest(list_transform(chunk_results, lambda c: c.processing_time)) FROM t)
+SELECT document_type, measure, month, count(*) AS n FROM m WHERE v >= 0 AND NOT isnan(v) AND NOT isinf(v) GROUP BY 1, 2, 3""",
     "p4_found": _P4 + "SELECT first_entry_id, entry_id FROM h WHERE entry_id <> first_entry_id",
     "p4_copies": _P4 + "SELECT first_entry_id, count(*) AS copies FROM h GROUP BY 1 HAVING count(*) > 1",
     "p6_found": "SELECT DISTINCT c.session_id, c.chunk_id FROM semantic_chunks c JOIN (SELECT session_id, max(chunk_size) AS size FROM processing_sessions GROUP BY 1) s USING (session_id) WHERE length(c.content) > s.size",
