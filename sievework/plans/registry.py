@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.plans import p7
+from sievework.plans import analytics, p7
 
-QUERIES = {**p7.QUERIES}
-SQL = {**p7.SQL}
+QUERIES = {**analytics.QUERIES, **p7.QUERIES}
+SQL = {**analytics.SQL, **p7.SQL}
