@@ -108,7 +108,8 @@ def read_through(texts: list[str]) -> Tokens:
     h = hash_runs(codes, begin, end)
     if len(begin):
         h[np.add.reduceat(star[at].astype(np.int32), np.cumsum(n) - n) > 0] = _MASKED
-    return Tokens(codes, np.searchsorted(own, np.arange(len(texts) + 1)), begin, end, h, own[begin])
+    at = np.searchsorted(own, np.arange(len(texts) + 1))
+    return Tokens(codes, at[:-1], at[1:], begin, end, h, own[begin])
 
 
 @dataclass

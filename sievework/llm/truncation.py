@@ -2,44 +2,69 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sievework.functions.text import bare, is_placeholder, runs
 from sievework.llm.bagminhash import mix
-from sievework.llm.vectext import Tokens, tokenize
+from sievework.llm.vectext import Tokens, bare_hashes, tokenize
+from sievework.session import cut
 
-SHINGLE, BANDS = 5, 12
+SHINGLE, BANDS = 5, 9
 ORDERS = (6, 4, 3, 1)  # tokens of an ending's context, longest first
-#: Vocabulary: words that make up at least this share of records' words; at most (words a record) / share can.
+#: Vocabulary: words that occur in at least this share of records; at most (words a record) / share can.
 VOCABULARY = 1e-4
-#: Words as frequent as this (occurrences per record) stand for themselves in a context, all others for their class. The
-#: coarse reading keeps little but the frame of a sentence, the fine one most of its words; the one that speaks for an end counts.
-FRAMES = (0.004, 0.025)
+#: Words with so many occurrences per record are the frame of sentences and stand for themselves in a context, all others for
+#: their class.
+FRAME = 0.025
 MIN_RUNS = 6
 SEEN, TERMINALITY = 20, 0.1
 #: A last word alone, its context unseen, must end texts even more rarely.
 TERMINALITY_OF_ONE = 0.02
 
-# Marks left at a cut, a decoy that closes a finished text, and closing signs.
-MARK = r"(\.\.\.|…|\[\s*…?\s*(\.\.\.)?\s*\]|\p{L}-|\(cont[a-z.']*\)?)\s*$"
-NOT_A_MARK = r"(?i)\betc\s*(\.+|…)\s*$"
-CLOSED = r"[.!?:;)\]\"'»”’。！？][\s\x{200B}\p{P}]*$"
+# Marks left at a cut, a decoy that closes a finished text, and closing signs; all at a value's end.
+_MARK = re.compile(r"(\.\.\.|…|\[\s*…?\s*(\.\.\.)?\s*\]|[^\W\d_]-|\(cont[a-z.']*\)?)\s*$")
+_NOT_A_MARK = re.compile(r"\betc\s*(\.+|…)\s*$", re.IGNORECASE)
+_CLOSED = re.compile(r"[.!?:;)\]\"'»”’。！？][^\w]*$")
+_TAIL = 40
 _P = np.uint64(0x9E3779B97F4A7C15)
-_CUTS = np.array([ord(x) for x in ".!?;|\n"], np.uint32)
+_CUTS = ".!?;|\n"
+_GAPS = np.zeros(256, np.uint8)
+for _kind, _signs in ((1, ","), (2, ":"), (3, _CUTS)):
+    _GAPS[[ord(x) for x in _signs]] = _kind
+
+
+def state_of(value: str) -> str:
+    """``marked`` if a sign of a cut was left, ``closed`` if the value ends with a closing sign, otherwise ``open``."""
+    tail = value[-_TAIL:]
+    if _MARK.search(tail) and not _NOT_A_MARK.search(tail):
+        return "marked"
+    return "closed" if _CLOSED.search(tail) else "open"
 
 
 def _values(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
-    """id, value, cls (hash of the bare form) and state of each value that can be judged: ``marked``, ``open`` or ``closed``."""
-    v = F.col(value_col)
-    src = df.filter(~is_placeholder(v)).select(F.col(id_col).alias("id"), v.alias("value"))
-    state = F.when(F.regexp_like("value", F.lit(MARK)) & ~F.regexp_like("value", F.lit(NOT_A_MARK)), "marked").when(F.regexp_like("value", F.lit(CLOSED)), "closed").otherwise("open")
-    return src.filter(F.size(runs(F.col("value"))) >= MIN_RUNS).select("id", "value", F.xxhash64(bare(F.col("value"))).alias("cls"), state.alias("state"))
+    """id and value of each record that may have MIN_RUNS words: the last look at lengths is taken where texts are read."""
+    return df.select(F.col(id_col).alias("id"), F.col(value_col).alias("value")).filter(F.length("value") >= 2 * MIN_RUNS - 1)
+
+
+def _judged(rb: pa.RecordBatch) -> tuple[pa.RecordBatch, Tokens]:
+    """The rows of a batch with MIN_RUNS words or more, and their tokens."""
+    tok = tokenize(rb.column("value").to_pylist())
+    keep = np.diff(tok.first()) >= MIN_RUNS
+    if keep.all():
+        return rb, tok
+    return rb.filter(pa.array(keep)), tok.only(keep)
+
+
+def _keys(tok: Tokens, is_open: np.ndarray) -> np.ndarray:
+    """One integer a text: hash of its bare form, then 12 bits for its number of words, then one that says it is open."""
+    n = np.minimum(np.diff(tok.first()), 4095).astype(np.uint64)
+    return ((bare_hashes(tok) & ~np.uint64(8191)) | (n << np.uint64(1)) | is_open.astype(np.uint64)).view(np.int64)
 
 
 # --- near-copies -----------------------------------------------------------------------------------------------------------
@@ -63,7 +88,7 @@ def _shingle_minima(tok: Tokens, bands: int) -> np.ndarray:
     short = n < SHINGLE
     sums = np.add.reduceat(h, first[:-1]) if len(h) else h
     for b in range(bands):
-        low = np.minimum.reduceat(mix(roll ^ mix(np.full(1, b + 1, np.uint64) * _P)), at)
+        low = np.minimum.reduceat(roll * (mix(np.full(1, b + 1, np.uint64)) | np.uint64(1)), at)
         low[short] = mix(sums[short] + np.uint64(b))
         out[:, b] = low
     return out
@@ -71,25 +96,68 @@ def _shingle_minima(tok: Tokens, bands: int) -> np.ndarray:
 
 def _band_rows(bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            if not rb.num_rows:
+        seen: set[int] = set()
+        for whole in batches:
+            rb, tok = _judged(whole)
+            state = np.array([state_of(v) for v in rb.column("value").to_pylist()])
+            key = _keys(tok, state == "open")
+            # Copies combine here: a text that a task has seen gives no more rows. Forgotten at a bound, as copies do no harm.
+            new = np.zeros(len(key), bool)
+            for i in np.unique(key, return_index=True)[1]:
+                k = int(key[i])
+                new[i] = state[i] != "marked" and k not in seen
+                seen.add(k)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if not new.any():
                 continue
-            tok = tokenize(rb.column("value").to_pylist())
             first = tok.first()
             low = _shingle_minima(tok, bands)
             # Copies begin together, so the first two words are part of the bucket.
-            head = mix(tok.hash[first[:-1]] * _P + tok.hash[np.minimum(first[:-1] + 1, first[1:] - 1)])
-            key = mix(low ^ head[:, None] ^ mix(np.arange(1, bands + 1, dtype=np.uint64)))
-            rep = lambda x: np.repeat(np.asarray(x), bands)
-            is_open = pc.not_equal(rb.column("state"), "closed").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rep(rb.column("cls").to_numpy())), pa.array(rep(is_open))], ["bucket", "cls", "open"])
+            head = mix(tok.hash[first[:-1]] * _P + tok.hash[first[:-1] + 1])
+            bucket = mix(low ^ head[:, None] ^ mix(np.arange(1, bands + 1, dtype=np.uint64)))[new]
+            at = pa.array(np.repeat(np.flatnonzero(new), bands))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array(np.repeat(key[new], bands)), rb.column("id").take(at)], ["bucket", "key", "id"])
 
     return run
 
 
-def _words(text: str) -> list[str]:
-    tok = tokenize([text])
-    return [tok.string(i) for i in range(len(tok.begin))]
+def _meet(bucket: np.ndarray, key: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Pairs of an open text with each longer one of its bucket; rows come sorted by bucket and key."""
+    if not len(bucket):
+        return
+    one = np.append(True, (np.diff(bucket) != 0) | (np.diff(key) != 0))
+    bucket, key, ids = bucket[one], key[one], ids.filter(pa.array(one))
+    words, is_open = (key >> 1) & 4095, (key & 1).astype(bool)
+    at = np.arange(len(key))
+    for d in range(1, len(key)):
+        at = at[at + d < len(key)]
+        at = at[bucket[at] == bucket[at + d]]
+        if not len(at):
+            return
+        for a, b in ((at, at + d), (at + d, at)):
+            # The last word of a cut text may be half of one, so an equal number of words is enough.
+            ok = is_open[a] & (words[b] >= words[a]) & ((key[a] >> 13) != (key[b] >> 13))
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[a[ok]]), ids.take(pa.array(a[ok])), ids.take(pa.array(b[ok]))], ["cut", "cut_id", "full_id"])
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: pa.Table | None = None
+    for rb in batches:
+        t = pa.Table.from_batches([rb])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        bucket = t.column("bucket").to_numpy()
+        done = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+        yield from _meet(bucket[:done], t.column("key").to_numpy()[:done], t.column("id").slice(0, done).combine_chunks())
+        held = t.slice(done)
+    if held is not None and held.num_rows:
+        yield from _meet(held.column("bucket").to_numpy(), held.column("key").to_numpy(), held.column("id").combine_chunks())
+
+
+_WORD = re.compile(r"[^\W_]+")
 
 
 def ends_early(cut: str, full: str, similarity: float = 0.8) -> bool:
@@ -98,69 +166,70 @@ def ends_early(cut: str, full: str, similarity: float = 0.8) -> bool:
     The heads must share ``similarity`` of their words; the last complete words of ``cut`` must stand together in ``full``
     with more behind them that continues the last word of ``cut``.
     """
-    a, b = _words(cut), _words(full)
+    a, b = _WORD.findall(cut.lower()), _WORD.findall(full.lower())
     if len(a) < 4 or len(b) < len(a):
         return False
-    tail, part = a[-4:-1], a[-1]
+    one, two, three, part = a[-4:]
+    words = set(a[:-1])
     for at in range(len(b) - 3):
-        if b[at : at + 3] != tail or not b[at + 3].startswith(part):
+        if b[at + 2] != three or b[at + 1] != two or b[at] != one or not b[at + 3].startswith(part):
             continue
-        head = b[: at + 4]
-        shared = len(set(a[:-1]) & set(head))
-        if shared < similarity * max(len(set(a[:-1])), len(set(head)) - 1):
+        head = set(b[: at + 3])
+        if len(words & head) < similarity * max(len(words), len(head)):
             continue
         if b[at + 3] != part:
             return True  # inside a word
-        if at + 4 >= len(b):
-            continue  # both end here
         # A whole word last: early only if the longer copy's sentence goes on behind it.
-        if not _sentence_ends_after(full, at + 3):
+        if at + 4 < len(b) and not _sentence_ends_after(full, at + 3):
             return True
     return False
 
 
 def _sentence_ends_after(text: str, i: int) -> bool:
     """True if the gap behind word ``i`` of ``text`` ends a sentence or a line."""
-    tok = tokenize([text])
-    gap = text[tok.end[i] : tok.begin[i + 1]] if i + 1 < len(tok.begin) else "."
-    return any(x in gap for x in ".!?;|\n")
+    spans = list(_WORD.finditer(text.lower()))
+    gap = text[spans[i].end() : spans[i + 1].start()] if i + 1 < len(spans) else "."
+    return any(x in gap for x in _CUTS)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         c, a, b = (rb.column(x).to_pylist() for x in ("cut", "cut_value", "full_value"))
         hit = [x for x, s, t in zip(c, a, b) if ends_early(s, t)]
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], ["cls"])
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], ["key"])
 
 
-def aligned_classes(values: DataFrame, bands: int = BANDS) -> DataFrame:
-    """``cls`` of the open values that end early against a longer near-copy."""
-    rows = values.filter("state <> 'marked'").select("value", "cls", "state").mapInArrow(_band_rows(bands), "bucket long, cls long, open boolean").distinct()
-    opened = rows.filter("open").select("bucket", F.col("cls").alias("cut"))
-    pairs = opened.join(rows.select("bucket", F.col("cls").alias("full")), "bucket").filter("cut <> full").select("cut", "full").distinct()
-    texts = values.filter("state <> 'marked'").groupBy("cls").agg(F.min_by("value", F.struct(F.when(F.col("state") == "closed", 1).otherwise(0), "value")).alias("value"))
-    both = pairs.join(texts.select(F.col("cls").alias("cut"), F.col("value").alias("cut_value")), "cut")
-    both = both.join(texts.select(F.col("cls").alias("full"), F.col("value").alias("full_value")), "full").filter(F.length("full_value") > F.length("cut_value"))
-    return both.select("cut", "cut_value", "full_value").mapInArrow(_align, "cls long").distinct()
+def aligned(values: DataFrame, bands: int = BANDS) -> DataFrame:
+    """``key`` of the open values that end early against a longer near-copy, each once."""
+    kind = values.schema["id"].dataType.simpleString()
+    rows = values.mapInArrow(_band_rows(bands), f"bucket long, key long, id {kind}")
+    pairs = rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_bucket_pairs, f"cut long, cut_id {kind}, full_id {kind}")
+    pairs = pairs.groupBy("cut", "full_id").agg(F.min("cut_id").alias("cut_id"))
+    text = lambda name: values.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(f"{name}_value"))
+    both = pairs.join(text("cut"), "cut_id").join(text("full"), "full_id")
+    return both.select("cut", "cut_value", "full_value").mapInArrow(_align, "key long").distinct()
 
 
 # --- terminality -----------------------------------------------------------------------------------------------------------
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with the number of their occurrences that are followed by something, summed up per batch."""
-    for rb in batches:
-        tok = tokenize(rb.column("value").to_pylist())
-        inner = np.flatnonzero(np.diff(tok.text, append=-1) == 0)
+    """Words with the number of their occurrences that are followed by something, summed up per batch; '' counts records."""
+    for whole in batches:
+        rb, tok = _judged(whole)
+        inner = np.flatnonzero((np.diff(tok.text, append=-1) == 0) & (tok.codes[tok.begin] > 57)) if len(tok.begin) else np.zeros(0, int)
         _, at, n = np.unique(tok.hash[inner], return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([tok.string(i) for i in inner[at]], pa.string()), pa.array(n)], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(["", *(tok.string(i) for i in inner[at])], pa.string()), pa.array(np.append(rb.num_rows, n).astype(np.int64))], ["word", "n"])
 
 
 def vocabulary(values: DataFrame) -> tuple[dict[str, int], int]:
     """Counts of the words frequent enough (a bounded number, see VOCABULARY) and the number of records, over all records."""
-    total = values.count()
-    rows = values.select("value").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(5.0, VOCABULARY * total)).collect()
-    return {w: n for w, n in rows}, total
+    counts = values.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = F.max(F.when(F.col("word") == "", F.col("n")))
+    counts = cut(counts)
+    size = counts.agg(total).first()[0] or 0
+    rows = counts.filter((F.col("word") != "") & (F.col("n") >= max(5.0, VOCABULARY * size))).collect()
+    return {r.word: r.n for r in rows}, size
 
 
 class Endings:
@@ -172,41 +241,37 @@ class Endings:
         order = np.argsort(tok.hash)
         self.known = tok.hash[order]
         share = np.array([0 if w.isdigit() else vocab[w] / max(total, 1) for w in words])[order] if words else np.zeros(0)
-        self.cls = [np.where(share >= f, self.known, np.uint64(1)) for f in FRAMES]
+        self.cls = np.where(share >= FRAME, self.known, np.uint64(1))
         self.vocab = vocab
         self.prefixes = {w[:i] for w in words if w.isalpha() for i in range(1, len(w))}
 
-    def classes(self, tok: Tokens, frame: int) -> np.ndarray:
+    def classes(self, tok: Tokens) -> np.ndarray:
         """Words of the frame are themselves, other known words one class, unknown ones another, numbers one per length."""
         n = len(tok.hash)
         if n == 0:
             return np.zeros(0, np.uint64)
         at = np.minimum(np.searchsorted(self.known, tok.hash), max(len(self.known) - 1, 0))
         hit = self.known[at] == tok.hash if len(self.known) else np.zeros(n, bool)
-        c = np.where(hit, self.cls[frame][at] if len(self.known) else np.uint64(1), np.uint64(2))
+        c = np.where(hit, self.cls[at] if len(self.known) else np.uint64(1), np.uint64(2))
         digit = (tok.codes[tok.begin] >= 48) & (tok.codes[tok.begin] <= 57)
         c = np.where(digit, np.uint64(10) + np.minimum(tok.end - tok.begin, 4).astype(np.uint64), c)
         # The punctuation before a token is part of it: none, comma, colon, or the start of a sentence or field.
+        kind = _GAPS[np.minimum(tok.codes, len(_GAPS) - 1)]
         gap = np.zeros(n, np.uint64)
-        mark = np.zeros(len(tok.codes) + 1, np.int64)
-        for kind, signs in ((1, ","), (2, ":"), (3, ".!?;|\n")):
-            np.cumsum(np.isin(tok.codes, [ord(x) for x in signs]), out=mark[1:])
-            before = np.concatenate([[0], tok.end[:-1]])
-            gap = np.where(mark[tok.begin] > mark[before], np.uint64(kind), gap)
+        gap[1:] = np.maximum.reduceat(kind, np.stack([tok.end[:-1], tok.begin[1:]], axis=1).ravel())[::2] if n > 1 else 0
         return mix(c * np.uint64(8) + gap)
 
     def all_contexts(self, tok: Tokens) -> Iterator[np.ndarray]:
-        """The contexts of every order, longest first, in every frame."""
-        cls = [self.classes(tok, f) for f in range(len(FRAMES))]
+        """The contexts of every order, longest first."""
+        cls = self.classes(tok)
         for order in ORDERS:
-            for f in range(len(FRAMES)):
-                yield self.contexts(tok, cls[f], order, order * 8 + f)
+            yield self.contexts(tok, cls, order)
 
-    def contexts(self, tok: Tokens, cls: np.ndarray, order: int, seed: int) -> np.ndarray:
+    def contexts(self, tok: Tokens, cls: np.ndarray, order: int) -> np.ndarray:
         """A hash of the last ``order`` tokens at each token; what precedes a text's first token is its beginning."""
         first = tok.first()
         back = np.arange(len(cls)) - first[tok.text]
-        h = np.full(len(cls), seed, np.uint64)
+        h = np.full(len(cls), order, np.uint64)
         for i in range(order):
             prev = np.zeros_like(cls)
             prev[i:] = cls[: len(cls) - i]
@@ -216,38 +281,65 @@ class Endings:
     def terminal(self, tok: Tokens) -> np.ndarray:
         """For each token: a sentence or field ends right behind it (a stop followed by space, or a separator)."""
         codes = tok.codes
-        stop = np.isin(codes, _CUTS)
+        stop = _GAPS[np.minimum(codes, len(_GAPS) - 1)] == 3
         solid = np.zeros(len(codes), bool)
-        solid[:-1] = ~(codes[1:] <= 32) & ~np.isin(codes[1:], _CUTS)
+        solid[:-1] = ~(codes[1:] <= 32) & ~stop[1:]
         dot = (codes == 46) & solid  # a point inside a number or address
         mark = np.concatenate([[0], np.cumsum(stop & ~dot)])
         nxt = np.append(tok.begin[1:], len(codes))
         return mark[nxt] > mark[tok.end]
 
 
-def _context_counts(vocab: dict[str, int], total: int):
+_READ = "ctx long, n long, ends long, id {}, key long, state string, partial boolean, ctxs array<bigint>"
+
+
+def _read(vocab: dict[str, int], total: int, kind: pa.DataType):
+    """One pass over all texts: the counts of their contexts, summed up per task, and what there is to judge of each open or
+    marked one. Rows of the first kind have a context, rows of the second an id's state.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Endings(vocab, total)
         held: list[np.ndarray] = []
 
+        def rows(size: int, **cols) -> pa.RecordBatch:
+            kinds = {"ctx": pa.int64(), "n": pa.int64(), "ends": pa.int64(), "id": kind, "key": pa.int64(), "state": pa.string(), "partial": pa.bool_(), "ctxs": pa.list_(pa.int64())}
+            return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(size, t)) for c, t in kinds.items()], list(kinds))
+
         def sum_up() -> np.ndarray:
             x = np.concatenate(held, axis=1)
             key, at = np.unique(x[0], return_inverse=True)
             return np.vstack([key, np.bincount(at, x[1], len(key)).astype(np.int64), np.bincount(at, x[2], len(key)).astype(np.int64)])
 
-        for rb in batches:
-            tok = tokenize(rb.column("value").to_pylist())
+        def counts() -> pa.RecordBatch:
+            x = sum_up()
+            held.clear()
+            return rows(x.shape[1], ctx=pa.array(x[0]), n=pa.array(x[1]), ends=pa.array(x[2]))
+
+        for whole in batches:
+            rb, tok = _judged(whole)
+            if not rb.num_rows:
+                continue
             end = e.terminal(tok)
             # A text's last token is only evidence where a stop closes it.
             use = (np.diff(tok.text, append=-1) == 0) | _closed_last(tok)
-            for ctx in e.all_contexts(tok):
-                key, at = np.unique(ctx[use], return_inverse=True)
+            ctx = list(e.all_contexts(tok))
+            for c in ctx:
+                key, at = np.unique(c[use], return_inverse=True)
                 held.append(np.vstack([key.view(np.int64), np.bincount(at, minlength=len(key)), np.bincount(at, end[use], len(key)).astype(np.int64)]))
-            if sum(x.shape[1] for x in held) > 2_000_000:
+            if len(held) > 400:
                 held[:] = [sum_up()]
+                if held[0].shape[1] > 1_000_000:
+                    yield counts()
+            state = np.array([state_of(v) for v in rb.column("value").to_pylist()])
+            pick = np.flatnonzero(state != "closed")
+            last = (tok.first()[1:] - 1)[pick]
+            words = [tok.string(i) for i in last]
+            partial = [w.isalpha() and w not in e.vocab and w in e.prefixes for w in words]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(pick) * len(ctx) + 1, len(ctx), dtype=np.int32)), pa.array(np.stack([c[last] for c in ctx], axis=1).ravel().view(np.int64)))
+            yield rows(len(pick), id=rb.column("id").take(pa.array(pick)), key=pa.array(_keys(tok, state == "open")[pick]), state=pa.array(state[pick].tolist(), pa.string()), partial=pa.array(partial, pa.bool_()), ctxs=lists)
         if held:
-            x = sum_up()
-            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2])], ["ctx", "n", "ends"])
+            yield counts()
 
     return run
 
@@ -255,22 +347,8 @@ def _context_counts(vocab: dict[str, int], total: int):
 def _closed_last(tok: Tokens) -> np.ndarray:
     """True for a text's last token with a full stop, question or exclamation mark behind it."""
     last = np.diff(tok.text, append=-1) != 0
-    mark = np.concatenate([[0], np.cumsum(np.isin(tok.codes, [33, 46, 63]))])
-    return last & (mark[tok.starts[tok.text + 1]] > mark[tok.end])
-
-
-def _judge(vocab: dict[str, int], total: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Endings(vocab, total)
-        for rb in batches:
-            tok = tokenize(rb.column("value").to_pylist())
-            last = tok.first()[1:] - 1
-            words = [tok.string(i) for i in last]
-            partial = [w.isalpha() and w not in e.vocab and w in e.prefixes for w in words]
-            ctx = [pa.array(c[last].view(np.int64)) for c in e.all_contexts(tok)]
-            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("cls"), pa.array(partial, pa.bool_()), *ctx], ["id", "cls", "partial", *(f"c{i}" for i in range(len(ctx)))])
-
-    return run
+    mark = np.concatenate([[0], np.cumsum((tok.codes == 33) | (tok.codes == 46) | (tok.codes == 63))])
+    return last & (mark[tok.stops[tok.text]] > mark[tok.end])
 
 
 def truncated(df: DataFrame, id_col: str = "entry_id", value_col: str = "entry_value") -> DataFrame:
@@ -285,19 +363,19 @@ def truncated(df: DataFrame, id_col: str = "entry_id", value_col: str = "entry_v
     no rows.
     """
     values = _values(df, id_col, value_col)
+    kind = values.schema["id"].dataType
     vocab, total = vocabulary(values)
-    counts = values.select("value").mapInArrow(_context_counts(vocab, total), "ctx long, n long, ends long").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).filter(F.col("n") >= SEEN)
-    kind = df.schema[id_col].dataType.simpleString()
-    cols = [f"c{i}" for i in range(len(ORDERS) * len(FRAMES))]
-    opened = values.filter("state = 'open'").select("id", "cls", "value").mapInArrow(_judge(vocab, total), f"id {kind}, cls long, partial boolean, " + ", ".join(f"{c} long" for c in cols))
-    ends = opened.select("id", "cls", "partial", F.posexplode(F.array(*cols)).alias("o", "ctx")).join(counts, "ctx", "left")
-    # The longest order with a context that was seen often enough decides, in the frame that speaks for an end.
-    order = F.floor(F.col("o") / len(FRAMES))
-    best = ends.groupBy("id", "cls", "partial").agg(F.min(F.when(F.col("n").isNotNull(), F.struct(order.alias("o"), (-F.col("ends") / F.col("n")).alias("rest")))).alias("b"))
-    copies = aligned_classes(values).withColumn("copy", F.lit(True))
-    why = F.when(F.col("copy"), "copy").when(F.col("partial"), "word").when(-F.col("b.rest") < F.when(F.col("b.o") == len(ORDERS) - 1, TERMINALITY_OF_ONE).otherwise(TERMINALITY), "ending")
-    rest = best.join(copies, "cls", "left").select("id", why.alias("why")).filter("why is not null")
-    return values.filter("state = 'marked'").select("id", F.lit("mark").alias("why")).unionByName(rest).groupBy("id").agg(F.min("why").alias("why"))
+    read = cut(values.mapInArrow(_read(vocab, total, to_arrow_type(kind)), _READ.format(kind.simpleString())))
+    counts = read.filter("ctx is not null").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).filter(F.col("n") >= SEEN)
+    opened = read.filter("state = 'open'").select("id", "key", "partial", "ctxs").dropDuplicates(["id"])
+    ends = opened.select("id", "key", "partial", F.posexplode("ctxs").alias("o", "ctx")).join(counts, "ctx", "left")
+    # The longest context that was seen often enough decides.
+    best = ends.groupBy("id", "key", "partial").agg(F.min(F.when(F.col("n").isNotNull(), F.struct("o", (F.col("ends") / F.col("n")).alias("share")))).alias("b"))
+    copies = aligned(values).withColumn("copy", F.lit(True))
+    rare = F.col("b.share") < F.when(F.col("b.o") == len(ORDERS) - 1, TERMINALITY_OF_ONE).otherwise(TERMINALITY)
+    why = F.when(F.col("copy"), "copy").when(F.col("partial"), "word").when(rare, "ending")
+    rest = best.join(copies, "key", "left").select("id", why.alias("why")).filter("why is not null")
+    return read.filter("state = 'marked'").select("id", F.lit("mark").alias("why")).unionByName(rest).groupBy("id").agg(F.min("why").alias("why"))
 
 
 def truncation_rates(df: DataFrame, cut: DataFrame, sessions: DataFrame, id_col: str = "entry_id") -> DataFrame:
