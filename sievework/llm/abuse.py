@@ -123,7 +123,15 @@ class Windows:
     pair: np.ndarray  # hashed term of each token with the next one
 
 
-def windows(texts: list[str]) -> Windows:
+def windows(texts: list[str], step: int = 500) -> Windows:
+    """Windows of all texts, read ``step`` texts at a time, so that memory holds little besides the result."""
+    parts = [_windows(texts[i : i + step]) for i in range(0, len(texts), step)] or [_windows([])]
+    base = np.cumsum([0, *(len(p.word) for p in parts)])
+    join = lambda f: np.concatenate([f(i, p) for i, p in enumerate(parts)])
+    return Windows(join(lambda i, p: p.begin + base[i]), join(lambda i, p: p.end + base[i]), join(lambda i, p: p.text + i * step), join(lambda i, p: p.word), join(lambda i, p: p.pair))
+
+
+def _windows(texts: list[str]) -> Windows:
     tok = read_through(texts)
     n = len(tok.hash)
     # A sentence ends at a stop with a space behind it, and at a line break.
@@ -145,7 +153,7 @@ def windows(texts: list[str]) -> Windows:
     tok.hash[digit] = mix(np.minimum(tok.end - tok.begin, 6)[digit].astype(np.uint64))
     mask = np.uint64((1 << BITS) - 1)
     nxt = np.append(tok.hash[1:], np.uint64(0))[:n]
-    return Windows(begin, end, tok.text[begin] if n else begin, (mix(tok.hash) & mask).astype(np.int64), (mix(tok.hash * np.uint64(31) + mix(nxt)) & mask).astype(np.int64))
+    return Windows(begin, end, tok.text[begin] if n else begin, (mix(tok.hash) & mask).astype(np.int32), (mix(tok.hash * np.uint64(31) + mix(nxt)) & mask).astype(np.int32))
 
 
 class Machine:
@@ -157,7 +165,7 @@ class Machine:
         self.w = np.zeros(1 << BITS, np.float32)
         self.p = np.zeros(1 << BITS, np.float32)
         self.v = rng.normal(0, 0.05, (1 << BITS, FACTORS)).astype(np.float32)
-        self.known = np.zeros((2, 1 << BITS), bool)  # words and pairs that several training documents hold
+        self.known = np.ones((2, 1 << BITS), bool)  # words and pairs that several training documents hold
 
     def logits(self, x: Windows) -> np.ndarray:
         """One logit a window, from running sums, so that overlapping windows cost no second look-up."""
@@ -229,18 +237,21 @@ def train(texts: list[str], bad: np.ndarray, rounds: int = 3) -> Machine:
     known = np.zeros((2, 1 << BITS), bool)
     n_bad, n_good = max(1, int(bad.sum())), max(1, int((~bad).sum()))
     # First guess: words and pairs that bad documents share and clean ones lack.
+    first = np.searchsorted(x.text, np.arange(len(texts) + 1))
+    token_text = np.zeros(len(x.word), np.int64)
+    token_text[x.begin[first[:-1]][np.diff(first) > 0]] = 1
+    token_text = np.flatnonzero(np.diff(first) > 0)[np.cumsum(token_text) - 1] if len(x.word) else token_text
     guess = np.zeros(len(x.begin))
     for kind, ids in enumerate((x.word, x.pair)):
-        size = x.end - x.begin
-        own = np.repeat(np.arange(len(size)), size)
-        pos = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(x.begin, size)
-        seen = np.unique(np.stack([x.text[own], ids[pos]]), axis=1)
-        in_bad = np.bincount(seen[1][bad[seen[0]]], minlength=1 << BITS)
-        in_good = np.bincount(seen[1][~bad[seen[0]]], minlength=1 << BITS)
+        seen = np.unique((token_text << BITS) | ids)
+        in_text, term = seen >> BITS, seen & ((1 << BITS) - 1)
+        in_bad = np.bincount(term[bad[in_text]], minlength=1 << BITS)
+        in_good = np.bincount(term[~bad[in_text]], minlength=1 << BITS)
         odds = np.log(np.maximum(in_bad - 1, 0.05) / n_bad) - np.log((in_good + 0.5) / n_good)
         odds = np.where(in_bad >= 2, np.maximum(odds, 0), 0)
         known[kind] = in_bad + in_good >= 2
-        guess += np.bincount(own, odds[ids[pos]], len(size)) / np.maximum(size, 4)
+        run = np.concatenate([[0], np.cumsum(odds[ids])])
+        guess += (run[x.end] - run[x.begin]) / np.maximum(x.end - x.begin, 4)
     clean = np.flatnonzero(~bad[x.text])
     score = guess
     for r in range(rounds):
@@ -283,8 +294,26 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     lab = labels.filter("content_label is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.avg((F.lower(F.trim("content_label")) != "none").cast("int")).alias("bad"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(lab, F.col("id") == F.col("_id"))
-    got = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(limit).select("text", "bad").collect()
-    return train([r.text for r in got], np.array([r.bad >= 0.5 for r in got], bool)) if got else Machine()
+    sample = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(limit).select("text", "bad").coalesce(1)
+    # Fitted in a task, where memory is; what comes back has the fixed size of the tables.
+    got = sample.mapInArrow(_train_task, "bias double, w binary, p binary, v binary").collect()
+    m = Machine()
+    if got:
+        m.bias, m.w, m.p = got[0].bias, np.frombuffer(got[0].w, np.float32), np.frombuffer(got[0].p, np.float32)
+        m.v = np.frombuffer(got[0].v, np.float32).reshape(-1, FACTORS)
+    else:
+        m.v[:] = 0
+    return m
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, bad = [], []
+    for rb in batches:
+        texts += rb.column("text").to_pylist()
+        bad += [b >= 0.5 for b in rb.column("bad").to_pylist()]
+    if texts:
+        m = train(texts, np.array(bad, bool))
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.w, m.p, m.v))], ["bias", "w", "p", "v"])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
