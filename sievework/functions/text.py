@@ -30,10 +30,13 @@ def bare(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), NOT_RUN, "")
 
 
+# One anchored match: it fails at the first character of an ordinary value, whatever its length.
+_PLACEHOLDER = "(?iU)^\\s*(?:" + "|".join(PLACEHOLDERS) + ")?\\s*$"
+
+
 def is_placeholder(c: Column) -> Column:
     """True for null, blank and the words of ``PLACEHOLDERS`` in any letter case."""
-    s = F.lower(strip(c))
-    return c.isNull() | (s == "") | s.isin(PLACEHOLDERS)
+    return c.isNull() | F.regexp_like(c, F.lit(_PLACEHOLDER))
 
 
 def field_form(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.plans import analytics, p7
+from sievework.plans import analytics, documents, p7
 
-QUERIES = {**analytics.QUERIES, **p7.QUERIES}
-SQL = {**analytics.SQL, **p7.SQL}
+QUERIES = {**analytics.QUERIES, **documents.QUERIES, **p7.QUERIES}
+SQL = {**analytics.SQL, **documents.SQL, **p7.SQL}
