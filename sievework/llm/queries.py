@@ -39,7 +39,7 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consolidated entries per session beside the recorded count."""
-    return survivorship.consolidation(_survivors(spark, sf_dir), read_table(spark, sf_dir, "entries"), read_table(spark, sf_dir, "processing_sessions"))
+    return survivorship.consolidation(read_table(spark, sf_dir, "entries"), read_table(spark, sf_dir, "processing_sessions"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +155,10 @@ g AS (SELECT entry_id, coalesce(kb || '#' || min(ff) OVER (PARTITION BY kb, vb),
 h AS (SELECT s, entry_id, min(entry_id) OVER (PARTITION BY s) AS first_entry_id FROM (SELECT DISTINCT s, entry_id FROM g))
 """
 SQL = {
+    "p2_consolidation": """
+WITH m AS (SELECT session_id, regexp_replace(lower(coalesce(entry_key, '')), '[^\\p{L}\\p{N}]+', '', 'g') AS k, count(DISTINCT entry_id) AS n FROM entries WHERE session_id IS NOT NULL GROUP BY 1, 2 HAVING n > 1),
+p AS (SELECT session_id, count(*) AS groups, CAST(sum(n - 1) AS BIGINT) AS consolidated FROM m GROUP BY 1)
+SELECT p.*, (SELECT max(s.dedup_stats.entries_consolidated) FROM processing_sessions s WHERE s.session_id = p.session_id) AS recorded FROM p""",
     "p3_counts": """
 WITH last AS (SELECT DISTINCT ON (session_id) session_id, document_type, created_ts, chunk_results, total_processing_time FROM processing_sessions
               WHERE session_id IS NOT NULL ORDER BY session_id, received_ts DESC, coalesce(len(chunk_results), 0) DESC, coalesce(total_processing_time, -1) DESC),
