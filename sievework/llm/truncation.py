@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from sievework.llm.bagminhash import mix
 from sievework.llm.vectext import Tokens, bare_hashes, tokenize
 from sievework.session import cut
 
-SHINGLE, BANDS = 5, 9
+SHINGLE, BANDS = 5, 8
 ORDERS = (6, 4, 3, 1)  # tokens of an ending's context, longest first
 #: Vocabulary: words that occur in at least this share of records; at most (words a record) / share can.
 VOCABULARY = 1e-4
@@ -160,16 +162,25 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _WORD = re.compile(r"[^\W_]+")
 
 
+@lru_cache(maxsize=4096)
+def _words(text: str) -> tuple[list[str], set[str]]:
+    """The lower-case words of a text, in order and as a set; copies of one text come one after the other."""
+    words = _WORD.findall(text.lower())
+    return words, set(words)
+
+
 def ends_early(cut: str, full: str, similarity: float = 0.8) -> bool:
     """True if ``full`` goes on, inside a sentence, where an alignment of ``cut`` with it ends.
 
     The heads must share ``similarity`` of their words; the last complete words of ``cut`` must stand together in ``full``
     with more behind them that continues the last word of ``cut``.
     """
-    a, b = _WORD.findall(cut.lower()), _WORD.findall(full.lower())
+    (a, _), (b, held) = _words(cut), _words(full)
     if len(a) < 4 or len(b) < len(a):
         return False
     one, two, three, part = a[-4:]
+    if three not in held or two not in held or one not in held:
+        return False
     words = set(a[:-1])
     for at in range(len(b) - 3):
         if b[at + 2] != three or b[at + 1] != two or b[at] != one or not b[at + 3].startswith(part):
@@ -218,18 +229,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         rb, tok = _judged(whole)
         inner = np.flatnonzero((np.diff(tok.text, append=-1) == 0) & (tok.codes[tok.begin] > 57)) if len(tok.begin) else np.zeros(0, int)
-        _, at, n = np.unique(tok.hash[inner], return_index=True, return_counts=True)
+        code, uniq = pd.factorize(tok.hash[inner].view(np.int64))
+        at, n = np.zeros(len(uniq), np.int64), np.bincount(code, minlength=len(uniq))
+        at[code[::-1]] = np.arange(len(code))[::-1]
         yield pa.RecordBatch.from_arrays([pa.array(["", *(tok.string(i) for i in inner[at])], pa.string()), pa.array(np.append(rb.num_rows, n).astype(np.int64))], ["word", "n"])
 
 
 def vocabulary(values: DataFrame) -> tuple[dict[str, int], int]:
     """Counts of the words frequent enough (a bounded number, see VOCABULARY) and the number of records, over all records."""
     counts = values.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("word") == "", F.col("n")))
-    counts = cut(counts)
-    size = counts.agg(total).first()[0] or 0
-    rows = counts.filter((F.col("word") != "") & (F.col("n") >= max(5.0, VOCABULARY * size))).collect()
-    return {r.word: r.n for r in rows}, size
+    size = counts.filter(F.col("word") == "").select(F.col("n").alias("size"))  # one row
+    rows = counts.join(F.broadcast(size)).filter(F.col("n") >= F.greatest(F.lit(5.0), VOCABULARY * F.col("size"))).collect()
+    return {r.word: r.n for r in rows if r.word}, rows[0].size if rows else 0
 
 
 class Endings:
@@ -261,22 +272,19 @@ class Endings:
         gap[1:] = np.maximum.reduceat(kind, np.stack([tok.end[:-1], tok.begin[1:]], axis=1).ravel())[::2] if n > 1 else 0
         return mix(c * np.uint64(8) + gap)
 
-    def all_contexts(self, tok: Tokens) -> Iterator[np.ndarray]:
-        """The contexts of every order, longest first."""
+    def all_contexts(self, tok: Tokens) -> list[np.ndarray]:
+        """A hash of the last tokens at each token, for every order, longest first; before a text's first token is its beginning."""
         cls = self.classes(tok)
-        for order in ORDERS:
-            yield self.contexts(tok, cls, order)
-
-    def contexts(self, tok: Tokens, cls: np.ndarray, order: int) -> np.ndarray:
-        """A hash of the last ``order`` tokens at each token; what precedes a text's first token is its beginning."""
-        first = tok.first()
-        back = np.arange(len(cls)) - first[tok.text]
-        h = np.full(len(cls), order, np.uint64)
-        for i in range(order):
+        back = np.arange(len(cls)) - tok.first()[tok.text]
+        h, found = np.full(len(cls), 7, np.uint64), {}
+        for i in range(max(ORDERS)):
             prev = np.zeros_like(cls)
             prev[i:] = cls[: len(cls) - i]
-            h = mix(h * _P + np.where(back >= i, prev, np.uint64(7)))
-        return h
+            prev[back < i] = 7
+            h = mix(h * _P + prev)
+            if i + 1 in ORDERS:
+                found[i + 1] = h ^ np.uint64(i + 1)
+        return [found[o] for o in ORDERS]
 
     def terminal(self, tok: Tokens) -> np.ndarray:
         """For each token: a sentence or field ends right behind it (a stop followed by space, or a separator)."""
@@ -308,7 +316,7 @@ def _read(vocab: dict[str, int], total: int, kind: pa.DataType):
 
         def sum_up() -> np.ndarray:
             x = np.concatenate(held, axis=1)
-            key, at = np.unique(x[0], return_inverse=True)
+            at, key = pd.factorize(x[0])
             return np.vstack([key, np.bincount(at, x[1], len(key)).astype(np.int64), np.bincount(at, x[2], len(key)).astype(np.int64)])
 
         def counts() -> pa.RecordBatch:
@@ -323,10 +331,10 @@ def _read(vocab: dict[str, int], total: int, kind: pa.DataType):
             end = e.terminal(tok)
             # A text's last token is only evidence where a stop closes it.
             use = (np.diff(tok.text, append=-1) == 0) | _closed_last(tok)
-            ctx = list(e.all_contexts(tok))
+            ctx = e.all_contexts(tok)
             for c in ctx:
-                key, at = np.unique(c[use], return_inverse=True)
-                held.append(np.vstack([key.view(np.int64), np.bincount(at, minlength=len(key)), np.bincount(at, end[use], len(key)).astype(np.int64)]))
+                at, key = pd.factorize(c[use].view(np.int64))
+                held.append(np.vstack([key, np.bincount(at, minlength=len(key)), np.bincount(at[end[use]], minlength=len(key))]))
             if len(held) > 400:
                 held[:] = [sum_up()]
                 if held[0].shape[1] > 1_000_000:
@@ -367,7 +375,7 @@ def truncated(df: DataFrame, id_col: str = "entry_id", value_col: str = "entry_v
     vocab, total = vocabulary(values)
     read = cut(values.mapInArrow(_read(vocab, total, to_arrow_type(kind)), _READ.format(kind.simpleString())))
     counts = read.filter("ctx is not null").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).filter(F.col("n") >= SEEN)
-    opened = read.filter("state = 'open'").select("id", "key", "partial", "ctxs").dropDuplicates(["id"])
+    opened = read.filter("state = 'open'").select("id", "key", "partial", "ctxs")
     ends = opened.select("id", "key", "partial", F.posexplode("ctxs").alias("o", "ctx")).join(counts, "ctx", "left")
     # The longest context that was seen often enough decides.
     best = ends.groupBy("id", "key", "partial").agg(F.min(F.when(F.col("n").isNotNull(), F.struct("o", (F.col("ends") / F.col("n")).alias("share")))).alias("b"))
