@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,14 +19,15 @@ from pyspark.sql.window import Window
 BITS = 32768  # of one of Spark's bitmaps
 
 
-def _and_not(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _and_not(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The codes of the bits that are left of (referred AND NOT (arrived AND NOT removed))."""
-    for pdf in batches:
-        zero = b"\0" * (BITS // 8)
-        grids = [np.frombuffer(b"".join(x if x is not None else zero for x in pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("referred", "arrived", "removed")]
-        left = grids[0] & ~(grids[1] & ~grids[2]) if len(pdf) else np.zeros((0, BITS // 8), np.uint8)
-        row, bit = np.nonzero(np.unpackbits(left, axis=1, bitorder="little"))
-        yield pd.DataFrame({"rng": pdf["rng"].to_numpy()[row], "period": pdf["period"].to_numpy()[row], "code": pdf["base"].to_numpy()[row] + bit + 1})
+    zero = b"\0" * (BITS // 8)
+    for rb in batches:
+        grids = [np.frombuffer(b"".join(x or zero for x in rb.column(c).to_pylist()), np.uint8).reshape(rb.num_rows, BITS // 8) for c in ("referred", "arrived", "removed")]
+        row, bit = np.nonzero(np.unpackbits(grids[0] & ~(grids[1] & ~grids[2]), axis=1, bitorder="little"))
+        at = pa.array(row)
+        code = rb.column("base").to_numpy()[row] + bit + 1
+        yield pa.RecordBatch.from_arrays([rb.column("rng").take(at), rb.column("period").take(at), pa.array(code)], ["rng", "period", "code"])
 
 
 def dictionary(keys: DataFrame, ranges: int) -> DataFrame:
@@ -67,7 +68,7 @@ def orphan_references(children: DataFrame, parents: DataFrame, ranges: int = 64,
         F.expr("bitmap_or_agg(arr) over (partition by rng, base order by period rows between unbounded preceding and 1 preceding)").alias("arrived"),
         F.bitmap_or_agg("rem").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("removed"),
     ).filter("any_ref = 1").drop("any_ref")
-    open_keys = sure.mapInPandas(_and_not, "rng long, period timestamp_ntz, code long").join(codes, ["rng", "code"]).select("key", "period")
+    open_keys = sure.mapInArrow(_and_not, "rng long, period timestamp_ntz, code long").join(codes, ["rng", "code"]).select("key", "period")
 
     rows = kids.join(open_keys, ["key", "period"]).join(held, "key", "left")
     at = F.coalesce("at", last)

@@ -44,15 +44,20 @@ def fold_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def _marked(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """With a watermark, which needs a time with zone (the session's, UTC); as it is without."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else events
+
+
 def event_windows(events: DataFrame, size: str = "1 hour", late: str | None = None, time: str = "ts") -> DataFrame:
     """Events and the sum of their values per tumbling window and type; ``late`` sets the watermark of a stream."""
-    src = events.withWatermark(time, late) if late else events
+    src = _marked(events, time, late)
     g = src.groupBy(F.window(time, size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(20,6)")).cast("double").alias("total"))
     return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """Sessions of each user: events no further apart than ``gap``."""
-    src = events.withWatermark("ts", late) if late else events
+    src = _marked(events, "ts", late)
     g = src.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return g.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "user_id", "n")
