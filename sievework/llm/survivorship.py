@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import bare, is_placeholder
 
-_LATE, _EARLY = F.lit(1 << 62), F.lit(-(1 << 62))
+_LATE, _EARLY = 1 << 62, -(1 << 62)
 
 
 def ranked(entries: DataFrame, trust: DataFrame, cut: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def ranked(entries: DataFrame, trust: DataFrame, cut: DataFrame) -> DataFrame:
     )
     # The extractors are a fixed list, a few rows; a cut flag is one row per cut entry, so that side is shuffled.
     src = src.join(F.broadcast(rank), "extractor", "left").drop("extractor").join(cut.select(F.col("id").alias("entry_id"), F.lit(True).alias("is_cut")), "entry_id", "left")
-    order = [-F.coalesce(F.col("trust_rank").cast("long"), _LATE), F.coalesce("at", _EARLY), -F.col("entry_id")]
+    order = [-F.coalesce(F.col("trust_rank").cast("long"), F.lit(_LATE)), F.coalesce("at", F.lit(_EARLY)), -F.col("entry_id")]
     names = ["trust", "at", "neg_id"]
     tail = [c.alias(n) for c, n in zip(order, names)]
     value = F.when(F.col("size").isNotNull() & F.col("is_cut").isNull(), F.struct(F.col("size").cast("long").alias("size"), *tail))
