@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions import scalars
 from sievework.operators import chunking, consolidate, positions, textmetrics
 from sievework.operators import entries as en
 from sievework.plans.pipeline import extract_documents
 from sievework.sources import llm_output
-from sievework.sources.tables import read_table
+from sievework.sources.tables import expired, read_table
 from sievework.streaming import progress
 
 
@@ -183,7 +184,54 @@ def extraction_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return extract_documents(_docs(spark, d))
 
 
+def field_titles(spark: SparkSession, d: str) -> DataFrame:
+    keys = _entries(spark, d).select("entry_key").unionByName(_literal_keys(spark)).distinct()
+    return keys.select("entry_key", scalars.field_title(F.col("entry_key")).alias("title"))
+
+
+def file_size_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", scalars.file_size_label(F.col("file_size")).alias("label"))
+
+
+def handler_errors(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "semantic_chunks").distinct().filter("error is not null")
+    return c.groupBy(scalars.handler_error(F.col("error")).alias("category")).agg(F.count("*").alias("n"))
+
+
+def fresh_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the last 90 days."""
+    return expired(read_table(spark, d, "performance_metrics").dropDuplicates(["metric_id"])).select("metric_id", "created_ts")
+
+
+def batch_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and failures per batch of five of each session's chunks."""
+    c = _statuses(spark, d)
+    return c.groupBy("session_id", F.floor((F.col("chunk_id") - 1) / 5).cast("int").alias("batch")).agg(F.count("*").alias("chunks"), F.max("failed").alias("any_failed"), F.sum("failed").alias("failed"))
+
+
+def _statuses(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "semantic_chunks").groupBy("session_id", "chunk_id")
+    return c.agg(F.max((F.col("status") == "error").cast("int")).alias("failed"))
+
+
+def recent_completions(spark: SparkSession, d: str) -> DataFrame:
+    """The last three chunks of each session that succeeded, in order."""
+    c = _statuses(spark, d).filter("failed = 0").groupBy("session_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))
+    return c.select("session_id", F.array_join(F.slice("ids", F.greatest(F.lit(1), F.size("ids") - 2), 3).cast("array<string>"), ",").alias("last_chunks"))
+
+
+def entry_problems(spark: SparkSession, d: str) -> DataFrame:
+    e = _entries(spark, d).select("entry_id", F.array_join(scalars.entry_errors(F.col("entry_key"), F.col("entry_value")), ", ").alias("problems"))
+    return e.filter("problems <> ''")
+
+
+def key_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap of the tokens of each entry's key and value."""
+    return _entries(spark, d).select("entry_id", F.bround(scalars.token_jaccard(F.col("entry_key"), F.col("entry_value")), 6).alias("overlap"))
+
+
 _NAMES = (
+    field_titles, file_size_labels, handler_errors, fresh_metrics, batch_stats, recent_completions, entry_problems, key_overlap,
     content_type_counts, word_coverage, content_gaps, fidelity_score, semantic_chunks, chunk_page_ranges, char_chunks, normalize_keys, ordinal_keys, entry_signature,
     validate_entries, exact_key_dedup, truncation_repair, fuzzy_consolidate, dedup_stats, position_order, entry_positions, global_note_row, context_ring, progress_fold,
     logical_sort, error_categories, json_salvage, llm_unnest, field_names, column_visibility, event_windows, event_sessions, extraction_pipeline,
@@ -233,6 +281,15 @@ def _case(lists: dict[str, list[str]], col: str, rest: str) -> str:
 
 
 SQL = {
+    "field_titles": _KEYS + r""", a AS (SELECT entry_key, regexp_replace(regexp_replace(regexp_replace(""" + _strip("entry_key") + r""", '\b\d+[A-Z]?\b', '', 'g'), '^\d+\s*[-:.]?\s*', ''), '\s*[-:.]\s*\d+$', '') AS s FROM k),
+b AS (SELECT entry_key, lower(regexp_replace(regexp_replace(s, '[\s\p{Z}]+', ' ', 'g'), '^[ \-:.,;]+|[ \-:.,;]+$', '', 'g')) AS t FROM a) SELECT entry_key, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS title FROM b""",
+    "file_size_labels": "SELECT doc_id, CASE WHEN file_size <= 0 THEN '0 Bytes' ELSE regexp_replace(printf('%.2f', round_even(file_size / pow(1024.0, p), 2)), '\\.?0+$', '') || ' ' || (['Bytes', 'KB', 'MB', 'GB', 'TB'])[p + 1] END AS label FROM (SELECT doc_id, file_size, least(CAST(floor(log2(greatest(file_size, 1)) / 10) AS INT), 4) AS p FROM documents)",
+    "handler_errors": "SELECT " + _case({f"'{k}'": ws for k, ws in scalars.HANDLER_ERRORS.items()}, "lower(error)", "'SYSTEM'") + " AS category, count(*) AS n FROM (SELECT DISTINCT * FROM semantic_chunks) WHERE error IS NOT NULL GROUP BY 1",
+    "fresh_metrics": "SELECT DISTINCT metric_id, created_ts FROM performance_metrics WHERE created_ts >= (SELECT max(created_ts) FROM performance_metrics) - INTERVAL 90 DAY",
+    "batch_stats": "WITH c AS (SELECT session_id, chunk_id, max(CAST(status = 'error' AS INT)) AS failed FROM semantic_chunks GROUP BY 1, 2) SELECT session_id, CAST((chunk_id - 1) // 5 AS INT) AS batch, count(*) AS chunks, max(failed) AS any_failed, CAST(sum(failed) AS BIGINT) AS failed FROM c GROUP BY 1, 2",
+    "recent_completions": "WITH c AS (SELECT session_id, chunk_id FROM semantic_chunks GROUP BY 1, 2 HAVING max(CAST(status = 'error' AS INT)) = 0), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY chunk_id DESC) AS i FROM c) SELECT session_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) AS last_chunks FROM r WHERE i <= 3 GROUP BY 1",
+    "entry_problems": f"WITH {_E}, a AS (SELECT entry_id, concat_ws(', ', CASE WHEN entry_key IS NULL THEN 'key missing' WHEN length({_strip('entry_key')}) = 0 THEN 'key blank' WHEN length({_strip('entry_key')}) < 2 THEN 'key too short' END, CASE WHEN entry_value IS NULL THEN 'value missing' WHEN length({_strip('entry_value')}) = 0 THEN 'value blank' END) AS problems FROM e) SELECT * FROM a WHERE problems <> ''",
+    "key_overlap": f"WITH {_E}, a AS (SELECT entry_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(entry_key, '')), '\\s+'), lambda t: t <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(entry_value, '')), '\\s+'), lambda t: t <> '')) AS y FROM e) SELECT entry_id, round_even(CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0.0 END, 6) AS overlap FROM a",
     "content_type_counts": "SELECT doc_id, length(t) AS total_characters, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS total_words, len(" + _W3.format("t") + ") AS unique_words, "
     + ", ".join(f"len(regexp_extract_all(t, '{_q(p)}')) AS {n}" for n, p in _CT.items())
     + f", len(list_filter(string_split(t, chr(10) || chr(10)), lambda p: length({_strip('p')}) > 50)) AS paragraphs, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \\t]*[•\\-*][ \\t]+'))) AS bullet_points, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[A-Z][A-Z ]{{5,}}$'))) AS headings FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",

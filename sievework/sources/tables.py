@@ -42,3 +42,23 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     kept = base.join(changes.select(key).distinct(), key, "left_anti")
     single = changes.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(changes.filter(F.col(key).isNull()))
     return kept.unionByName(single, allowMissingColumns=True)
+
+
+def expired(df: DataFrame, time: str = "created_ts", days: int = 90, now=None) -> DataFrame:
+    """Rows younger than ``days`` before ``now`` (a timestamp column; the latest time of ``df`` if not given); null times expire."""
+    if now is not None:
+        return df.filter(F.col(time) >= now - F.expr(f"interval {days} days"))
+    last = df.agg(F.max(time).alias("_now"))
+    return df.crossJoin(F.broadcast(last)).filter(F.col(time) >= F.col("_now") - F.expr(f"interval {days} days")).drop("_now")  # with one row
+
+
+def write_excel(df: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """One sheet, by the driver; a sheet holds at most ``most`` rows, and a table of more raises ValueError. Needs openpyxl."""
+    import importlib.util
+
+    if importlib.util.find_spec("openpyxl") is None:
+        raise RuntimeError("writing xlsx needs openpyxl; write_csv needs nothing")
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows do not fit a sheet")
+    rows.to_excel(path, index=False)
