@@ -43,7 +43,7 @@ def _points(words: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray,
 def signatures(starts: np.ndarray, words: np.ndarray, level: np.ndarray, m: int) -> np.ndarray:
     """Signature (float32, ``m`` columns) of each bag: words ``words[starts[i]:starts[i+1]]`` of weight ``2**-level``.
 
-    Empty bags have infinite components, which agree with nothing by convention. Words of a bag must differ.
+    Empty bags have infinite components, which agree with nothing by convention. Words of a bag must differ and be below 2**60.
     """
     n = len(starts) - 1
     size = np.diff(starts)
@@ -67,26 +67,25 @@ def _fill(docs: np.ndarray, out: np.ndarray, starts: np.ndarray, words: np.ndarr
     k = int(rate + 3 * math.sqrt(rate)) + 4
     late = np.zeros(len(docs), bool)
     size = starts[docs + 1] - starts[docs]
-    for at in range(0, len(docs), max(1, int(3_000_000 / (k * max(1.0, size.mean()))))):
-        part = docs[at : at + max(1, int(3_000_000 / (k * max(1.0, size.mean()))))]
+    step = max(1, int(8_000_000 / (k * max(1.0, size.mean()))))
+    for at in range(0, len(docs), step):
+        part = docs[at : at + step]
         n = starts[part + 1] - starts[part]
         own = np.repeat(np.arange(len(part)), n)
         pos = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[part], n)
-        uniq, which = np.unique(words[pos], return_inverse=True)
-        time, comp, dyad = _points(uniq, k, m)
+        # Visible points of each word at each weight it has here, one after the other.
+        uniq, which = np.unique((words[pos].astype(np.uint64) << np.uint64(4)) | level[pos].astype(np.uint64), return_inverse=True)
+        time, comp, dyad = _points(uniq >> np.uint64(4), k, m)
         end = min(np.float32(until), time[:, -1].min())  # beyond it some word's points are not all known
-        lv = level[pos]
+        see = time <= end
+        see &= dyad >= (uniq & np.uint64(15)).astype(np.uint8)[:, None]
+        count = see.sum(axis=1)
+        first = np.cumsum(count) - count
+        time, comp = time[see], comp[see].astype(np.int32)
+        c = count[which]
+        point = np.arange(c.sum()) + np.repeat(first[which] - (np.cumsum(c) - c), c)
         sig = np.full(len(part) * m, np.inf, np.float32)
-        for full in (True, False):  # most words have full weight and see every point
-            sel = np.flatnonzero(lv == 0) if full else np.flatnonzero(lv > 0)
-            if not len(sel):
-                continue
-            t = time[which[sel]]
-            see = t <= end
-            if not full:
-                see &= dyad[which[sel]] >= lv[sel][:, None]
-            row, _ = np.nonzero(see)
-            np.minimum.at(sig, own[sel][row] * m + comp[which[sel]][see], t[see])
+        np.minimum.at(sig, np.repeat((own * m).astype(np.int32), c) + comp[point], time[point])
         sig = sig.reshape(len(part), m)
         out[part] = sig
         late[at : at + len(part)] = np.isinf(sig).any(axis=1)

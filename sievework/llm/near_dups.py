@@ -3,49 +3,160 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import bare, field_form, is_placeholder, runs
-from sievework.llm.bagminhash import LEVELS, band_keys, signatures
+from sievework.functions.text import is_placeholder
+from sievework.llm.bagminhash import LEVELS, band_keys, mix, signatures
+from sievework.llm.vectext import code_points, hash_runs, is_alnum, tokenize_codes
 from sievework.operators.components import connected_components
+from sievework.session import written
 
 BANDS, ROWS = 26, 5
 #: Words in more than this share of records weigh less: 1 / (share / COMMON), rounded down to a power of two.
 COMMON = 0.01
+_FIELD_BREAKS, _RUN = re.compile(r"[;|\r\n]+"), re.compile(r"[^\W_]+")
 
 
-def records(df: DataFrame, id_col: str, key_col: str, value_col: str, min_runs: int) -> DataFrame:
-    """Per eligible row: ``id``, ``cls`` (hash of the word set, its size in the last 8 bits), ``words`` (sorted 32-bit hashes
-    of the distinct words of key and value), and the two hashes of the bare form, ``plain`` and ``fields``.
+def texts(df: DataFrame, id_col: str, key_col: str, value_col: str, min_runs: int) -> DataFrame:
+    """id, key and value of the rows that may have ``min_runs`` runs of letters and digits in their value."""
+    src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(key_col), F.lit("")).alias("key"), F.col(value_col).alias("value"))
+    return src.filter((F.length("value") >= 2 * min_runs - 1) & ~is_placeholder(F.col("value")))
+
+
+@dataclass
+class Records:
+    """The eligible rows of a batch: which they are, their distinct words one record after the other, and their class (a hash
+    of the set of words, its size in the last 8 bits).
     """
-    k, v = F.coalesce(F.col(key_col), F.lit("")), F.col(value_col)
-    src = df.filter(~is_placeholder(v)).select(F.col(id_col).alias("id"), k.alias("_k"), v.alias("_v"), runs(v).alias("_r"))
-    src = src.filter(F.size("_r") >= min_runs)
-    words = F.array_sort(F.array_distinct(F.transform(F.concat("_r", runs(F.col("_k"))), lambda w: F.hash(w))))
-    src = src.withColumn("words", words)
-    size = F.least(F.size("words"), F.lit(255)).cast("long")
-    cls = F.xxhash64("words").bitwiseAND(F.lit(-256)).bitwiseOR(size)
-    kb = bare(F.col("_k"))
-    fields = field_form(F.col("_v"))
-    return src.select("id", cls.alias("cls"), "words", F.xxhash64(kb, bare(F.col("_v"))).alias("plain"), F.when(fields.isNotNull(), F.xxhash64(kb, fields)).alias("fields"))
 
+    row: np.ndarray
+    starts: np.ndarray
+    words: np.ndarray
+    cls: np.ndarray
+    codes: np.ndarray
+    begin: np.ndarray
+    middle: np.ndarray
+    end: np.ndarray
+
+    def plain(self) -> np.ndarray:
+        """A hash of the bare forms of key and value."""
+        word = is_alnum(self.codes)
+        at = np.concatenate([[0], np.cumsum(word)])
+        chars = self.codes[word]
+        value, key = hash_runs(chars, at[self.begin], at[self.middle]), hash_runs(chars, at[self.middle], at[self.end])
+        return mix(value ^ mix(key)).view(np.int64)
+
+
+def read_records(rb: pa.RecordBatch, min_runs: int) -> Records:
+    """Words are 32 bits of their hash: two words of one pair meet by chance about once in ten million pairs."""
+    values = [v.lower() for v in rb.column("value").to_pylist()]
+    codes, starts = code_points([f"{v}\n{k.lower()}" for v, k in zip(values, rb.column("key").to_pylist())])
+    tok = tokenize_codes(codes, starts)
+    middle = starts[:-1] + np.fromiter(map(len, values), np.int64, len(values))
+    runs = np.bincount(tok.text[tok.begin < middle[tok.text]], minlength=len(values)) if len(tok.text) else np.zeros(len(values), int)
+    ok = runs >= min_runs
+    tok = tok.only(ok)
+    w = (tok.hash >> np.uint64(32)).astype(np.int64)
+    key = np.sort((tok.text << 32) | w)
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key  # distinct words of each record, in order
+    own, w = key >> 32, key & 0xFFFFFFFF
+    first = np.searchsorted(own, np.arange(len(tok.starts) + 1))
+    total = np.add.reduceat(mix(w.astype(np.uint64)), first[:-1]) if len(w) else np.zeros(0, np.uint64)
+    size = np.minimum(np.diff(first), 255).astype(np.uint64)
+    cls = ((mix(total) & ~np.uint64(255)) | size).view(np.int64)
+    return Records(np.flatnonzero(ok), first, w.astype(np.uint32).view(np.int32), cls, codes, starts[:-1][ok], middle[ok], starts[1:][ok])
+
+
+def field_hash(key: str, value: str) -> int | None:
+    """A hash of the bare key and the sorted bare fields of a value that lists several; null for any other value."""
+    if ":" not in value:
+        return None
+    parts = [p for p in _FIELD_BREAKS.split(value.lower()) if p.strip()]
+    if len(parts) < 2 or not all(p.partition(":")[0].strip() and ":" in p for p in parts):
+        return None
+    bare = lambda t: "".join(_RUN.findall(t))
+    fields = sorted(f"{bare(n)}:{bare(v)}" for n, _, v in (p.partition(":") for p in parts))
+    return int.from_bytes(blake2b("\x1f".join([bare(key.lower()), *fields]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def members(src: DataFrame, min_runs: int) -> DataFrame:
+    """id, cls, plain and fields of each eligible row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            r = read_records(rb, min_runs)
+            rb = rb.take(pa.array(r.row))
+            fields = [field_hash(k, v) for k, v in zip(rb.column("key").to_pylist(), rb.column("value").to_pylist())]
+            yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array(r.cls), pa.array(r.plain()), pa.array(fields, pa.int64())], ["id", "cls", "plain", "fields"])
+
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, cls long, plain long, fields long")
+
+
+def word_sets(src: DataFrame, min_runs: int) -> DataFrame:
+    """cls and words of each different set of words among the eligible rows. Copies combine in the task that reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for rb in batches:
+            r = read_records(rb, min_runs)
+            new = np.zeros(len(r.cls), bool)
+            for i in np.unique(r.cls, return_index=True)[1]:
+                c = int(r.cls[i])
+                new[i] = c not in seen
+                seen.add(c)
+            if len(seen) > 1_000_000:  # forgotten at a bound: a copy more does no harm
+                seen.clear()
+            all_sets = pa.ListArray.from_arrays(pa.array(r.starts.astype(np.int32)), pa.array(r.words))
+            yield pa.RecordBatch.from_arrays([pa.array(r.cls[new]), all_sets.filter(pa.array(new))], ["cls", "words"])
+
+    return src.mapInArrow(run, "cls long, words array<int>").groupBy("cls").agg(F.first("words").alias("words"))
 
-def common_words(classes: DataFrame, common: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and levels of the words that more than a share ``common`` of all records hold.
+
+def common_words(src: DataFrame, min_runs: int, common: float = COMMON) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes (sorted) and levels of the words that more than a share ``common`` of all records hold, and the number of records.
 
     Counted over all records; at most (words per record) / ``common`` can pass, some thousand, whatever the size.
     """
-    total = classes.agg(F.count("*").alias("total"))
-    counts = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    rows = counts.join(F.broadcast(total)).filter(F.col("n") > common * F.col("total")).select("w", (F.col("n") / F.col("total")).alias("f")).collect()
-    rows.sort()
-    level = [min(LEVELS, math.ceil(math.log2(f / common))) for _, f in rows]
-    return np.array([w for w, _ in rows], np.int32), np.array(level, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, words, counts, size = 0, [], [], 0
+
+        def sum_up() -> None:
+            at, uniq = pd.factorize(np.concatenate(words))
+            words[:], counts[:] = [uniq], [np.bincount(at, np.concatenate(counts), len(uniq)).astype(np.int64)]
+
+        for rb in batches:
+            r = read_records(rb, min_runs)
+            n += len(r.cls)
+            at, uniq = pd.factorize(r.words)
+            words.append(uniq)
+            counts.append(np.bincount(at, minlength=len(uniq)))
+            size += len(uniq)
+            if size > 1_000_000:
+                sum_up()
+                if len(words[0]) > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(words.pop()), pa.array(counts.pop())], ["w", "n"])
+                size = sum(map(len, words))
+        if words:
+            sum_up()
+            yield pa.RecordBatch.from_arrays([pa.array(words[0]), pa.array(counts[0])], ["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([n])], ["w", "n"])
+
+    counts = src.mapInArrow(run, "w int, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.max(F.when(F.col("w").isNull(), F.col("n"))).alias("total"))  # no filter, so that counts are made once
+    got = counts.join(F.broadcast(total)).filter(F.col("w").isNull() | (F.col("n") > common * F.col("total"))).collect()
+    rows_ = sorted((r.w, r.n / r.total) for r in got if r.w is not None)
+    level = [min(LEVELS, math.ceil(math.log2(f / common))) for _, f in rows_]
+    return np.array([w for w, _ in rows_], np.int32), np.array(level, np.uint8), int(got[0].total) if got else 0
 
 
 def _flat(rb: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +166,7 @@ def _flat(rb: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], col.flatten().to_numpy(zero_copy_only=False)
 
 
-def _bands(hot: np.ndarray, level: np.ndarray, bands: int, rows: int):
+def _bands(hot: np.ndarray, level: np.ndarray, bands: int, rows: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             starts, words = _flat(rb, "words")
@@ -63,10 +174,12 @@ def _bands(hot: np.ndarray, level: np.ndarray, bands: int, rows: int):
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
                 lv = np.where(hot[at] == words, level[at], 0).astype(np.uint8)
-            keys = band_keys(signatures(starts, words.astype(np.int64).view(np.uint64), lv, bands * rows), bands, rows)
+            keys = band_keys(signatures(starts, words.view(np.uint32).astype(np.uint64), lv, bands * rows), bands, rows)
+            keys = (keys.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
             ids = np.repeat(rb.column("cls").to_numpy(), bands)
             full = np.repeat(np.diff(starts) > 0, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[full]), pa.array(ids[full])], ["bucket", "cls"])
+            # The bucket comes last: its leading zeros then stand beside those of the next row and compress with them.
+            yield pa.RecordBatch.from_arrays([pa.array(ids[full]), pa.array(keys.ravel()[full])], ["cls", "bucket"])
 
     return run
 
@@ -102,16 +215,19 @@ def _pairs(similarity: float):
     return run
 
 
-def similar_classes(rows: DataFrame, similarity: float = 0.7, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
-    """Pairs (``a`` < ``b``) of different word sets among ``rows`` (cls, words) whose Jaccard similarity is ``similarity`` or more.
+def similar_classes(src: DataFrame, similarity: float = 0.7, min_runs: int = 12, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """Pairs (``a`` < ``b``) of different word sets among the rows of `texts` whose Jaccard similarity is ``similarity`` or more.
 
     Candidates share a band of BagMinHash components, in which frequent words weigh less, so that records that share only
     their common words seldom meet. Three exact tests follow, cheapest first: set sizes, a 64-bit word map whose
     differing bits count at most the differing words, and the word sets themselves. Equal sets meet once, as one class.
     """
-    classes = rows.groupBy("cls").agg(F.first("words").alias("words"))
-    hot, level = common_words(classes)
-    buckets = classes.mapInArrow(_bands(hot, level, bands, band_rows), "bucket long, cls long")
+    hot, level, n = common_words(src, min_runs)
+    # So many bits that some ten thousand keys in all meet by chance, whatever n: keys are most of what is shuffled, and pairs
+    # that meet by chance fail the exact tests.
+    bits = max(24, min(63, math.ceil(2 * math.log2(max(2, n * bands))) - 15))
+    classes = word_sets(src, min_runs)
+    buckets = classes.mapInArrow(_bands(hot, level, bands, band_rows, bits), "cls long, bucket long")
     cand = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(similarity), "a long, b long")
     cand = cand.repartition("a").distinct()
 
@@ -144,13 +260,12 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "entry_id", key_col: str =
     Rows delivered twice are one record; a record never pairs with itself; empty input gives no rows.
     Result size is what the definition asks for: a hundred variants of a text are 4,950 pairs.
     """
-    rows = records(df, id_col, key_col, value_col, min_runs)
-    links = similar_classes(rows.select("cls", "words"), similarity)
-    # Copies of one bare form are one member with a list-free count here; ids join last.
-    members = rows.select("id", "cls", "plain", "fields").distinct()
-    forms = members.groupBy("cls").agg(F.min("plain").alias("lo"), F.max("plain").alias("hi"))
+    src = texts(df, id_col, key_col, value_col, min_runs)
+    links = similar_classes(src, similarity, min_runs)
+    own = written(members(src, min_runs))  # read three times, made once
+    forms = own.groupBy("cls").agg(F.min("plain").alias("lo"), F.max("plain").alias("hi"))
     within = forms.filter("lo <> hi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    m = lambda s: members.select(*(F.col(c).alias(f"{c}_{s}") for c in members.columns))
+    m = lambda s: own.select(*(F.col(c).alias(f"{c}_{s}") for c in own.columns))
     pairs = links.unionByName(within).join(m("a"), F.col("a") == F.col("cls_a")).join(m("b"), F.col("b") == F.col("cls_b"))
     differ = (F.col("plain_a") != F.col("plain_b")) & ~F.coalesce(F.col("fields_a") == F.col("fields_b"), F.lit(False))
     pairs = pairs.filter(differ & ((F.col("a") != F.col("b")) | (F.col("id_a") < F.col("id_b"))))
@@ -162,12 +277,12 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "entry_id", key_col: str
 
     Groups are connected components of similar word sets; ``group`` is the smallest id in it. Copies need no links.
     """
-    rows = records(df, id_col, key_col, value_col, min_runs)
-    links = similar_classes(rows.select("cls", "words"), similarity)
+    src = texts(df, id_col, key_col, value_col, min_runs)
+    links = similar_classes(src, similarity, min_runs)
     ends = links.select("a", "b")
     roots = connected_components(ends)
     degree = ends.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    members = rows.select("id", "cls").distinct().join(roots, F.col("cls") == F.col("node"), "left").join(degree, "cls", "left")
-    members = members.select("id", F.coalesce("component", "cls").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
-    lead = members.groupBy("c").agg(F.min("id").alias("group"))
-    return members.join(lead, "c").select("id", "group", "links")
+    of = members(src, min_runs).select("id", "cls").distinct().join(roots, F.col("cls") == F.col("node"), "left").join(degree, "cls", "left")
+    of = of.select("id", F.coalesce("component", "cls").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
+    lead = of.groupBy("c").agg(F.min("id").alias("group"))
+    return of.join(lead, "c").select("id", "group", "links")
