@@ -20,9 +20,9 @@ from sievework.llm.vectext import code_points, hash_runs, is_alnum, tokenize_cod
 from sievework.operators.components import connected_components
 from sievework.session import written
 
-BANDS, ROWS = 26, 5
+BANDS, ROWS = 25, 5
 #: Words in more than this share of records weigh less: 1 / (share / COMMON), rounded down to a power of two.
-COMMON = 0.01
+COMMON = 0.02
 _FIELD_BREAKS, _RUN = re.compile(r"[;|\r\n]+"), re.compile(r"[^\W_]+")
 
 

@@ -154,7 +154,21 @@ f AS (SELECT entry_id, kb, vb, CASE WHEN len(parts) >= 2 AND len(list_filter(par
 g AS (SELECT entry_id, coalesce(kb || '#' || min(ff) OVER (PARTITION BY kb, vb), kb || '=' || vb) AS s FROM f),
 h AS (SELECT s, entry_id, min(entry_id) OVER (PARTITION BY s) AS first_entry_id FROM (SELECT DISTINCT s, entry_id FROM g))
 """
+_P1 = r"""
+WITH e AS (SELECT DISTINCT entry_id, lower(coalesce(entry_key, '')) AS k, lower(entry_value) AS v FROM entries WHERE entry_value IS NOT NULL),
+w AS (SELECT *, regexp_extract_all(v, '[\p{L}\p{N}]+') AS runs FROM e),
+r AS (SELECT entry_id, list_distinct(list_concat(runs, regexp_extract_all(k, '[\p{L}\p{N}]+'))) AS ws, regexp_replace(k, '[^\p{L}\p{N}]+', '', 'g') AS kb, regexp_replace(v, '[^\p{L}\p{N}]+', '', 'g') AS vb,
+      list_filter(regexp_split_to_array(v, '[;|\r\n]+'), lambda x: regexp_matches(x, '\S')) AS parts FROM w WHERE len(runs) >= 12),
+f AS (SELECT entry_id, ws, len(ws) AS n, kb, vb, CASE WHEN len(parts) >= 2 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '^[^:]*[^:\s][^:]*:'))) = 0
+      THEN array_to_string(list_sort(list_transform(parts, lambda x: regexp_replace(x[1:instr(x, ':') - 1], '[^\p{L}\p{N}]+', '', 'g') || ':' || regexp_replace(x[instr(x, ':') + 1:], '[^\p{L}\p{N}]+', '', 'g'))), ';') END AS ff FROM r),
+t AS (SELECT entry_id, n, unnest(ws) AS w FROM f), d AS (SELECT w, count(*) AS df FROM t GROUP BY 1),
+p AS (SELECT entry_id, w FROM (SELECT entry_id, n, w, row_number() OVER (PARTITION BY entry_id ORDER BY df, w) AS i FROM t JOIN d USING (w)) WHERE i <= n - (7 * n + 9) // 10 + 1),
+c AS (SELECT DISTINCT a.entry_id AS a, b.entry_id AS b FROM p a JOIN p b ON a.w = b.w AND a.entry_id < b.entry_id)
+SELECT c.a AS entry_id_a, c.b AS entry_id_b FROM c JOIN f x ON x.entry_id = c.a JOIN f y ON y.entry_id = c.b
+WHERE 10 * len(list_intersect(x.ws, y.ws)) >= 7 * (x.n + y.n - len(list_intersect(x.ws, y.ws))) AND (x.kb <> y.kb OR (x.vb <> y.vb AND (x.ff IS NULL OR y.ff IS NULL OR x.ff <> y.ff)))
+"""
 SQL = {
+    "p1_found": _P1,
     "p2_consolidation": """
 WITH m AS (SELECT session_id, regexp_replace(lower(coalesce(entry_key, '')), '[^\\p{L}\\p{N}]+', '', 'g') AS k, count(DISTINCT entry_id) AS n FROM entries WHERE session_id IS NOT NULL GROUP BY 1, 2 HAVING n > 1),
 p AS (SELECT session_id, count(*) AS groups, CAST(sum(n - 1) AS BIGINT) AS consolidated FROM m GROUP BY 1)
