@@ -25,6 +25,8 @@ VOCABULARY = 1e-4
 #: their class.
 FRAME = 0.025
 MIN_RUNS = 6
+#: A bucket of more rows is not compared pair by pair (see `_hot_pairs`); which pairs are found does not depend on it.
+HOT = 1000
 SEEN, TERMINALITY = 20, 0.1
 #: A last word alone, its context unseen, must end texts even more rarely.
 TERMINALITY_OF_ONE = 0.02
@@ -43,6 +45,8 @@ for _kind, _signs in ((1, ","), (2, ":"), (3, _CUTS)):
 
 def state_of(value: str) -> str:
     """``marked`` if a sign of a cut was left, ``closed`` if the value ends with a closing sign, otherwise ``open``."""
+    if value[-1:] in ".!?" and value[-2:-1].isalnum() and "(" not in value[-12:]:
+        return "closed"  # as most values are; the patterns below say the same
     tail = value[-_TAIL:]
     if _MARK.search(tail) and not _NOT_A_MARK.search(tail):
         return "marked"
@@ -144,19 +148,83 @@ def _meet(bucket: np.ndarray, key: np.ndarray, ids: pa.Array) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([pa.array(key[a[ok]]), ids.take(pa.array(a[ok])), ids.take(pa.array(b[ok]))], ["cut", "cut_id", "full_id"])
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: pa.Table | None = None
+def _bucket_pairs(hot: int):
+    """Pairs of each bucket; of a bucket of more than ``hot`` rows its rows instead (with the bucket and no ``full_id``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        flowing = None  # the hot bucket whose rows are passed on as they come
+        for rb in batches:
+            t = pa.Table.from_batches([rb])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            if not t.num_rows:
+                continue
+            bucket = t.column("bucket").to_numpy()
+            edge = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+            size = np.diff(np.append(edge, len(bucket)))
+            large = (size > hot) | (bucket[edge] == flowing)
+            wide = np.repeat(large, size)
+            done = int(edge[-1]) if not large[-1] else len(bucket)  # the last bucket may go on in the next batch
+            flowing = bucket[-1] if large[-1] else None
+            plain = t.slice(0, done).filter(pa.array(~wide[:done])).combine_chunks()
+            yield from _pairs_of(plain)
+            if wide.any():
+                many = t.filter(pa.array(wide)).combine_chunks()
+                one = lambda c: many.column(c).combine_chunks()
+                yield pa.RecordBatch.from_arrays([one("key"), one("id"), pa.nulls(many.num_rows, one("id").type), one("bucket")], ["cut", "cut_id", "full_id", "bucket"])
+            held = t.slice(done)
+        if held is not None:
+            yield from _pairs_of(held.combine_chunks())
+
+    return run
+
+
+def _pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    if t.num_rows:
+        ids = t.column("id").combine_chunks()
+        for rb in _meet(t.column("bucket").to_numpy(), t.column("key").to_numpy(), ids):
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.nulls(rb.num_rows, pa.int64())], ["cut", "cut_id", "full_id", "bucket"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every place at which a text could continue a cut one: three words, a hash of the words up to them, the next word and
+    whether a sentence ends behind it. ``tail`` marks an open text's own last three complete words.
+    """
     for rb in batches:
-        t = pa.Table.from_batches([rb])
-        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        if not t.num_rows:
+        tok = tokenize(rb.column("value").to_pylist())
+        first, n = tok.first(), len(tok.hash)
+        if n < 4:
             continue
-        bucket = t.column("bucket").to_numpy()
-        done = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
-        yield from _meet(bucket[:done], t.column("key").to_numpy()[:done], t.column("id").slice(0, done).combine_chunks())
-        held = t.slice(done)
-    if held is not None and held.num_rows:
-        yield from _meet(held.column("bucket").to_numpy(), held.column("key").to_numpy(), held.column("id").combine_chunks())
+        three = mix(mix(tok.hash[:-3] * _P + tok.hash[1:-2]) * _P + tok.hash[2:-1])
+        run = np.cumsum(mix(tok.hash))
+        head = run[2:-1] - np.concatenate([[np.uint64(0)], run])[first[tok.text[:-3]]]
+        at = np.flatnonzero(tok.text[:-3] == tok.text[3:])
+        kind = _GAPS[np.minimum(tok.codes, len(_GAPS) - 1)] == 3
+        stops = np.concatenate([[0], np.cumsum(kind)])
+        nxt = np.append(tok.begin[1:], len(tok.codes))
+        stop = stops[nxt[at + 3]] > stops[tok.end[at + 3]]
+        text = pa.array(tok.text[at])
+        tail = (at + 4 == first[tok.text[at] + 1]) & (rb.column("key").to_numpy()[tok.text[at]] & 1).astype(bool)
+        col = lambda x: pa.array(x.view(np.int64))
+        size = pa.array((first[tok.text[at] + 1] - first[tok.text[at]]).astype(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [rb.column("bucket").take(text), col(three[at]), col(head[at]), col(tok.hash[at + 3]), pa.array(stop), pa.array(tail), size, rb.column("key").take(text), rb.column("id").take(text)],
+            ["bucket", "three", "head", "next", "stop", "tail", "size", "key", "id"],
+        )
+
+
+def _hot_pairs(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs out of hot buckets, without comparing all texts of one: an alignment rests on the last three complete words of the
+    cut text, so it meets only texts that hold these, and of texts that are alike up to there one stands for all.
+    """
+    kind = values.schema["id"].dataType.simpleString()
+    texts = rows.join(values, rows["cut_id"] == values["id"]).select("bucket", F.col("cut").alias("key"), "id", "value")
+    places = texts.mapInArrow(_places, f"bucket long, three long, head long, next long, stop boolean, tail boolean, size long, key long, id {kind}")
+    full = places.groupBy("bucket", "three", "head", "next", "stop").agg(F.max(F.struct("size", "id")).alias("f"))
+    open_ = places.filter("tail").select("bucket", "three", F.col("key").alias("cut"), F.col("id").alias("cut_id"), F.col("next").alias("last"), "size")
+    # The same last word and a sentence end behind it is no cut; all else is looked at.
+    met = open_.join(full, ["bucket", "three"]).filter((F.col("next") != F.col("last")) | ~F.col("stop")).filter(F.col("f.size") >= F.col("size"))
+    return met.select("cut", "cut_id", F.col("f.id").alias("full_id"))
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -210,11 +278,15 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], ["key"])
 
 
-def aligned(values: DataFrame, bands: int = BANDS) -> DataFrame:
+def aligned(values: DataFrame, bands: int = BANDS, hot: int = HOT) -> DataFrame:
     """``key`` of the open values that end early against a longer near-copy, each once."""
     kind = values.schema["id"].dataType.simpleString()
     rows = values.mapInArrow(_band_rows(bands), f"bucket long, key long, id {kind}")
-    pairs = rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_bucket_pairs, f"cut long, cut_id {kind}, full_id {kind}")
+    found = cut(rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_bucket_pairs(hot), f"cut long, cut_id {kind}, full_id {kind}, bucket long"))
+    pairs = found.filter("bucket is null").select("cut", "cut_id", "full_id")
+    hot_rows = found.filter("bucket is not null")
+    if hot_rows.limit(1).count():
+        pairs = pairs.unionByName(_hot_pairs(hot_rows, values))
     pairs = pairs.groupBy("cut", "full_id").agg(F.min("cut_id").alias("cut_id"))
     text = lambda name: values.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(f"{name}_value"))
     both = pairs.join(text("cut"), "cut_id").join(text("full"), "full_id")
@@ -238,7 +310,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(values: DataFrame) -> tuple[dict[str, int], int]:
     """Counts of the words frequent enough (a bounded number, see VOCABULARY) and the number of records, over all records."""
     counts = values.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    size = counts.filter(F.col("word") == "").select(F.col("n").alias("size"))  # one row
+    size = counts.agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("size"))  # no filter, so that counts are made once
     rows = counts.join(F.broadcast(size)).filter(F.col("n") >= F.greatest(F.lit(5.0), VOCABULARY * F.col("size"))).collect()
     return {r.word: r.n for r in rows if r.word}, rows[0].size if rows else 0
 

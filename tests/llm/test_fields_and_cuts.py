@@ -53,6 +53,18 @@ def test_truncation(entries):
     assert truncation.truncated(entries([])).count() == 0
 
 
+def test_hot_buckets_find_what_pairs_find(entries):
+    """Texts that share a long opening: the way for hot buckets flags what comparing all pairs flags."""
+    opening = "This notice is sent to every member of the association and its branches without exception"
+    rng = random.Random(9)
+    full = [f"{opening} and concerns case {i} about the {rng.choice(['harbor', 'orchard', 'clinic'])} near station {rng.randrange(99)} as agreed in writing." for i in range(300)]
+    cuts = [f[: rng.randrange(40, len(f) - 3)] for f in full[:60]]
+    df = entries([(i, "s", "k", t) for i, t in enumerate(full + cuts)])
+    values = truncation._values(df, "entry_id", "entry_value")
+    by_pairs = {r.key for r in truncation.aligned(values, hot=10_000).collect()}
+    assert by_pairs and by_pairs == {r.key for r in truncation.aligned(values, hot=5).collect()}
+
+
 def test_alignment():
     full = "alpha beta gamma delta epsilon zeta eta theta. iota kappa"
     assert truncation.ends_early("alpha beta gamma delta epsilon ze", full)
