@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sievework.functions.text import is_placeholder
 from sievework.operators.chunking import strip
+from sievework.operators.skew import row_numbers
 
 # An edge of a word of ASCII letters, digits and underscores, which does not depend on the dialect's idea of \b.
 B = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
@@ -155,14 +156,17 @@ def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
     return df.withColumn("#", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
-def document_order(df: DataFrame, group: str, order: str, chunk: str = "chunk_id") -> DataFrame:
-    """``final_position`` (chunk * 100,000 + index * 50 + 500, index from 0 over the group) and ``#`` in its order.
+def document_order(df: DataFrame, group: str, order: str, chunk: str = "chunk_id", spread: bool = False) -> DataFrame:
+    """``final_position`` (chunk * 100,000 + index * 50 + 250, index from 0 over the group) and ``#`` in its order.
 
-    Null chunks count as 0. With more than 1,990 entries a group spills over into the next chunk's range, as the formula has it.
+    A window sorts each group in one task, on disk if need be. ``spread`` numbers groups in stretches instead, for a group with a
+    large share of all rows; it reads ``df`` four times, and ``order`` must be an integer then. Null chunks count as 0. With
+    some 1,995 entries a group spills over into the next chunk's range, as the formula has it.
     """
-    w = Window.partitionBy(group).orderBy(order)
-    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("final_position", F.coalesce(F.col(chunk), F.lit(0)) * 100_000 + F.floor((F.col("_i") / 10 + 0.5) * 500).cast("long"))
-    return numbered(rows, group, "final_position", "_i").drop("_i")
+    number = row_numbers if spread else lambda d, g, by, name, _=0: d.withColumn(name, F.row_number().over(Window.partitionBy(g).orderBy(*by)))
+    rows = number(df, group, [order], "__row").withColumn("_i", F.col("__row") - 1).drop("__row")
+    rows = rows.withColumn("final_position", F.coalesce(F.col(chunk), F.lit(0)) * 100_000 + F.floor((F.col("_i") / 10 + 0.5) * 500).cast("long"))
+    return number(rows, group, ["final_position", "_i"], "#", 1_000_000).drop("_i")
 
 
 def with_global_note(df: DataFrame, notes: DataFrame, group: str, order: str, comments: str = "comments", tag: bool = True) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Joins that hold when one key has a large share of the rows."""
+"""Joins and numberings that hold when one key has a large share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, n: str, spread: Column, hot: int = 200_000) -> DataFrame:
@@ -23,3 +24,19 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, n: str, spread: C
     done = left.filter(F.col("_h").isNotNull()).select(*rows.columns, *same)
     rest = left.filter(F.col("_h").isNull()).drop("_h").join(cold, key)
     return done.unionByName(rest.select(*rows.columns, *names))
+
+
+def row_numbers(df: DataFrame, group: str, order: list[str], name: str, width: int = 100_000) -> DataFrame:
+    """``df`` with ``name``, each row's number from 1 within its group, by ``order``, whose first column must be an integer.
+
+    A group is numbered in stretches of ``width`` values of that column: counts of the stretches are added up (one row a
+    stretch), rows are only sorted within theirs, so a group with most of all rows is spread over many tasks. A null group is a
+    group; nulls of the first column come first. ``df`` is read twice.
+    """
+    stretch = F.floor(F.coalesce(F.col(order[0]), F.lit(-(1 << 62))) / width)
+    counts = df.groupBy(F.col(group).alias("__g"), stretch.alias("__s")).agg(F.count("*").alias("__n"))
+    before = counts.select("__g", "__s", (F.sum("__n").over(Window.partitionBy("__g").orderBy("__s")) - F.col("__n")).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(group, "__s2").orderBy(*order))
+    rows = df.withColumn("__s2", stretch).withColumn("__own", own)
+    j = rows.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__s2") == F.col("__s")))
+    return j.select(*df.columns, (F.col("__base") + F.col("__own")).alias(name))

@@ -106,7 +106,7 @@ def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def position_order(spark: SparkSession, d: str) -> DataFrame:
     e = _entries(spark, d).select("session_id", "entry_id", "chunk_id")
-    return en.document_order(e, "session_id", "entry_id").select("session_id", "entry_id", "final_position", F.col("#").alias("row_number"))
+    return en.document_order(e, "session_id", "entry_id", spread=True).select("session_id", "entry_id", "final_position", F.col("#").alias("row_number"))
 
 
 def entry_positions(spark: SparkSession, d: str) -> DataFrame:

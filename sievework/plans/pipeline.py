@@ -28,5 +28,5 @@ def extract_documents(docs: DataFrame, extractor: Extractor = label_extractor, f
         best = fuzzy_consolidate(rows, "doc_id", "entry_id", threshold).select(F.col("best_order").alias("_b"), F.col("comments").alias("_n"))
         rows = rows.join(best, F.col("entry_id") == F.col("_b")).withColumn("comments", F.coalesce("_n", "comments")).drop("_b", "_n")
     best = exact_key_dedup(rows, "doc_id", "entry_id").select(F.col("best_order").alias("_b"), "first_order", F.col("comments").alias("_n"))
-    rows = rows.join(best, F.col("entry_id") == F.col("_b")).withColumn("comments", F.coalesce("_n", "comments"))
+    rows = rows.join(best, F.col("entry_id") == F.col("_b")).withColumn("comments", F.coalesce("_n", "comments")).drop("_n")
     return document_order(rows, "doc_id", "first_order").select("doc_id", "#", "entry_key", "entry_value", "comments", "chunk_id", "final_position")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sievework.operators import consolidate
 from sievework.operators.components import connected_components
 from sievework.operators.references import orphan_references, orphan_report
-from sievework.operators.skew import join_counted
+from sievework.operators.skew import join_counted, row_numbers
 from sievework.sources.tables import norm_label, norm_session_id, upsert, write_csv, write_json
 
 KIDS = "child_table string, child_id string, key string, at timestamp_ntz, extra int"
@@ -115,3 +115,12 @@ def test_labels_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2 and spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
     merged = upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), "k")
     assert {tuple(r) for r in merged.collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_row_numbers_are_those_of_a_window(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 5 + ["a", None]), rng.choice([None, rng.randrange(-50, 400)]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o long, i long")
+    want = {tuple(r) for r in df.withColumn("n", F.expr("row_number() over (partition by g order by o, i)")).collect()}
+    assert {tuple(r) for r in row_numbers(df, "g", ["o", "i"], "n", 20).collect()} == want
+    assert row_numbers(df.limit(0), "g", ["o", "i"], "n").count() == 0
