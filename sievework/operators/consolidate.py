@@ -53,7 +53,9 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85, compat: bool = False
         hit = [(a["g"], a["o"], b["o"]) for a, b in pairs if rules.alike(a, b)]
         return pd.DataFrame(hit, columns=["g", "a", "b"])
 
-    return placed.groupBy("g", "i", "j").applyInPandas(compare, f"g {gkind}, a {kind}, b {kind}")
+    # Little data but much work: a number of partitions keeps adaptive execution from making one task of it all.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "g", "i", "j").groupBy("g", "i", "j").applyInPandas(compare, f"g {gkind}, a {kind}, b {kind}")
 
 
 def fuzzy_consolidate(df: DataFrame, group: str, order: str, threshold: float = 0.85, compat: bool = False) -> DataFrame:
