@@ -11,18 +11,19 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import is_placeholder
-from sievework.llm.bagminhash import LEVELS, band_keys, mix, signatures
+from sievework.llm.bagminhash import band_keys, mix, signatures
 from sievework.llm.vectext import code_points, hash_runs, is_alnum, tokenize_codes
 from sievework.operators.components import connected_components
 from sievework.session import written
 
-BANDS, ROWS = 25, 5
-#: Words in more than this share of records weigh less: 1 / (share / COMMON), rounded down to a power of two.
-COMMON = 0.02
+#: Of pairs of similarity .7 a band of five finds 16.8 %, so 32 bands miss 0.28 %, and fewer of any more similar pair.
+BANDS, ROWS = 32, 5
+#: The pairs of a bucket of more word sets are tested where the bucket is (see `_hot_links`); which are found does not depend on it.
+HOT = 2000
 _FIELD_BREAKS, _RUN = re.compile(r"[;|\r\n]+"), re.compile(r"[^\W_]+")
 
 
@@ -121,73 +122,50 @@ def word_sets(src: DataFrame, min_runs: int) -> DataFrame:
     return src.mapInArrow(run, "cls long, words array<int>").groupBy("cls").agg(F.first("words").alias("words"))
 
 
-def common_words(src: DataFrame, min_runs: int, common: float = COMMON) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes (sorted) and levels of the words that more than a share ``common`` of all records hold, and the number of records.
-
-    Counted over all records; at most (words per record) / ``common`` can pass, some thousand, whatever the size.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, words, counts, size = 0, [], [], 0
-
-        def sum_up() -> None:
-            at, uniq = pd.factorize(np.concatenate(words))
-            words[:], counts[:] = [uniq], [np.bincount(at, np.concatenate(counts), len(uniq)).astype(np.int64)]
-
-        for rb in batches:
-            r = read_records(rb, min_runs)
-            n += len(r.cls)
-            at, uniq = pd.factorize(r.words)
-            words.append(uniq)
-            counts.append(np.bincount(at, minlength=len(uniq)))
-            size += len(uniq)
-            if size > 1_000_000:
-                sum_up()
-                if len(words[0]) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(words.pop()), pa.array(counts.pop())], ["w", "n"])
-                size = sum(map(len, words))
-        if words:
-            sum_up()
-            yield pa.RecordBatch.from_arrays([pa.array(words[0]), pa.array(counts[0])], ["w", "n"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([n])], ["w", "n"])
-
-    counts = src.mapInArrow(run, "w int, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.max(F.when(F.col("w").isNull(), F.col("n"))).alias("total"))  # no filter, so that counts are made once
-    got = counts.join(F.broadcast(total)).filter(F.col("w").isNull() | (F.col("n") > common * F.col("total"))).collect()
-    rows_ = sorted((r.w, r.n / r.total) for r in got if r.w is not None)
-    level = [min(LEVELS, math.ceil(math.log2(f / common))) for _, f in rows_]
-    return np.array([w for w, _ in rows_], np.int32), np.array(level, np.uint8), int(got[0].total) if got else 0
-
-
-def _flat(rb: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+def _flat(rb: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and values of a list column."""
     col = rb.column(name)
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     off = col.offsets.to_numpy().astype(np.int64)
     return off - off[0], col.flatten().to_numpy(zero_copy_only=False)
 
 
-def _bands(hot: np.ndarray, level: np.ndarray, bands: int, rows: int, bits: int):
+def _keys(starts: np.ndarray, words: np.ndarray, bands: int, rows: int, bits: int) -> np.ndarray:
+    """Bucket of each set of words in each band. All words weigh the same, so sets meet by their Jaccard similarity alone."""
+    keys = band_keys(signatures(starts, words.view(np.uint32).astype(np.uint64), np.zeros(len(words), np.uint8), bands * rows), bands, rows)
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _maps(starts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64 bits of each set of words, one or more of them for its words."""
+    out = np.zeros(len(starts) - 1, np.uint64)
+    full = np.diff(starts) > 0
+    if full.any():
+        out[full] = np.bitwise_or.reduceat(np.uint64(1) << (words & 63).astype(np.uint64), starts[:-1][full])
+    return out.view(np.int64)
+
+
+def _bands(bands: int, rows: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             starts, words = _flat(rb, "words")
-            lv = np.zeros(len(words), np.uint8)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-                lv = np.where(hot[at] == words, level[at], 0).astype(np.uint8)
-            keys = band_keys(signatures(starts, words.view(np.uint32).astype(np.uint64), lv, bands * rows), bands, rows)
-            keys = (keys.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
-            ids = np.repeat(rb.column("cls").to_numpy(), bands)
+            keys = _keys(starts, words, bands, rows, bits)
+            ids, maps = (np.repeat(x, bands) for x in (rb.column("cls").to_numpy(), _maps(starts, words)))
             full = np.repeat(np.diff(starts) > 0, bands)
             # The bucket comes last: its leading zeros then stand beside those of the next row and compress with them.
-            yield pa.RecordBatch.from_arrays([pa.array(ids[full]), pa.array(keys.ravel()[full])], ["cls", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[full]), pa.array(maps[full]), pa.array(keys.ravel()[full])], ["cls", "map", "bucket"])
 
     return run
 
 
-def _pairs(similarity: float):
-    """Pairs (a < b) of the rows of equal ``bucket`` in sorted input, whose set sizes allow ``similarity``."""
+def _pairs(similarity: float, hot: int):
+    """Pairs (a < b) of the rows of equal ``bucket`` in sorted input, whose set sizes and word maps allow ``similarity``; of a bucket of more
+    than ``hot`` rows its rows instead (``a`` with the bucket and no ``b``).
+    """
+
+    most = (1 - similarity) / (1 + similarity)
 
-    def emit(bucket: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(bucket: np.ndarray, ids: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
         size = ids & 255
         at = np.arange(len(ids))
         for d in range(1, len(ids)):
@@ -197,59 +175,120 @@ def _pairs(similarity: float):
                 return
             x, y = ids[at], ids[at + d]
             small, large = np.minimum(size[at], size[at + d]), np.maximum(size[at], size[at + d])
-            ok = (x != y) & ((small >= similarity * large - 1e-9) | (large == 255))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], ["a", "b"])
+            # |A xor B| <= most * (|A| + |B|) holds for every similar pair, and it is at least the number of differing bits.
+            ok = (small >= similarity * large - 1e-9) & (np.bitwise_count((maps[at] ^ maps[at + d]).view(np.uint64)) <= most * (small + large) + 1e-9)
+            ok = (x != y) & (ok | (large == 255))
+            if not ok.any():
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok]), pa.nulls(int(ok.sum()), pa.int64())], ["a", "b", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held = [np.zeros(0, np.int64) for _ in range(3)]
+        flowing = None  # the hot bucket whose rows are passed on as they come
         for rb in batches:
-            bucket = np.concatenate([held[0], rb.column("bucket").to_numpy()])
-            ids = np.concatenate([held[1], rb.column("cls").to_numpy()])
+            bucket, ids, maps = (np.concatenate([h, rb.column(c).to_numpy()]) for h, c in zip(held, ("bucket", "cls", "map")))
             if not len(bucket):
                 continue
-            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
-            yield from emit(bucket[:cut], ids[:cut])
-            held = (bucket[cut:], ids[cut:])
+            edge = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+            size = np.diff(np.append(edge, len(bucket)))
+            large = size > hot
+            if flowing is not None:
+                large |= bucket[edge] == flowing
+            wide = np.repeat(large, size)
+            done = len(bucket) if large[-1] else int(edge[-1])  # the last bucket may go on in the next batch
+            flowing = bucket[-1] if large[-1] else None
+            plain = ~wide[:done]
+            yield from emit(bucket[:done][plain], ids[:done][plain], maps[:done][plain])
+            if wide.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[wide]), pa.nulls(int(wide.sum()), pa.int64()), pa.array(bucket[wide])], ["a", "b", "bucket"])
+            held = [bucket[done:], ids[done:], maps[done:]]
         yield from emit(*held)
 
     return run
 
 
-def similar_classes(src: DataFrame, similarity: float = 0.7, min_runs: int = 12, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+def _bucket_links(similarity: float, bands: int, rows: int, bits: int):
+    """The similar pairs of each hot bucket, from rows of bucket, cls and words sorted by bucket. A pair comes out of the first
+    band in which it meets only.
+    """
+
+    def test(bucket: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts, words = _flat(t, "words")
+        cls, size = t.column("cls").to_numpy(), np.diff(starts)
+        keys = _keys(starts, words, bands, rows, bits)
+        own = np.flatnonzero((keys == bucket).all(axis=0))
+        earlier = keys[:, : own[0]] if len(own) else keys[:, :0]
+        maps = _maps(starts, words).view(np.uint64)
+        code = np.unique(words, return_inverse=True)[1].astype(np.int64)
+        held = np.sort((np.repeat(np.arange(len(cls)), size) << 32) | code)
+        most = (1 - similarity) / (1 + similarity)
+        step = max(1, 1_000_000 // len(cls))
+        for lo in range(0, len(cls), step):
+            hi = min(lo + step, len(cls))
+            near = np.bitwise_count(maps[lo:hi, None] ^ maps[None, lo:]) <= most * (size[lo:hi, None] + size[None, lo:]) + 1e-9
+            x, y = np.nonzero(near)
+            x, y = x[y > x] + lo, y[y > x] + lo
+            for at in range(0, len(x), 50_000):
+                a, b = x[at : at + 50_000], y[at : at + 50_000]
+                new = ~(earlier[a] == earlier[b]).any(axis=1) & (cls[a] != cls[b])
+                a, b = a[new], b[new]
+                if not len(a):
+                    continue
+                n = size[a]
+                pair = np.repeat(np.arange(len(a)), n)
+                pos = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[a], n)
+                look = (b[pair] << 32) | code[pos]
+                hit = held[np.minimum(np.searchsorted(held, look), len(held) - 1)] == look
+                both = np.bincount(pair, hit, len(a))
+                ok = both >= similarity * (size[a] + size[b] - both) - 1e-9
+                p, q = cls[a[ok]], cls[b[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for rb in batches:
+            bucket = rb.column("bucket").to_numpy()
+            edge = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else []
+            for lo, hi in zip(edge, [*edge[1:], len(bucket)]):
+                if held and held[0].column("bucket")[0].as_py() != bucket[lo]:
+                    yield from test(held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(rb.slice(lo, hi - lo))
+        if held:
+            yield from test(held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def similar_classes(src: DataFrame, similarity: float = 0.7, min_runs: int = 12, bands: int = BANDS, band_rows: int = ROWS, hot: int = HOT) -> DataFrame:
     """Pairs (``a`` < ``b``) of different word sets among the rows of `texts` whose Jaccard similarity is ``similarity`` or more.
 
-    Candidates share a band of BagMinHash components, in which frequent words weigh less, so that records that share only
-    their common words seldom meet. Three exact tests follow, cheapest first: set sizes, a 64-bit word map whose
-    differing bits count at most the differing words, and the word sets themselves. Equal sets meet once, as one class.
+    Candidates share a band of BagMinHash components. All words weigh the same, so whether a pair is found depends on its
+    similarity alone, not on how common its words or how many its copies are. Three exact tests follow, cheapest first: set
+    sizes, a 64-bit word map whose differing bits count at most the differing words, and the word sets themselves. Equal sets
+    meet once, as one class. Buckets of more than ``hot`` sets are tested in place.
     """
-    hot, level, n = common_words(src, min_runs)
+    n = src.count()
     # So many bits that some ten thousand keys in all meet by chance, whatever n: keys are most of what is shuffled, and pairs
     # that meet by chance fail the exact tests.
     bits = max(24, min(63, math.ceil(2 * math.log2(max(2, n * bands))) - 15))
     classes = word_sets(src, min_runs)
-    buckets = classes.mapInArrow(_bands(hot, level, bands, band_rows, bits), "cls long, bucket long")
-    cand = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(similarity), "a long, b long")
-    cand = cand.repartition("a").distinct()
-
-    word_map = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(_bit(w)))
-    maps = classes.select(F.col("cls").alias("_c"), word_map.alias("_m"))
-    size = lambda c: F.col(c).bitwiseAND(F.lit(255))
-    near = cand.join(maps, cand["a"] == maps["_c"]).select("a", "b", F.col("_m").alias("_ma"))
-    near = near.join(maps, near["b"] == maps["_c"])
-    # |A xor B| <= (1 - s) / (1 + s) * (|A| + |B|) holds for every pair of similarity s or more.
-    most = (1 - similarity) / (1 + similarity) * (size("a") + size("b")) + 1e-9
-    near = near.filter((F.bit_count(F.col("_ma").bitwiseXOR(F.col("_m"))) <= most) | (size("a") == 255) | (size("b") == 255)).select("a", "b")
+    buckets = classes.mapInArrow(_bands(bands, band_rows, bits), "cls long, map long, bucket long")
+    met = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(similarity, hot), "a long, b long, bucket long")
+    met = written(met.repartition("a").distinct())
+    cand = met.filter("b is not null").select("a", "b")
 
     w = classes.select(F.col("cls").alias("_c"), F.col("words").alias("_w"))
-    near = near.join(w, near["a"] == w["_c"]).select("a", "b", F.col("_w").alias("_wa"))
+    near = cand.join(w, cand["a"] == w["_c"]).select("a", "b", F.col("_w").alias("_wa"))
     near = near.join(w, near["b"] == w["_c"])
     both = F.size(F.array_intersect("_wa", "_w"))
-    return near.filter(both >= similarity * (F.size("_wa") + F.size("_w") - both) - 1e-9).select("a", "b")
-
-
-def _bit(w: Column) -> Column:
-    """One of 64 bits for a word hash."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)))
+    links = near.filter(both >= similarity * (F.size("_wa") + F.size("_w") - both) - 1e-9).select("a", "b")
+    crowd = met.filter("b is null").select("a", "bucket")
+    if not crowd.limit(1).count():
+        return links
+    crowd = crowd.join(w, crowd["a"] == w["_c"]).select("bucket", F.col("a").alias("cls"), F.col("_w").alias("words"))
+    crowd = crowd.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(similarity, bands, band_rows, bits), "a long, b long")
+    return links.unionByName(crowd).distinct()
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "entry_id", key_col: str = "entry_key", value_col: str = "entry_value", similarity: float = 0.7, min_runs: int = 12) -> DataFrame:

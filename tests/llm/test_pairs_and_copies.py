@@ -61,6 +61,27 @@ def test_near_duplicates_recall_and_precision(spark, small):
     assert not got - want and len(got) >= 0.97 * len(want) and want
 
 
+@pytest.mark.parametrize("hot", [16, 100_000])
+def test_near_duplicates_of_one_large_family(entries, hot):
+    """A family of near-copies holds a third of the rows, so that its words are the most common of all."""
+    rng = random.Random(4)
+    family = [f"shared{i}" for i in range(29)]
+    rows = []
+    for i in range(300):
+        words = [f"word{rng.randrange(4000)}" for _ in range(29)]
+        if i % 3 == 0:
+            words = list(family)
+            for at in rng.sample(range(29), 2):
+                words[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, "s", "k", " ".join(words)))
+    want = brute_pairs([(r[0], r[2], r[3]) for r in rows])
+    src = near_dups.texts(entries(rows), "entry_id", "entry_key", "entry_value", 12)
+    assert len(want) == 100 * 99 // 2
+    assert near_dups.similar_classes(src, hot=hot).count() >= 0.99 * len(want)
+    got = {tuple(r) for r in near_dups.near_duplicate_pairs(entries(rows)).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_near_duplicates_of_odd_rows(entries):
     words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     long = " ".join(f"w{i}" for i in range(30_000))
