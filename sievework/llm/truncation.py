@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from sievework.functions.text import is_placeholder
 from sievework.llm.bagminhash import mix
 from sievework.llm.vectext import Tokens, bare_hashes, tokenize
 from sievework.session import cut
@@ -24,7 +25,9 @@ VOCABULARY = 1e-4
 #: Words with so many occurrences per record are the frame of sentences and stand for themselves in a context, all others for
 #: their class.
 FRAME = 0.025
-MIN_RUNS = 6
+#: Words a value must have to be judged at all (one word alone is a name or code), to be aligned with a copy or judged by its
+#: ending, and to be counted among the texts whose words and endings are known. Shorter ones are met by their openings.
+LEAST, ALIGNED, MIN_RUNS = 2, 4, 6
 #: A bucket of more rows is not compared pair by pair (see `_hot_pairs`); which pairs are found does not depend on it.
 HOT = 1000
 SEEN, TERMINALITY = 20, 0.1
@@ -54,14 +57,15 @@ def state_of(value: str) -> str:
 
 
 def _values(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
-    """id and value of each record that may have MIN_RUNS words: the last look at lengths is taken where texts are read."""
-    return df.select(F.col(id_col).alias("id"), F.col(value_col).alias("value")).filter(F.length("value") >= 2 * MIN_RUNS - 1)
+    """id and value of each record that may have LEAST words: the last look at lengths is taken where texts are read."""
+    src = df.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"))
+    return src.filter((F.length("value") >= 2 * LEAST - 1) & ~is_placeholder(F.col("value")))
 
 
-def _judged(rb: pa.RecordBatch) -> tuple[pa.RecordBatch, Tokens]:
-    """The rows of a batch with MIN_RUNS words or more, and their tokens."""
+def _judged(rb: pa.RecordBatch, least: int) -> tuple[pa.RecordBatch, Tokens]:
+    """The rows of a batch with ``least`` words or more, and their tokens."""
     tok = tokenize(rb.column("value").to_pylist())
-    keep = np.diff(tok.first()) >= MIN_RUNS
+    keep = np.diff(tok.first()) >= least
     if keep.all():
         return rb, tok
     return rb.filter(pa.array(keep)), tok.only(keep)
@@ -100,11 +104,37 @@ def _shingle_minima(tok: Tokens, bands: int) -> np.ndarray:
     return out
 
 
+def _openings(tok: Tokens, key: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, key and text of the openings of ALIGNED to MIN_RUNS - 1 words: an open text of so many words, too short for a
+    shingle of complete words, meets longer ones by its complete words and the first letter of its last. Of longer texts that
+    go on alike one stands for all, under a key of its opening that no text is cut by.
+    """
+    first = tok.first()
+    n = np.diff(first)
+    stops = np.concatenate([[0], np.cumsum(_GAPS[np.minimum(tok.codes, len(_GAPS) - 1)] == 3)])
+    buckets, keys, texts = [], [], []
+    for size in range(ALIGNED, MIN_RUNS):
+        at = np.flatnonzero(use & (n >= size))
+        h = np.full(len(at), size, np.uint64)
+        for i in range(size - 1):
+            h = mix(h * _P + tok.hash[first[at] + i])
+        last = first[at] + size - 1
+        longer = n[at] > size
+        stop = longer & (stops[np.append(tok.begin, len(tok.codes))[last + 1]] > stops[tok.end[last]])
+        goes_on = (mix(mix(h * _P + tok.hash[last]) + stop.astype(np.uint64)) & ~np.uint64(8191)) | np.uint64(4095 << 1)
+        buckets.append(mix(h * _P + tok.codes[tok.begin[last]].astype(np.uint64)))
+        # The text's own key where it may be the cut one or has no word more; else that of its opening.
+        keys.append(np.where(longer, goes_on.view(np.int64), key[at]))
+        texts.append(at)
+    return np.concatenate(buckets).view(np.int64), np.concatenate(keys), np.concatenate(texts)
+
+
 def _band_rows(bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        opened: set[tuple[int, int]] = set()
         for whole in batches:
-            rb, tok = _judged(whole)
+            rb, tok = _judged(whole, ALIGNED)
             state = np.array([state_of(v) for v in rb.column("value").to_pylist()])
             key = _keys(tok, state == "open")
             # Copies combine here: a text that a task has seen gives no more rows. Forgotten at a bound, as copies do no harm.
@@ -115,6 +145,14 @@ def _band_rows(bands: int):
                 seen.add(k)
             if len(seen) > 1_000_000:
                 seen.clear()
+            if not new.any():
+                continue
+            bucket, own, at = _openings(tok, key, new)
+            once = [i for i, x in enumerate(zip(bucket.tolist(), own.tolist())) if x not in opened and not opened.add(x)]
+            if len(opened) > 1_000_000:
+                opened.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[once]), pa.array(own[once]), rb.column("id").take(pa.array(at[once]))], ["bucket", "key", "id"])
+            new &= np.diff(tok.first()) >= MIN_RUNS
             if not new.any():
                 continue
             first = tok.first()
@@ -299,7 +337,7 @@ def aligned(values: DataFrame, bands: int = BANDS, hot: int = HOT) -> DataFrame:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with the number of their occurrences that are followed by something, summed up per batch; '' counts records."""
     for whole in batches:
-        rb, tok = _judged(whole)
+        rb, tok = _judged(whole, MIN_RUNS)
         inner = np.flatnonzero((np.diff(tok.text, append=-1) == 0) & (tok.codes[tok.begin] > 57)) if len(tok.begin) else np.zeros(0, int)
         code, uniq = pd.factorize(tok.hash[inner].view(np.int64))
         at, n = np.zeros(len(uniq), np.int64), np.bincount(code, minlength=len(uniq))
@@ -397,12 +435,13 @@ def _read(vocab: dict[str, int], total: int, kind: pa.DataType):
             return rows(x.shape[1], ctx=pa.array(x[0]), n=pa.array(x[1]), ends=pa.array(x[2]))
 
         for whole in batches:
-            rb, tok = _judged(whole)
+            rb, tok = _judged(whole, LEAST)
             if not rb.num_rows:
                 continue
             end = e.terminal(tok)
             # A text's last token is only evidence where a stop closes it.
-            use = (np.diff(tok.text, append=-1) == 0) | _closed_last(tok)
+            n = np.diff(tok.first())
+            use = ((np.diff(tok.text, append=-1) == 0) | _closed_last(tok)) & (n >= MIN_RUNS)[tok.text]
             ctx = e.all_contexts(tok)
             for c in ctx:
                 at, key = pd.factorize(c[use].view(np.int64))
@@ -416,7 +455,8 @@ def _read(vocab: dict[str, int], total: int, kind: pa.DataType):
             last = (tok.first()[1:] - 1)[pick]
             words = [tok.string(i) for i in last]
             partial = [w.isalpha() and w not in e.vocab and w in e.prefixes for w in words]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(pick) * len(ctx) + 1, len(ctx), dtype=np.int32)), pa.array(np.stack([c[last] for c in ctx], axis=1).ravel().view(np.int64)))
+            far = (n[pick] >= ALIGNED).astype(np.uint64)  # of shorter values no ending is looked up
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(pick) * len(ctx) + 1, len(ctx), dtype=np.int32)), pa.array(np.stack([c[last] * far for c in ctx], axis=1).ravel().view(np.int64)))
             yield rows(len(pick), id=rb.column("id").take(pa.array(pick)), key=pa.array(_keys(tok, state == "open")[pick]), state=pa.array(state[pick].tolist(), pa.string()), partial=pa.array(partial, pa.bool_()), ctxs=lists)
         if held:
             yield counts()
@@ -438,7 +478,7 @@ def truncated(df: DataFrame, id_col: str = "entry_id", value_col: str = "entry_v
     goes on where this value ends), ``word`` (it ends inside a word of the corpus) or ``ending`` (texts of the corpus end
     behind such closing words in less than TERMINALITY of SEEN or more cases). The last two only judge values without a copy
     and without a closing sign. Vocabulary and endings are counted over all records, however many.
-    Null, blank and placeholder values and values of fewer than MIN_RUNS words are never cut; a finished value is no case,
+    Null, blank and placeholder values and single words are never cut, and copies and endings tell from ALIGNED words on; a finished value is no case,
     however short beside its copies, nor is one that merely lacks its full stop. Repeated rows count once. Empty input gives
     no rows.
     """

@@ -53,6 +53,20 @@ def test_truncation(entries):
     assert truncation.truncated(entries([])).count() == 0
 
 
+def test_truncation_of_short_values(entries):
+    """Values of fewer than six words are cut by a mark, inside a word, or against a longer copy; finished ones are not."""
+    rows = [(i, "s", "k", t) for i, t in enumerate(sentences(400))]
+    rows += [(500 + i, "s", "k", f"Contact: Ana Berg{i}; Code: B{i}; Venue: Hall {i} in the old town") for i in range(100)]
+    cases = {
+        1000: ("Contact: Ana Orlo; Ven", True), 1001: ("Venue: Hall (cont", True), 1002: ("The harbor will insp", True), 1003: ("Please approve the turb", True), 1004: ("Contact: Ana Berg7; Cod", True),
+        1005: ("Contact: Ana Berg7; Code: B7", False), 1006: ("Venue: Hall 7", False), 1007: ("n/a", False), 1008: ("24 May", False), 1009: ("The harbor.", False), 1011: ("Quen", False), 1012: ("Zor Vel Quarnim Dastrel", True),
+    }
+    rows += [(600, "s", "k", "Zor Vel Quarnim Dastrelian goes on to the harbor.")] + [(i, "s", "k", v) for i, (v, _) in cases.items()]
+    why = {r.id: r.why for r in truncation.truncated(entries(rows)).collect()}
+    assert set(why) == {i for i, (_, is_cut) in cases.items() if is_cut}
+    assert why[1012] == "copy" and why[1001] == "mark" and why[1000] == "word"
+
+
 def test_hot_buckets_find_what_pairs_find(entries):
     """Texts that share a long opening: the way for hot buckets flags what comparing all pairs flags."""
     opening = "This notice is sent to every member of the association and its branches without exception"
