@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.config import Config
 from sievework.operators.chunking import semantic_chunks
 from sievework.operators.consolidate import fuzzy_consolidate
 from sievework.operators.entries import document_order, exact_key_dedup, normalize_key, repair_marked, valid_entries
@@ -12,11 +13,11 @@ from sievework.session import cut
 from sievework.sources.scans import Extractor, extract, label_extractor
 
 
-def extract_documents(docs: DataFrame, extractor: Extractor = label_extractor, fuzzy: bool = False, threshold: float = 0.85) -> DataFrame:
+def extract_documents(docs: DataFrame, extractor: Extractor = label_extractor, fuzzy: bool = True, threshold: float | None = None) -> DataFrame:
     """doc_id, ``#``, entry_key, entry_value, comments, chunk_id and final_position of the entries of all documents.
 
-    Stages: sections, extractor, validation, repair of marked values, fuzzy consolidation (if asked for: it compares all pairs
-    of a document), one entry per normalized key, document order. Documents without entries give no rows.
+    Stages: sections, extractor, validation, repair of marked values, fuzzy consolidation (it compares all pairs of a document,
+    at the session's `Config.fuzzy_threshold` if no ``threshold`` is given; left out without ``fuzzy``), one entry per normalized key, document order. Documents without entries give no rows.
     """
     raw = extract(semantic_chunks(docs.dropDuplicates(["doc_id"])), extractor=extractor).filter("status = 'success'")
     # An id over all documents that sorts as the entries stand; it is cut so that every stage sees the same rows.
@@ -25,8 +26,12 @@ def extract_documents(docs: DataFrame, extractor: Extractor = label_extractor, f
     rows = rows.join(fixed, F.col("entry_id") == F.col("_e"), "left").withColumn("entry_value", F.coalesce("repaired", "entry_value")).drop("_e", "repaired")
     rows = rows.withColumn("raw_key", F.col("entry_key")).withColumn("entry_key", normalize_key(F.col("entry_key")))
     if fuzzy:
-        best = fuzzy_consolidate(rows, "doc_id", "entry_id", threshold).select(F.col("best_order").alias("_b"), F.col("comments").alias("_n"))
-        rows = rows.join(best, F.col("entry_id") == F.col("_b")).withColumn("comments", F.coalesce("_n", "comments")).drop("_b", "_n")
+        rows = cut(rows)  # read by every step of the consolidation
+        least = Config.of(docs.sparkSession).fuzzy_threshold if threshold is None else threshold
+        best = fuzzy_consolidate(rows, "doc_id", "entry_id", least).select(F.col("best_order").alias("_b"), F.col("comments").alias("_n"))
+        # Keys that normalizing left too short take no part in the consolidation, but stay.
+        rows = rows.join(best, F.col("entry_id") == F.col("_b"), "left").filter(F.col("_b").isNotNull() | (F.length("entry_key") < 2))
+        rows = rows.withColumn("comments", F.coalesce("_n", "comments")).drop("_b", "_n")
     best = exact_key_dedup(rows, "doc_id", "entry_id").select(F.col("best_order").alias("_b"), "first_order", F.col("comments").alias("_n"))
     rows = rows.join(best, F.col("entry_id") == F.col("_b")).withColumn("comments", F.coalesce("_n", "comments")).drop("_n")
     return document_order(rows, "doc_id", "first_order").select("doc_id", "#", "entry_key", "entry_value", "comments", "chunk_id", "final_position")

@@ -13,6 +13,7 @@ from sievework.operators.chunking import char_windows, semantic_chunks
 from sievework.operators.entries import has_ordinal, normalize_key
 from sievework.operators.positions import candidates, locate
 from sievework.operators.textmetrics import best_phrase, phrase_found
+from sievework.plans import pipeline
 from sievework.plans.pipeline import extract_documents
 from sievework.sources import scans
 from sievework.sources.llm_output import entries_of, salvage
@@ -97,6 +98,22 @@ def test_pipeline_and_extractor(spark):
     assert [(r.status, r.error) for r in scans.extract(chunk, extractor=fails).collect()] == [("error", "no")]
 
 
+def test_pipeline_consolidates_by_default(spark, monkeypatch):
+    """Entries that say the same under slightly different keys are one, at the session's threshold."""
+    text = "Schedule:\nTotal amount due: 1200 EUR for the whole course\nTotal amounts due: 1200 EUR for the whole course\nVenue: Main Hall\n" + "filler words here " * 10
+    docs = spark.createDataFrame([(1, text, 1)], "doc_id long, text string, total_pages int")
+    keys = lambda **how: [r.entry_key for r in extract_documents(docs, **how).collect() if r.entry_key.startswith("total")]
+    assert len(keys()) == 1 and len(keys(fuzzy=False)) == 2
+    used, real = [], pipeline.fuzzy_consolidate
+    monkeypatch.setattr(pipeline, "fuzzy_consolidate", lambda rows, group, order, threshold: used.append(threshold) or real(rows, group, order, threshold))
+    spark.conf.set("spark.sievework.fuzzy_threshold", "0.9")
+    try:
+        extract_documents(docs)
+    finally:
+        spark.conf.unset("spark.sievework.fuzzy_threshold")
+    assert used == [0.9]
+
+
 def test_file_scans(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hello")
     (tmp_path / "b.txt").write_text("  ")
