@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -60,11 +60,14 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85, compat: bool = False
 
 def fuzzy_consolidate(df: DataFrame, group: str, order: str, threshold: float = 0.85, compat: bool = False) -> DataFrame:
     """One row per component of similar entries within a group: group, first_order (its first member), best_order (its survivor),
-    n, and comments (up to three distinct ones, the longest first, joined with `` | ``, or the survivor's own).
+    n, comments (up to three distinct ones, the longest first, joined with `` | ``, or the survivor's own) and value (the survivor's).
 
     ``order`` must be unique over all groups. Entries that are not valid (see `valid_entries`) take no part. The survivor has the
-    highest score (length, comments, no cut mark, digits, words, punctuation, key length), the first on a tie.
+    highest score (length, comments, no cut mark, digits, words, punctuation, key length), the first on a tie. Of several entries
+    more than half of which are about education it is the one of the highest `_education_score`; its comments are the first three
+    distinct ones, and its value takes the range of the component's years if these are two and it lacks one.
     """
+    rules = Rules(threshold, compat)
     rows = prepared(df, group, order)
     links = similar_pairs(rows, threshold, compat)
     roots = connected_components(links.select("a", "b"))
@@ -74,22 +77,43 @@ def fuzzy_consolidate(df: DataFrame, group: str, order: str, threshold: float =
         F.length(v) * 0.4 + F.when(F.length("comments") > 10, 30).otherwise(0) + F.when(cut_mark(v), 0).otherwise(20) + F.when(F.regexp_like(v, F.lit("[0-9]")), 5).otherwise(0)
         + F.when(F.size(F.filter(F.split(v, r"\s+"), lambda x: x != "")) > 3, 5).otherwise(0) + F.when(F.regexp_like(v, F.lit("[.,;:]")), 3).otherwise(0) + F.length("key") * 0.1
     )
+    is_education = F.udf(lambda k, x: rules.is_education(k.lower(), x.lower()), "boolean")
+    years = F.regexp_extract_all(v, F.lit(r"\b((?:19|20)\d{2})\b" if not compat else r"\b(19|20)\d{2}\b"), F.lit(1))
+    member = member.withColumn("edu", is_education("key", "value")).withColumn("years", years)
     notes = F.array_sort(F.collect_set(F.when(F.length("comments") > 0, F.struct("o", "comments"))))
-    g = member.groupBy("g", "c").agg(F.min("o").alias("first_order"), F.count("*").alias("n"), F.max(F.struct(F.bround(score, 6).alias("score"), (-F.col("o")).alias("neg"), "comments")).alias("b"), notes.alias("notes"))
-    merged = _merge(F.transform("notes", lambda x: x["comments"]))
-    return g.select(F.col("g").alias(group), "first_order", (-F.col("b.neg")).alias("best_order"), "n", F.coalesce(merged, F.nullif("b.comments", F.lit(""))).alias("comments"))
+    best = lambda points: F.max(F.struct(F.bround(points, 6).alias("score"), (-F.col("o")).alias("neg"), "comments", "value", "years"))
+    g = member.groupBy("g", "c").agg(
+        F.min("o").alias("first_order"), F.count("*").alias("n"), best(score).alias("b"), best(_education_score(F.lower("key"), F.lower("value"))).alias("e"), notes.alias("notes"),
+        F.avg(F.col("edu").cast("int")).alias("edu"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("years")))).alias("all_years"),
+    )
+    taught = (F.col("n") > 1) & (F.col("edu") > 0.5)
+    g = g.withColumn("b", F.when(taught, F.col("e")).otherwise(F.col("b"))).withColumn("span", F.array_join("all_years", "-"))
+    lacks = taught & (F.size("all_years") == 2) & (F.size(F.array_except("all_years", "b.years")) > 0) & ~F.contains(F.col("b.value"), F.col("span"))
+    value = F.when(lacks, F.concat("b.value", F.lit(" ("), F.col("span"), F.lit(")"))).otherwise(F.col("b.value"))
+    merged = _merge(F.transform("notes", lambda x: x["comments"]), ~taught)
+    return g.select(F.col("g").alias(group), "first_order", (-F.col("b.neg")).alias("best_order"), "n", F.coalesce(merged, F.nullif("b.comments", F.lit(""))).alias("comments"), value.alias("value"))
+
+
+def _education_score(k: Column, v: Column) -> Column:
+    """What an entry (its key and value in lower case) is worth among entries about education."""
+    has = lambda c, p: F.regexp_like(c, F.lit(p))
+    n = F.regexp_count(v, F.lit(r"\b(19|20)\d{2}\b"))
+    score = F.when(has(k, r"\b\d+(st|nd|rd|th)\b"), 50).when(has(k, r"\b(st|nd|rd|th)\b"), -20).otherwise(0) + F.when(n >= 2, 30).when(n == 1, 15).otherwise(0)
+    for term in ("grade", "gpa", "score", "achievement", "degree", "diploma"):
+        score += F.when(F.contains(k, F.lit(term)) | F.contains(v, F.lit(term)), 10).otherwise(0)
+    return score + F.length(v) * 0.1 + F.when(has(v, r"\b\d+(\.\d+)?%?\b"), 15).otherwise(0) + F.when(cut_mark(v), 0).otherwise(10)
 
 
 @F.pandas_udf(T.StringType())
-def _merge(notes: pd.Series) -> pd.Series:
-    """Up to three of the comments no earlier one resembles, the longest first; null unless there are several."""
+def _merge(notes: pd.Series, by_length: pd.Series) -> pd.Series:
+    """Up to three of the comments no earlier one resembles, the longest first if so told; null unless there are several."""
     out = []
-    for xs in notes:
+    for xs, longest in zip(notes, by_length):
         kept: list[str] = []
         for x in dict.fromkeys(xs if xs is not None else ()):
             if not any(similarity(x, k) > 0.8 for k in kept):
                 kept.append(x)
-        out.append(" | ".join(sorted(kept, key=len, reverse=True)[:3]) if len(kept) > 1 else None)
+        out.append(" | ".join((sorted(kept, key=len, reverse=True) if longest else kept)[:3]) if len(kept) > 1 else None)
     return pd.Series(out, dtype=object)
 
 

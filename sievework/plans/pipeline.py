@@ -28,10 +28,10 @@ def extract_documents(docs: DataFrame, extractor: Extractor = label_extractor, f
     if fuzzy:
         rows = cut(rows)  # read by every step of the consolidation
         least = Config.of(docs.sparkSession).fuzzy_threshold if threshold is None else threshold
-        best = fuzzy_consolidate(rows, "doc_id", "entry_id", least).select(F.col("best_order").alias("_b"), F.col("comments").alias("_n"))
+        best = fuzzy_consolidate(rows, "doc_id", "entry_id", least).select(F.col("best_order").alias("_b"), F.col("comments").alias("_n"), F.col("value").alias("_v"))
         # Keys that normalizing left too short take no part in the consolidation, but stay.
         rows = rows.join(best, F.col("entry_id") == F.col("_b"), "left").filter(F.col("_b").isNotNull() | (F.length("entry_key") < 2))
-        rows = rows.withColumn("comments", F.coalesce("_n", "comments")).drop("_b", "_n")
+        rows = rows.withColumn("comments", F.coalesce("_n", "comments")).withColumn("entry_value", F.coalesce("_v", "entry_value")).drop("_b", "_n", "_v")
     best = exact_key_dedup(rows, "doc_id", "entry_id").select(F.col("best_order").alias("_b"), "first_order", F.col("comments").alias("_n"))
     rows = rows.join(best, F.col("entry_id") == F.col("_b")).withColumn("comments", F.coalesce("_n", "comments")).drop("_n")
     return document_order(rows, "doc_id", "first_order").select("doc_id", "#", "entry_key", "entry_value", "comments", "chunk_id", "final_position")

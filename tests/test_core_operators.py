@@ -107,6 +107,18 @@ def test_consolidation_is_a_partition(spark):
     assert consolidate.fuzzy_consolidate(df.limit(0), "session_id", "entry_id").count() == 0
 
 
+def test_education_entries_merge(spark):
+    """A whole ordinal outweighs a longer value; two years of a component come together, comments in their order."""
+    rows = [(1, 1, "Th Grade", "85% overall in 2019 with a long remark on the marks given in all the subjects", "first"), (1, 2, "10th Grade", "85% overall in 2019", "a second, longer one"), (1, 3, "10th Grade", "85% overall in 2019, 2020", None)]
+    make = lambda rs: consolidate.fuzzy_consolidate(spark.createDataFrame(rs, "session_id long, entry_id long, entry_key string, entry_value string, comments string"), "session_id", "entry_id").collect()
+    got = make(rows[:2])
+    assert [(r.n, r.best_order, r.value, r.comments) for r in got] == [(2, 2, "85% overall in 2019", "first | a second, longer one")]
+    rows[2] = (1, 3, "10th Grade", "85% in 2020", None)
+    rows[0] = (1, 1, "10th Grade", "85% overall in 2019 as a grade", None)
+    got = make([rows[0], rows[2]])
+    assert [(r.n, r.best_order, r.value) for r in got] == [(2, 1, "85% overall in 2019 as a grade (2019-2020)")]
+
+
 def test_labels_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(" Web-Upload\t", "SESSION_1 "), (None, None)], "s string, k string")
     assert [tuple(r) for r in df.select(norm_label(F.col("s")), norm_session_id(F.col("k"))).collect()] == [("web_upload", "session_1"), (None, None)]
