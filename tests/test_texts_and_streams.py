@@ -11,7 +11,7 @@ from sievework.functions.similarity import Rules, partial_ratio, raw_ratio, simi
 from sievework.operators import feedback, tuning
 from sievework.operators.chunking import char_windows, semantic_chunks
 from sievework.operators.entries import has_ordinal, normalize_key
-from sievework.operators.positions import candidates, locate
+from sievework.operators.positions import candidates, locate, positions
 from sievework.operators.textmetrics import best_phrase, phrase_found
 from sievework.plans import pipeline
 from sievework.plans.pipeline import extract_documents
@@ -79,6 +79,16 @@ def test_positions():
     assert candidates("Key", "value")[0] == "Key: value"
 
 
+def test_fallback_positions_follow_the_entries(spark):
+    """Entries that no search finds are estimated by their index within their session."""
+    rows = [(s, i, 1, "Zebra", "qqqq") for s, ids in (("s", range(100, 124, 2)), ("t", [7, 3]), (None, [1, 2])) for i in ids]
+    entries = spark.createDataFrame(rows, "session_id string, entry_id long, chunk_id int, entry_key string, entry_value string")
+    chunks = spark.createDataFrame([("s", 1, "nothing here"), ("t", 1, "nothing here")], "session_id string, chunk_id int, content string")
+    got = {r.entry_id: (r.position, r.final_position, r.method) for r in positions(entries, chunks, "session_id", "entry_id").collect()}
+    want = {i: locate("Zebra", "qqqq", "nothing here", n)[0] for ids in (range(100, 124, 2), [3, 7], [1, 2]) for n, i in enumerate(ids)}
+    assert got == {i: (p, 100_000 + p, "fallback") for i, p in want.items()}
+
+
 def test_salvage(spark):
     texts = ['Sure: ```json\n{"entries": [{"KEY": "a", "Value": "b"}], "global_notes": "n"}\n``` done', '[{"key": "a", "value": "b"}]', '{"Key": "a", "Value": "b", "comment": "c"}', "no json", None, "{broken"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(entries_of(salvage(F.col("t")))).collect()]
