@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import cut
+from sievework.session import written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -17,8 +17,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Raises RuntimeError if ``max_rounds`` rounds do not settle it (a path of 2**60 nodes would).
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull())
-    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    cur = cut(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # The input is evaluated once; edges, self-loops and nodes are read back from what was written.
+    once = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    nodes = once.select(F.col("u").alias("node")).union(once.select("v")).distinct()
+    cur = once.filter("u <> v")
     mark = _mark(cur)
     for _ in range(max_rounds):
         both = cur.union(cur.select("v", "u"))
@@ -27,7 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = large.filter("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        cur, old = cut(small.union(low2.select("u", F.col("m").alias("v"))).distinct()), mark
+        cur, old = written(small.union(low2.select("u", F.col("m").alias("v"))).distinct()), mark
         mark = _mark(cur)
         # Settled when a round changes nothing: then every edge points from a node to its root.
         if mark == old:

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(app: str = "sievework", cpus: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -47,11 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Like `cut`, as a compressed table of columns: smaller, and later reads take only the columns they need.
 
-    The table stays in the shared folder under a name of its own; it is removed when the driver ends.
+    What was shuffled for it is removed once it is written. The table stays in the shared folder under a name of its own until the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if kept is None else spark.conf.set(_CLEANUP, kept)
     _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
