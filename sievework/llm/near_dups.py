@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +17,19 @@ from sievework.functions.text import is_placeholder
 from sievework.llm.bagminhash import band_keys, mix, signatures
 from sievework.llm.vectext import code_points, hash_runs, is_alnum, tokenize_codes
 from sievework.operators.components import connected_components
+from sievework.operators.skew import join_counted
 from sievework.session import written
 
-#: Of pairs of similarity .7 a band of five finds 16.8 %, so 32 bands miss 0.28 %, and fewer of any more similar pair.
-BANDS, ROWS = 32, 5
-#: The pairs of a bucket of more word sets are tested where the bucket is (see `_hot_links`); which are found does not depend on it.
-HOT = 2000
+#: Of pairs at the least similarity, all bands together miss this share, and fewer of any more similar pair.
+MISSED = 0.0025
+#: Components a band has beyond four, so that chance meetings in a bucket stay few, are log10(word sets / this).
+CHANCE = 50
+#: A bucket of more word sets is compared block against block, each pair of blocks in a task; which pairs are found does not depend on it.
+HOT = 16_384
+#: Members of a form beyond so many are spread under several keys when pairs of forms become pairs of records.
+SPREAD = 100_000
+CELLS = 96  # of a word set's parity map
+_TINY = 24  # rows of a bucket up to which buckets are compared together, all at one distance at a time
 _FIELD_BREAKS, _RUN = re.compile(r"[;|\r\n]+"), re.compile(r"[^\W_]+")
 
 
@@ -35,14 +41,15 @@ def texts(df: DataFrame, id_col: str, key_col: str, value_col: str, min_runs: in
 
 @dataclass
 class Records:
-    """The eligible rows of a batch: which they are, their distinct words one record after the other, and their class (a hash
-    of the set of words, its size in the last 8 bits).
+    """The eligible rows of a batch: which they are, their distinct words one record after the other, their class (two
+    independent 64-bit hashes of the set of words) and where key and value are in the code points.
     """
 
     row: np.ndarray
     starts: np.ndarray
     words: np.ndarray
     cls: np.ndarray
+    check: np.ndarray
     codes: np.ndarray
     begin: np.ndarray
     middle: np.ndarray
@@ -71,10 +78,9 @@ def read_records(rb: pa.RecordBatch, min_runs: int) -> Records:
     key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key  # distinct words of each record, in order
     own, w = key >> 32, key & 0xFFFFFFFF
     first = np.searchsorted(own, np.arange(len(tok.starts) + 1))
-    total = np.add.reduceat(mix(w.astype(np.uint64)), first[:-1]) if len(w) else np.zeros(0, np.uint64)
-    size = np.minimum(np.diff(first), 255).astype(np.uint64)
-    cls = ((mix(total) & ~np.uint64(255)) | size).view(np.int64)
-    return Records(np.flatnonzero(ok), first, w.astype(np.uint32).view(np.int32), cls, codes, starts[:-1][ok], middle[ok], starts[1:][ok])
+    once = mix(w.astype(np.uint64) + np.uint64(1))
+    hashes = [mix(np.add.reduceat(h, first[:-1])).view(np.int64) if len(w) else np.zeros(0, np.int64) for h in (once, mix(once))]
+    return Records(np.flatnonzero(ok), first, w.astype(np.uint32).view(np.int32), *hashes, codes, starts[:-1][ok], middle[ok], starts[1:][ok])
 
 
 def field_hash(key: str, value: str) -> int | None:
@@ -89,37 +95,29 @@ def field_hash(key: str, value: str) -> int | None:
     return int.from_bytes(blake2b("\x1f".join([bare(key.lower()), *fields]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def members(src: DataFrame, min_runs: int) -> DataFrame:
-    """id, cls, plain and fields of each eligible row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            r = read_records(rb, min_runs)
-            rb = rb.take(pa.array(r.row))
-            fields = [field_hash(k, v) for k, v in zip(rb.column("key").to_pylist(), rb.column("value").to_pylist())]
-            yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array(r.cls), pa.array(r.plain()), pa.array(fields, pa.int64())], ["id", "cls", "plain", "fields"])
-
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, cls long, plain long, fields long")
-
-
-def word_sets(src: DataFrame, min_runs: int) -> DataFrame:
-    """cls and words of each different set of words among the eligible rows. Copies combine in the task that reads them."""
+def records(src: DataFrame, min_runs: int) -> DataFrame:
+    """Of each eligible row id, cls and check (its word set), plain and fields (its forms; fields is 0 without a list), and the
+    words of the set where the task that reads it has not seen it before. One pass over the texts, written once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rb in batches:
             r = read_records(rb, min_runs)
+            rb = rb.take(pa.array(r.row))
+            fields = [field_hash(k, v) or 0 for k, v in zip(rb.column("key").to_pylist(), rb.column("value").to_pylist())]
             new = np.zeros(len(r.cls), bool)
-            for i in np.unique(r.cls, return_index=True)[1]:
-                c = int(r.cls[i])
+            for i in np.unique(r.cls ^ r.check, return_index=True)[1]:
+                c = int(r.cls[i] ^ r.check[i])
                 new[i] = c not in seen
                 seen.add(c)
             if len(seen) > 1_000_000:  # forgotten at a bound: a copy more does no harm
                 seen.clear()
-            all_sets = pa.ListArray.from_arrays(pa.array(r.starts.astype(np.int32)), pa.array(r.words))
-            yield pa.RecordBatch.from_arrays([pa.array(r.cls[new]), all_sets.filter(pa.array(new))], ["cls", "words"])
+            size = np.where(new, np.diff(r.starts), 0)
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append(~new, False)), pa.array(r.words[np.repeat(new, np.diff(r.starts))]))
+            yield pa.RecordBatch.from_arrays([rb.column("id"), *map(pa.array, (r.cls, r.check, r.plain())), pa.array(fields, pa.int64()), sets], ["id", "cls", "check", "plain", "fields", "words"])
 
-    return src.mapInArrow(run, "cls long, words array<int>").groupBy("cls").agg(F.first("words").alias("words"))
+    return written(src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, cls long, check long, plain long, fields long, words array<int>"))
 
 
 def _flat(rb: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -130,185 +128,243 @@ def _flat(rb: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndar
     return off - off[0], col.flatten().to_numpy(zero_copy_only=False)
 
 
-def _keys(starts: np.ndarray, words: np.ndarray, bands: int, rows: int, bits: int) -> np.ndarray:
-    """Bucket of each set of words in each band. All words weigh the same, so sets meet by their Jaccard similarity alone."""
-    keys = band_keys(signatures(starts, words.view(np.uint32).astype(np.uint64), np.zeros(len(words), np.uint8), bands * rows), bands, rows)
-    return (keys.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+def banding(n: int, similarity: float) -> tuple[int, int]:
+    """Bands and components a band for ``n`` word sets. All words weigh the same, so whether a pair meets depends on its similarity
+    alone; bands are as many as keep the share of missed pairs below MISSED whatever their components.
+    """
+    rows = max(4, math.ceil(math.log10(max(n, 1) / CHANCE)))
+    return math.ceil(math.log(MISSED) / math.log(1 - similarity**rows)), rows
 
 
-def _maps(starts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """64 bits of each set of words, one or more of them for its words."""
-    out = np.zeros(len(starts) - 1, np.uint64)
-    full = np.diff(starts) > 0
-    if full.any():
-        out[full] = np.bitwise_or.reduceat(np.uint64(1) << (words & 63).astype(np.uint64), starts[:-1][full])
-    return out.view(np.int64)
+def _parity(starts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two integers a set: the parities of the number of its words in each of CELLS cells, 64 in the first; the second has the
+    set's size above its 32. At least as many words differ between two sets as parities do.
+    """
+    cell = (mix(words.view(np.uint32).astype(np.uint64)) >> np.uint64(20)) % np.uint64(CELLS)
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    low, high = (np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), starts[:-1]) for own in (cell < 64, cell >= 64))
+    return low.view(np.int64), (high | (np.diff(starts).astype(np.uint64) << np.uint64(32))).view(np.int64)
 
 
 def _bands(bands: int, rows: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            starts, words = _flat(rb, "words")
-            keys = _keys(starts, words, bands, rows, bits)
-            ids, maps = (np.repeat(x, bands) for x in (rb.column("cls").to_numpy(), _maps(starts, words)))
-            full = np.repeat(np.diff(starts) > 0, bands)
-            # The bucket comes last: its leading zeros then stand beside those of the next row and compress with them.
-            yield pa.RecordBatch.from_arrays([pa.array(ids[full]), pa.array(maps[full]), pa.array(keys.ravel()[full])], ["cls", "map", "bucket"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                rb = whole.slice(at, 2000)
+                starts, words = _flat(rb, "words")
+                keys = band_keys(signatures(starts, words.view(np.uint32).astype(np.uint64), np.zeros(len(words), np.uint8), bands * rows), bands, rows)
+                keys = (keys.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+                cls, low, high = (np.repeat(x, bands) for x in (rb.column("cls").to_numpy(), *_parity(starts, words)))
+                # The bucket comes last: its leading zeros then stand beside those of the next row and compress with them.
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(low), pa.array(high), pa.array(keys.ravel())], ["cls", "low", "high", "bucket"])
 
     return run
 
 
-def _pairs(similarity: float, hot: int):
-    """Pairs (a < b) of the rows of equal ``bucket`` in sorted input, whose set sizes and word maps allow ``similarity``; of a bucket of more
-    than ``hot`` rows its rows instead (``a`` with the bucket and no ``b``).
-    """
-
-    most = (1 - similarity) / (1 + similarity)
-
-    def emit(bucket: np.ndarray, ids: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size = ids & 255
-        at = np.arange(len(ids))
-        for d in range(1, len(ids)):
-            at = at[at + d < len(ids)]
+class _Sets:
+    """Word sets by their class and parity map."""
+
+    def __init__(self, cls: np.ndarray, low: np.ndarray, high: np.ndarray, similarity: float):
+        self.cls, self.low = cls, low.view(np.uint64)
+        self.high, self.size = (high & 0xFFFFFFFF).astype(np.uint32), (high >> 32).astype(np.float64)
+        # |A xor B| <= most * (|A| + |B|) holds for every similar pair.
+        self.similarity, self.most = similarity, (1 - similarity) / (1 + similarity) * self.size + 5e-10
+
+    def tested(self, x: np.ndarray, y: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """Which of the pairs ``x``, ``y`` sizes and parity maps allow; ``differ``: parities that differ in the first part."""
+        small, large = np.minimum(self.size[x], self.size[y]), np.maximum(self.size[x], self.size[y])
+        differ = differ + np.bitwise_count(self.high[x] ^ self.high[y])
+        return (differ <= self.most[x] + self.most[y]) & (small >= self.similarity * large - 1e-9) & (self.cls[x] != self.cls[y])
+
+    def rows(self, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        a, b = self.cls[x], self.cls[y]
+        key = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1])], ["a", "b"])
+
+    def across(self, a: slice, b: slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs that tests allow between two stretches; of one stretch with itself each once."""
+        same, n = a == b, b.stop - b.start
+        step = max(1, 500_000 // max(n, 1))
+        for lo in range(a.start, a.stop, step):
+            hi, first = min(lo + step, a.stop), lo if same else b.start
+            differ = np.bitwise_count(self.low[lo:hi, None] ^ self.low[None, first : b.stop])
+            x, y = np.nonzero(differ <= self.most[lo:hi, None] + self.most[None, first : b.stop])
+            x, y, d = x + lo, y + first, differ[x, y]
+            if same:
+                x, y, d = x[y > x], y[y > x], d[y > x]
+            ok = self.tested(x, y, d)
+            yield x[ok], y[ok]
+
+    def within(self, bucket: np.ndarray) -> pa.RecordBatch:
+        """The pairs of rows of equal ``bucket``, in sorted input."""
+        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        size = np.diff(np.append(edge, len(bucket)))
+        found = [p for e, n in zip(edge[size > _TINY], size[size > _TINY]) for p in self.across(slice(e, e + n), slice(e, e + n))]
+        at = np.flatnonzero(np.repeat((size > 1) & (size <= _TINY), size))
+        for d in range(1, _TINY):
+            at = at[at + d < len(bucket)]
             at = at[bucket[at] == bucket[at + d]]
             if not len(at):
-                return
-            x, y = ids[at], ids[at + d]
-            small, large = np.minimum(size[at], size[at + d]), np.maximum(size[at], size[at + d])
-            # |A xor B| <= most * (|A| + |B|) holds for every similar pair, and it is at least the number of differing bits.
-            ok = (small >= similarity * large - 1e-9) & (np.bitwise_count((maps[at] ^ maps[at + d]).view(np.uint64)) <= most * (small + large) + 1e-9)
-            ok = (x != y) & (ok | (large == 255))
-            if not ok.any():
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok]), pa.nulls(int(ok.sum()), pa.int64())], ["a", "b", "bucket"])
+                break
+            ok = self.tested(at, at + d, np.bitwise_count(self.low[at] ^ self.low[at + d]))
+            found.append((at[ok], at[ok] + d))
+        return self.rows(*(np.concatenate([p[i] for p in found] or [np.zeros(0, np.int64)]) for i in (0, 1)))
+
+
+def _pairs(similarity: float, hot: int, least: int = 100_000):
+    """Pairs (a < b) of the rows of equal ``bucket`` in sorted input, as far as sizes and parity maps allow ``similarity``; of a bucket of
+    more than ``hot`` rows its rows instead, each with the number of its block.
+    """
+    names = ("bucket", "cls", "low", "high")
+
+    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rb = _Sets(*cols[1:], similarity).within(cols[0])
+        if rb.num_rows:
+            yield pa.RecordBatch.from_arrays([*rb.columns, *(pa.nulls(rb.num_rows, pa.int64()) for _ in range(4))], ["a", "b", "bucket", "low", "high", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in range(3)]
-        flowing = None  # the hot bucket whose rows are passed on as they come
-        for rb in batches:
-            bucket, ids, maps = (np.concatenate([h, rb.column(c).to_numpy()]) for h, c in zip(held, ("bucket", "cls", "map")))
-            if not len(bucket):
-                continue
-            edge = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+        held: list[list[np.ndarray]] = []
+        flowing, gone, last = None, 0, None  # the hot bucket whose rows are passed on as they come, how many have, and the last one
+
+        def read(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal flowing, gone, last
+            cols = [np.concatenate(x) for x in zip(*held)]
+            new = np.append(last is None or any(x[0] != y for x, y in zip(cols, last)), np.any([x[1:] != x[:-1] for x in cols], axis=0))
+            end = [x[-1] for x in cols]
+            cols = [x[new] for x in cols]  # a set that several tasks have read is one
+            if not len(cols[0]):
+                held[:] = []
+                return
+            last = None
+            bucket = cols[0]
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             size = np.diff(np.append(edge, len(bucket)))
-            large = size > hot
-            if flowing is not None:
-                large |= bucket[edge] == flowing
-            wide = np.repeat(large, size)
-            done = len(bucket) if large[-1] else int(edge[-1])  # the last bucket may go on in the next batch
-            flowing = bucket[-1] if large[-1] else None
-            plain = ~wide[:done]
-            yield from emit(bucket[:done][plain], ids[:done][plain], maps[:done][plain])
-            if wide.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[wide]), pa.nulls(int(wide.sum()), pa.int64()), pa.array(bucket[wide])], ["a", "b", "bucket"])
-            held = [bucket[done:], ids[done:], maps[done:]]
-        yield from emit(*held)
+            large = (size > hot) | (bucket[edge] == flowing)
+            done = len(bucket) if final or large[-1] else int(edge[-1])  # the last bucket may go on in the next batch
+            for e, n in zip(edge[large], size[large]):
+                gone = gone if bucket[e] == flowing else 0
+                flowing = bucket[e]
+                for at in range(e, e + n, hot):
+                    part = slice(at, min(at + hot, e + n))
+                    k = part.stop - part.start
+                    block = (gone + np.arange(k)) // hot
+                    gone += k
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[1][part]), pa.nulls(k, pa.int64()), *(pa.array(cols[i][part]) for i in (0, 2, 3)), pa.array(block)], ["a", "b", "bucket", "low", "high", "block"])
+            if not large[-1]:
+                flowing, gone = None, 0
+            plain = ~np.repeat(large, size)[:done]
+            yield from emit([x[:done][plain] for x in cols])
+            if done < len(bucket):
+                held[:] = [[x[done:] for x in cols]]
+            else:
+                held[:], last = [], end
+
+        rows = 0
+        for rb in batches:
+            held.append([rb.column(c).to_numpy() for c in names])
+            rows += rb.num_rows
+            if rows >= least and rb.num_rows:
+                yield from read(False)
+                rows = sum(len(x[0]) for x in held)
+        if held:
+            yield from read(True)
 
     return run
 
 
-def _bucket_links(similarity: float, bands: int, rows: int, bits: int):
-    """The similar pairs of each hot bucket, from rows of bucket, cls and words sorted by bucket. A pair comes out of the first
-    band in which it meets only.
-    """
+def _block_pairs(similarity: float):
+    """Pairs between the two blocks of each (bucket, i, j), rows sorted by these and by block."""
 
-    def test(bucket: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        starts, words = _flat(t, "words")
-        cls, size = t.column("cls").to_numpy(), np.diff(starts)
-        keys = _keys(starts, words, bands, rows, bits)
-        own = np.flatnonzero((keys == bucket).all(axis=0))
-        earlier = keys[:, : own[0]] if len(own) else keys[:, :0]
-        maps = _maps(starts, words).view(np.uint64)
-        code = np.unique(words, return_inverse=True)[1].astype(np.int64)
-        held = np.sort((np.repeat(np.arange(len(cls)), size) << 32) | code)
-        most = (1 - similarity) / (1 + similarity)
-        step = max(1, 1_000_000 // len(cls))
-        for lo in range(0, len(cls), step):
-            hi = min(lo + step, len(cls))
-            near = np.bitwise_count(maps[lo:hi, None] ^ maps[None, lo:]) <= most * (size[lo:hi, None] + size[None, lo:]) + 1e-9
-            x, y = np.nonzero(near)
-            x, y = x[y > x] + lo, y[y > x] + lo
-            for at in range(0, len(x), 50_000):
-                a, b = x[at : at + 50_000], y[at : at + 50_000]
-                new = ~(earlier[a] == earlier[b]).any(axis=1) & (cls[a] != cls[b])
-                a, b = a[new], b[new]
-                if not len(a):
-                    continue
-                n = size[a]
-                pair = np.repeat(np.arange(len(a)), n)
-                pos = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[a], n)
-                look = (b[pair] << 32) | code[pos]
-                hit = held[np.minimum(np.searchsorted(held, look), len(held) - 1)] == look
-                both = np.bincount(pair, hit, len(a))
-                ok = both >= similarity * (size[a] + size[b] - both) - 1e-9
-                p, q = cls[a[ok]], cls[b[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+    def test(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        s = _Sets(*(t.column(c).to_numpy() for c in ("a", "low", "high")), similarity)
+        block = t.column("block").to_numpy()
+        n, mid = len(block), int(np.searchsorted(block, block[0], "right"))
+        for x, y in s.across(slice(0, mid), slice(0, mid) if mid == n else slice(mid, n)):
+            yield s.rows(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, own = [], None
         for rb in batches:
-            bucket = rb.column("bucket").to_numpy()
-            edge = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else []
-            for lo, hi in zip(edge, [*edge[1:], len(bucket)]):
-                if held and held[0].column("bucket")[0].as_py() != bucket[lo]:
-                    yield from test(held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held).combine_chunks())
+            keys = np.stack([rb.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
+            edge = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else []
+            for lo, hi in zip(edge, [*edge[1:], len(keys)]):
+                if held and own != tuple(keys[lo]):
+                    yield from test(pa.Table.from_batches(held).combine_chunks())
                     held = []
+                own = tuple(keys[lo])
                 held.append(rb.slice(lo, hi - lo))
         if held:
-            yield from test(held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held).combine_chunks())
+            yield from test(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def similar_classes(src: DataFrame, similarity: float = 0.7, min_runs: int = 12, bands: int = BANDS, band_rows: int = ROWS, hot: int = HOT) -> DataFrame:
-    """Pairs (``a`` < ``b``) of different word sets among the rows of `texts` whose Jaccard similarity is ``similarity`` or more.
+def similar_classes(own: DataFrame, similarity: float = 0.7, bands: int | None = None, band_rows: int | None = None, hot: int = HOT) -> DataFrame:
+    """Pairs (``a`` < ``b``, structs of cls and check) of different word sets among ``own`` (see `records`) whose Jaccard similarity
+    is ``similarity`` or more; written, as it is read several times.
 
-    Candidates share a band of BagMinHash components. All words weigh the same, so whether a pair is found depends on its
+    Candidates share a band of BagMinHash components (see `banding`). All words weigh the same, so whether a pair is found depends on its
     similarity alone, not on how common its words or how many its copies are. Three exact tests follow, cheapest first: set
-    sizes, a 64-bit word map whose differing bits count at most the differing words, and the word sets themselves. Equal sets
-    meet once, as one class. Buckets of more than ``hot`` sets are tested in place.
+    sizes, a parity map of which as many bits differ as words at most, and the word sets themselves. Equal sets
+    meet once, as one class. Buckets of more than ``hot`` sets are compared in blocks.
     """
-    n = src.count()
-    # So many bits that some ten thousand keys in all meet by chance, whatever n: keys are most of what is shuffled, and pairs
+    sets = own.filter("words is not null")
+    n = sets.count()
+    chosen = banding(n, similarity)
+    bands, rows = bands or chosen[0], band_rows or chosen[1]
+    # So many bits that some ten thousand keys in all meet by chance, whatever n: keys are much of what is shuffled, and pairs
     # that meet by chance fail the exact tests.
     bits = max(24, min(63, math.ceil(2 * math.log2(max(2, n * bands))) - 15))
-    classes = word_sets(src, min_runs)
-    buckets = classes.mapInArrow(_bands(bands, band_rows, bits), "cls long, map long, bucket long")
-    met = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(similarity, hot), "a long, b long, bucket long")
-    met = written(met.repartition("a").distinct())
+    buckets = sets.select("cls", "words").mapInArrow(_bands(bands, rows, bits), "cls long, low long, high long, bucket long")
+    order = ["bucket", "cls", "low", "high"]
+    met = buckets.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_pairs(similarity, hot), "a long, b long, bucket long, low long, high long, block long")
+    met = written(met)
     cand = met.filter("b is not null").select("a", "b")
+    crowd = met.filter("b is null")
+    if crowd.limit(1).count():
+        blocks = crowd.groupBy("bucket").agg((F.max("block") + 1).alias("n"))
+        crowd = crowd.join(blocks, "bucket").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        crowd = crowd.select("a", "bucket", "low", "high", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+        crowd = crowd.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block").mapInArrow(_block_pairs(similarity), "a long, b long")
+        cand = cand.unionByName(crowd)
 
-    w = classes.select(F.col("cls").alias("_c"), F.col("words").alias("_w"))
-    near = cand.join(w, cand["a"] == w["_c"]).select("a", "b", F.col("_w").alias("_wa"))
-    near = near.join(w, near["b"] == w["_c"])
-    both = F.size(F.array_intersect("_wa", "_w"))
-    links = near.filter(both >= similarity * (F.size("_wa") + F.size("_w") - both) - 1e-9).select("a", "b")
-    crowd = met.filter("b is null").select("a", "bucket")
-    if not crowd.limit(1).count():
-        return links
-    crowd = crowd.join(w, crowd["a"] == w["_c"]).select("bucket", F.col("a").alias("cls"), F.col("_w").alias("words"))
-    crowd = crowd.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(similarity, bands, band_rows, bits), "a long, b long")
-    return links.unionByName(crowd).distinct()
+    side = lambda s: sets.select(F.col("cls").alias(f"_{s}"), F.struct("cls", "check").alias(s), F.col("words").alias(f"_w{s}"))
+    near = cand.distinct().withColumnsRenamed({"a": "_a", "b": "_b"}).join(side("a"), "_a").join(side("b"), "_b")
+    both = F.size(F.array_intersect("_wa", "_wb"))
+    return written(near.filter(both >= similarity * (F.size("_wa") + F.size("_wb") - both) - 1e-9).select("a", "b").distinct())
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str = "entry_id", key_col: str = "entry_key", value_col: str = "entry_value", similarity: float = 0.7, min_runs: int = 12) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str = "entry_id", key_col: str = "entry_key", value_col: str = "entry_value", similarity: float = 0.7, min_runs: int = 12, spread: int = SPREAD) -> DataFrame:
     """All pairs of records (``id_a`` < ``id_b``) whose words are similar and whose bare forms differ.
 
     Records count if their value is no placeholder and has ``min_runs`` runs of letters and digits or more; null keys count
     as empty. Pairs of one word set are found as members of one class, pairs of different sets through `similar_classes`.
     Rows delivered twice are one record; a record never pairs with itself; empty input gives no rows.
+    Forms (records equal but for formatting) are paired first and become records at the end, so copies never meet each other.
     Result size is what the definition asks for: a hundred variants of a text are 4,950 pairs.
     """
-    src = texts(df, id_col, key_col, value_col, min_runs)
-    links = similar_classes(src, similarity, min_runs)
-    own = written(members(src, min_runs))  # read three times, made once
-    forms = own.groupBy("cls").agg(F.min("plain").alias("lo"), F.max("plain").alias("hi"))
-    within = forms.filter("lo <> hi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    m = lambda s: own.select(*(F.col(c).alias(f"{c}_{s}") for c in own.columns))
-    pairs = links.unionByName(within).join(m("a"), F.col("a") == F.col("cls_a")).join(m("b"), F.col("b") == F.col("cls_b"))
-    differ = (F.col("plain_a") != F.col("plain_b")) & ~F.coalesce(F.col("fields_a") == F.col("fields_b"), F.lit(False))
-    pairs = pairs.filter(differ & ((F.col("a") != F.col("b")) | (F.col("id_a") < F.col("id_b"))))
-    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    own = records(texts(df, id_col, key_col, value_col, min_runs), min_runs)
+    links = similar_classes(own, similarity)
+    # Only classes with a link or with several forms have pairs; all else is left behind here.
+    forms = ["plain", "fields"]
+    several = own.groupBy("cls", "check").agg(*(f(c).alias(f"{n}_{c}") for c in forms for n, f in (("lo", F.min), ("hi", F.max)))).filter("lo_plain <> hi_plain")
+    several = several.select(F.struct("cls", "check").alias("c"))
+    nodes = links.select(F.explode(F.array("a", "b")).alias("c")).unionByName(several).distinct().select("c.cls", "c.check")
+    own = written(own.select("id", "cls", "check", *forms).join(nodes, ["cls", "check"]).distinct())
+    of = own.groupBy("cls", "check", *forms).agg(F.count("*").alias("n"))
+    f = lambda s: of.select(F.struct("cls", "check").alias(s), F.struct("cls", "check", *forms).alias(f"f{s}"), (F.floor((F.col("n") - 1) / spread) + 1).alias(f"n{s}"))
+    pairs = links.join(f("a"), "a").join(f("b"), "b").select("fa", "na", "fb", "nb")
+    within = f("a").join(f("b"), F.col("a") == F.col("b")).filter("fa < fb").select("fa", "na", "fb", "nb")
+    same = (F.col("fa.fields") == F.col("fb.fields")) & (F.col("fa.fields") != 0)
+    pairs = pairs.unionByName(within).filter((F.col("fa.plain") != F.col("fb.plain")) & ~same)
+    # A form with a large share of all rows has as many keys as `spread` fits into it; its partners are repeated for each.
+    wide = F.broadcast(of.filter(F.col("n") > spread).select("cls", "check", *forms, (F.floor((F.col("n") - 1) / spread) + 1).alias("n")))  # at most rows / spread
+    rows = own.join(wide, ["cls", "check", *forms], "left").select("id", F.struct("cls", "check", *forms).alias("f"), F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))).alias("k"))
+    for s in ("a", "b"):
+        keys = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{s}") - 1)).alias(f"k{s}")
+        m = rows.select(F.col("id").alias(f"id_{s}"), F.col("f").alias(f"_f{s}"), F.col("k").alias(f"_k{s}"))
+        pairs = pairs.select("*", keys).join(m, (F.col(f"f{s}") == F.col(f"_f{s}")) & (F.col(f"k{s}") == F.col(f"_k{s}"))).drop(f"_f{s}", f"_k{s}", f"k{s}")
+    return pairs.filter("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "entry_id", key_col: str = "entry_key", value_col: str = "entry_value", similarity: float = 0.7, min_runs: int = 12) -> DataFrame:
@@ -316,12 +372,13 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "entry_id", key_col: str
 
     Groups are connected components of similar word sets; ``group`` is the smallest id in it. Copies need no links.
     """
-    src = texts(df, id_col, key_col, value_col, min_runs)
-    links = similar_classes(src, similarity, min_runs)
-    ends = links.select("a", "b")
-    roots = connected_components(ends)
-    degree = ends.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    of = members(src, min_runs).select("id", "cls").distinct().join(roots, F.col("cls") == F.col("node"), "left").join(degree, "cls", "left")
-    of = of.select("id", F.coalesce("component", "cls").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
-    lead = of.groupBy("c").agg(F.min("id").alias("group"))
-    return of.join(lead, "c").select("id", "group", "links")
+    own = records(texts(df, id_col, key_col, value_col, min_runs), min_runs)
+    links = similar_classes(own, similarity)
+    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
+    found = degree.join(connected_components(links), F.col("c") == F.col("node")).select("c", "links", "component")
+    rows = own.select("id", F.struct("cls", "check").alias("c")).distinct()
+    # One row a class, combined map-side; its members come back by a join that holds for hot classes.
+    classes = rows.groupBy("c").agg(F.min("id").alias("lead"), F.count("*").alias("n")).join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    lead = classes.groupBy("component").agg(F.min("lead").alias("group"))
+    classes = classes.join(lead, "component").select("c", "n", "group", F.coalesce("links", F.lit(0)).alias("links"))
+    return join_counted(rows, classes, "c", "n", F.col("id")).select("id", "group", "links")

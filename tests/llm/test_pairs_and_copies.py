@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from sievework.llm import canonical, near_dups
-from sievework.llm.bagminhash import signatures
+from sievework.llm.bagminhash import arrivals, signatures
 
 RUN = re.compile(r"[^\W_]+")
 
@@ -52,6 +52,18 @@ def test_signatures_estimate_weighted_jaccard():
     assert np.isinf(signatures(np.array([0, 0]), np.zeros(0, np.uint64), np.zeros(0, np.uint8), 8)).all()
 
 
+def test_signatures_of_very_long_bags():
+    """Bags of more words than are folded at once have the minima over all their words."""
+    rng = np.random.default_rng(2)
+    size = np.array([3, 0, 700, 40_000, 1, 600])
+    starts, words = np.concatenate([[0], np.cumsum(size)]), rng.permutation(1 << 20)[: size.sum()].astype(np.uint64)
+    level = rng.integers(0, 3, len(words)).astype(np.uint8)
+    s = signatures(starts, words, level, 16)
+    for i in range(len(size)):
+        own = slice(starts[i], starts[i + 1])
+        assert (s[i] == arrivals(words[own], level[own], 16).min(axis=0, initial=np.inf)).all()
+
+
 def test_near_duplicates_recall_and_precision(spark, small):
     df = spark.read.parquet(f"{small}/../sf0.01/entries.parquet")
     rows = {r.entry_id: (r.entry_id, r.entry_key, r.entry_value) for r in df.select("entry_id", "entry_key", "entry_value").collect()}
@@ -75,13 +87,33 @@ def test_near_duplicates_of_one_large_family(entries, hot):
                 words[at] = f"edit{rng.randrange(10**6)}"
         rows.append((i, "s", "k", " ".join(words)))
     want = brute_pairs([(r[0], r[2], r[3]) for r in rows])
-    src = near_dups.texts(entries(rows), "entry_id", "entry_key", "entry_value", 12)
+    own = near_dups.records(near_dups.texts(entries(rows), "entry_id", "entry_key", "entry_value", 12), 12)
     assert len(want) == 100 * 99 // 2
-    assert near_dups.similar_classes(src, hot=hot).count() >= 0.99 * len(want)
+    assert near_dups.similar_classes(own, hot=hot).count() >= 0.99 * len(want)
     got = {tuple(r) for r in near_dups.near_duplicate_pairs(entries(rows)).collect()}
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_hot_buckets_find_what_others_find(entries):
+    """Which pairs come out does not depend on the size from which buckets are compared in blocks."""
+    rng = random.Random(6)
+    rows = [(i, "s", "k", " ".join(rng.sample([f"w{j}" for j in range(26 + i % 2)], 20))) for i in range(150)]
+    own = near_dups.records(near_dups.texts(entries(rows + rows[:20]), "entry_id", "entry_key", "entry_value", 12), 12)
+    found = [{(tuple(r.a), tuple(r.b)) for r in near_dups.similar_classes(own, bands=3, band_rows=2, hot=hot).collect()} for hot in (7, 40, 100_000)]
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_near_duplicates_of_one_form_in_a_third_of_the_rows(entries):
+    """Copies of one form never meet each other; its few variants meet all of them, under several keys."""
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(i, "s", "k", words.title() if i % 2 else words + ".") for i in range(60)] + [(60 + i, "s", "k", " ".join(f"x{i}y{j}" for j in range(14))) for i in range(100)]
+    rows += [(200, "s", "k", words + " more"), (201, "s", "k", " ".join(reversed(words.split())))]
+    want = brute_pairs([(r[0], r[2], r[3]) for r in rows])
+    assert len(want) == 60 * 2 + 1
+    for spread in (7, 100_000):
+        assert {tuple(r) for r in near_dups.near_duplicate_pairs(entries(rows), spread=spread).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(entries):
     words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     long = " ".join(f"w{i}" for i in range(30_000))
