@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sievework.functions.text import is_placeholder
 from sievework.llm.bagminhash import mix
 from sievework.llm.vectext import Tokens, bare_hashes, tokenize
-from sievework.session import cut
+from sievework.session import written
 
 SHINGLE, BANDS = 5, 8
 ORDERS = (6, 4, 3, 1)  # tokens of an ending's context, longest first
@@ -72,9 +72,8 @@ def _judged(rb: pa.RecordBatch, least: int) -> tuple[pa.RecordBatch, Tokens]:
 
 
 def _keys(tok: Tokens, is_open: np.ndarray) -> np.ndarray:
-    """One integer a text: hash of its bare form, then 12 bits for its number of words, then one that says it is open."""
-    n = np.minimum(np.diff(tok.first()), 4095).astype(np.uint64)
-    return ((bare_hashes(tok) & ~np.uint64(8191)) | (n << np.uint64(1)) | is_open.astype(np.uint64)).view(np.int64)
+    """One integer a text: 63 bits of a hash of its bare form, then one that says it is open."""
+    return ((bare_hashes(tok) & ~np.uint64(1)) | is_open.astype(np.uint64)).view(np.int64)
 
 
 # --- near-copies -----------------------------------------------------------------------------------------------------------
@@ -104,15 +103,15 @@ def _shingle_minima(tok: Tokens, bands: int) -> np.ndarray:
     return out
 
 
-def _openings(tok: Tokens, key: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, key and text of the openings of ALIGNED to MIN_RUNS - 1 words: an open text of so many words, too short for a
+def _openings(tok: Tokens, key: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, key, number of words and text of the openings of ALIGNED to MIN_RUNS - 1 words: an open text of so many words, too short for a
     shingle of complete words, meets longer ones by its complete words and the first letter of its last. Of longer texts that
     go on alike one stands for all, under a key of its opening that no text is cut by.
     """
     first = tok.first()
     n = np.diff(first)
     stops = np.concatenate([[0], np.cumsum(_GAPS[np.minimum(tok.codes, len(_GAPS) - 1)] == 3)])
-    buckets, keys, texts = [], [], []
+    buckets, keys, words, texts = [], [], [], []
     for size in range(ALIGNED, MIN_RUNS):
         at = np.flatnonzero(use & (n >= size))
         h = np.full(len(at), size, np.uint64)
@@ -121,12 +120,13 @@ def _openings(tok: Tokens, key: np.ndarray, use: np.ndarray) -> tuple[np.ndarray
         last = first[at] + size - 1
         longer = n[at] > size
         stop = longer & (stops[np.append(tok.begin, len(tok.codes))[last + 1]] > stops[tok.end[last]])
-        goes_on = (mix(mix(h * _P + tok.hash[last]) + stop.astype(np.uint64)) & ~np.uint64(8191)) | np.uint64(4095 << 1)
+        goes_on = mix(mix(h * _P + tok.hash[last]) + stop.astype(np.uint64)) & ~np.uint64(1)
         buckets.append(mix(h * _P + tok.codes[tok.begin[last]].astype(np.uint64)))
         # The text's own key where it may be the cut one or has no word more; else that of its opening.
         keys.append(np.where(longer, goes_on.view(np.int64), key[at]))
+        words.append(n[at])
         texts.append(at)
-    return np.concatenate(buckets).view(np.int64), np.concatenate(keys), np.concatenate(texts)
+    return np.concatenate(buckets).view(np.int64), np.concatenate(keys), np.concatenate(words), np.concatenate(texts)
 
 
 def _band_rows(bands: int):
@@ -147,32 +147,29 @@ def _band_rows(bands: int):
                 seen.clear()
             if not new.any():
                 continue
-            bucket, own, at = _openings(tok, key, new)
+            bucket, own, words, at = _openings(tok, key, new)
             once = [i for i, x in enumerate(zip(bucket.tolist(), own.tolist())) if x not in opened and not opened.add(x)]
             if len(opened) > 1_000_000:
                 opened.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[once]), pa.array(own[once]), rb.column("id").take(pa.array(at[once]))], ["bucket", "key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[once]), pa.array(own[once]), pa.array(words[once].astype(np.int32)), rb.column("id").take(pa.array(at[once]))], ["bucket", "key", "words", "id"])
             new &= np.diff(tok.first()) >= MIN_RUNS
             if not new.any():
                 continue
-            first = tok.first()
-            low = _shingle_minima(tok, bands)
-            # Copies begin together, so the first two words are part of the bucket.
-            head = mix(tok.hash[first[:-1]] * _P + tok.hash[first[:-1] + 1])
-            bucket = mix(low ^ head[:, None] ^ mix(np.arange(1, bands + 1, dtype=np.uint64)))[new]
+            n = np.diff(tok.first()).astype(np.int32)
+            bucket = mix(_shingle_minima(tok, bands) ^ mix(np.arange(1, bands + 1, dtype=np.uint64)))[new]
             at = pa.array(np.repeat(np.flatnonzero(new), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array(np.repeat(key[new], bands)), rb.column("id").take(at)], ["bucket", "key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), *(pa.array(np.repeat(x[new], bands)) for x in (key, n)), rb.column("id").take(at)], ["bucket", "key", "words", "id"])
 
     return run
 
 
-def _meet(bucket: np.ndarray, key: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+def _meet(bucket: np.ndarray, key: np.ndarray, words: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
     """Pairs of an open text with each longer one of its bucket; rows come sorted by bucket and key."""
     if not len(bucket):
         return
     one = np.append(True, (np.diff(bucket) != 0) | (np.diff(key) != 0))
-    bucket, key, ids = bucket[one], key[one], ids.filter(pa.array(one))
-    words, is_open = (key >> 1) & 4095, (key & 1).astype(bool)
+    bucket, key, words, ids = bucket[one], key[one], words[one], ids.filter(pa.array(one))
+    is_open = (key & 1).astype(bool)
     at = np.arange(len(key))
     for d in range(1, len(key)):
         at = at[at + d < len(key)]
@@ -181,7 +178,7 @@ def _meet(bucket: np.ndarray, key: np.ndarray, ids: pa.Array) -> Iterator[pa.Rec
             return
         for a, b in ((at, at + d), (at + d, at)):
             # The last word of a cut text may be half of one, so an equal number of words is enough.
-            ok = is_open[a] & (words[b] >= words[a]) & ((key[a] >> 13) != (key[b] >> 13))
+            ok = is_open[a] & (words[b] >= words[a]) & ((key[a] >> 1) != (key[b] >> 1))
             if ok.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[a[ok]]), ids.take(pa.array(a[ok])), ids.take(pa.array(b[ok]))], ["cut", "cut_id", "full_id"])
 
@@ -220,7 +217,7 @@ def _bucket_pairs(hot: int):
 def _pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
     if t.num_rows:
         ids = t.column("id").combine_chunks()
-        for rb in _meet(t.column("bucket").to_numpy(), t.column("key").to_numpy(), ids):
+        for rb in _meet(*(t.column(c).to_numpy() for c in ("bucket", "key", "words")), ids):
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.nulls(rb.num_rows, pa.int64())], ["cut", "cut_id", "full_id", "bucket"])
 
 
@@ -319,8 +316,8 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def aligned(values: DataFrame, bands: int = BANDS, hot: int = HOT) -> DataFrame:
     """``key`` of the open values that end early against a longer near-copy, each once."""
     kind = values.schema["id"].dataType.simpleString()
-    rows = values.mapInArrow(_band_rows(bands), f"bucket long, key long, id {kind}")
-    found = cut(rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_bucket_pairs(hot), f"cut long, cut_id {kind}, full_id {kind}, bucket long"))
+    rows = values.mapInArrow(_band_rows(bands), f"bucket long, key long, words int, id {kind}")
+    found = written(rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_bucket_pairs(hot), f"cut long, cut_id {kind}, full_id {kind}, bucket long"))
     pairs = found.filter("bucket is null").select("cut", "cut_id", "full_id")
     hot_rows = found.filter("bucket is not null")
     if hot_rows.limit(1).count():
@@ -485,7 +482,7 @@ def truncated(df: DataFrame, id_col: str = "entry_id", value_col: str = "entry_v
     values = _values(df, id_col, value_col)
     kind = values.schema["id"].dataType
     vocab, total = vocabulary(values)
-    read = cut(values.mapInArrow(_read(vocab, total, to_arrow_type(kind)), _READ.format(kind.simpleString())))
+    read = written(values.mapInArrow(_read(vocab, total, to_arrow_type(kind)), _READ.format(kind.simpleString())))
     counts = read.filter("ctx is not null").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).filter(F.col("n") >= SEEN)
     opened = read.filter("state = 'open'").select("id", "key", "partial", "ctxs")
     ends = opened.select("id", "key", "partial", F.posexplode("ctxs").alias("o", "ctx")).join(counts, "ctx", "left")
