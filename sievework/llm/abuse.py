@@ -230,14 +230,14 @@ def worst(x: Windows, score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return top, at
 
 
-def train(texts: list[str], bad: np.ndarray, rounds: int = 3) -> Machine:
-    """A machine fitted to documents of which ``bad`` says whether they hold such language anywhere; labels may err."""
-    x = windows(texts)
+def train(x: Windows, bad: np.ndarray, rounds: int = 3) -> Machine:
+    """A machine fitted to the windows of documents of which ``bad`` says whether they hold such language anywhere; labels may err."""
+    texts = len(bad)
     m = Machine()
     known = np.zeros((2, 1 << BITS), bool)
     n_bad, n_good = max(1, int(bad.sum())), max(1, int((~bad).sum()))
     # First guess: words and pairs that bad documents share and clean ones lack.
-    first = np.searchsorted(x.text, np.arange(len(texts) + 1))
+    first = np.searchsorted(x.text, np.arange(texts + 1))
     token_text = np.zeros(len(x.word), np.int64)
     token_text[x.begin[first[:-1]][np.diff(first) > 0]] = 1
     token_text = np.flatnonzero(np.diff(first) > 0)[np.cumsum(token_text) - 1] if len(x.word) else token_text
@@ -255,7 +255,7 @@ def train(texts: list[str], bad: np.ndarray, rounds: int = 3) -> Machine:
     clean = np.flatnonzero(~bad[x.text])
     score = guess
     for r in range(rounds):
-        top, at = worst(x, score, len(texts))
+        top, at = worst(x, score, texts)
         pick = at[bad & (at >= 0) & (top > (FIRST_GUESS if r == 0 else 0.0))]
         pick = pick[guess[pick] > FIRST_GUESS / 2]
         if not len(pick):
@@ -292,12 +292,15 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     A document is bad if half or more of its non-null labels are other than ``none``; unknown labels count as bad, null
     labels not at all. Labels of unknown documents and labelled documents without text teach nothing.
     """
-    lab = labels.filter("content_label is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.avg((F.lower(F.trim("content_label")) != "none").cast("int")).alias("bad"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(lab, F.col("id") == F.col("_id"))
-    sample = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(limit).select("text", "bad").coalesce(1)
-    # Fitted in a task, where memory is; what comes back has the fixed size of the tables.
-    got = sample.mapInArrow(_train_task, "bias double, w binary, p binary, v binary").collect()
-    m = Machine()
+    lab = labels.filter("content_label is not null").groupBy(F.col("doc_id").alias("id")).agg(F.avg((F.lower(F.trim("content_label")) != "none").cast("int")).alias("bad"))
+    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().join(lab.hint("merge"), "id").orderBy(F.xxhash64("id"), "id").limit(limit)
+    # At most ``limit`` ids go out to the texts; texts are read where they are, and one task fits the machine to what was read.
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(ids), "id")
+    kind = sample.schema["id"].dataType.simpleString()
+    read = sample.mapInArrow(_read_task, f"id {kind}, bad double, begin binary, end binary, word binary, pair binary")
+    read = read.groupBy("id").agg(F.min(F.struct("bad", "begin", "end", "word", "pair")).alias("r")).select("id", "r.*")
+    got = read.coalesce(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(_train_task, "bias double, w binary, p binary, v binary").collect()
+    m = Machine()  # what came back has the fixed size of the tables
     if got:
         m.bias, m.w, m.p = got[0].bias, np.frombuffer(got[0].w, np.float32), np.frombuffer(got[0].p, np.float32)
         m.v = np.frombuffer(got[0].v, np.float32).reshape(-1, FACTORS)
@@ -306,13 +309,30 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return m
 
 
+def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each text, as bytes of their arrays."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            rb = whole.slice(at, 500)
+            x = _windows(rb.column("text").to_pylist())
+            first = np.searchsorted(x.text, np.arange(rb.num_rows + 1))
+            token = np.append(x.begin, len(x.word))[first]  # where the tokens of each text begin
+            rows = [[(a[first[i] : first[i + 1]] - token[i]).astype(np.int32).tobytes() for a in (x.begin, x.end)] + [a[token[i] : token[i + 1]].tobytes() for a in (x.word, x.pair)] for i in range(rb.num_rows)]
+            cols = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("bad"), *(pa.array(list(c), pa.binary()) for c in cols)], ["id", "bad", "begin", "end", "word", "pair"])
+
+
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, bad = [], []
+    bad, parts = [], {c: [] for c in ("begin", "end", "word", "pair")}
     for rb in batches:
-        texts += rb.column("text").to_pylist()
         bad += [b >= 0.5 for b in rb.column("bad").to_pylist()]
-    if texts:
-        m = train(texts, np.array(bad, bool))
+        for c, held in parts.items():
+            held += [np.frombuffer(b, np.int32) for b in rb.column(c).to_pylist()]
+    if bad:
+        n, tokens = (np.array([len(x) for x in parts[c]], np.int64) for c in ("begin", "word"))
+        base = np.repeat(np.cumsum(tokens) - tokens, n)
+        begin, end, word, pair = (np.concatenate(parts[c]) for c in parts)
+        m = train(Windows(begin + base, end + base, np.repeat(np.arange(len(bad)), n), word, pair), np.array(bad, bool))
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.w, m.p, m.v))], ["bias", "w", "p", "v"])
 
 
