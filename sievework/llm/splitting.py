@@ -66,12 +66,14 @@ _CLAUSES = np.array([ord(x) for x in ",;:)、，；："], np.uint32)
 
 
 class RangeMax:
-    """Sparse table over boundary strengths: the strongest cut of a window, the rightmost one on a tie, in two look-ups."""
+    """Sparse table over boundary strengths: the strongest cut of a window, the rightmost one on a tie, in two look-ups. It has
+    the levels that windows of at most ``width`` cuts call for, however long the text.
+    """
 
-    def __init__(self, strengths: np.ndarray):
+    def __init__(self, strengths: np.ndarray, width: int | None = None):
         key = (strengths.astype(np.int64) << 40) | np.arange(len(strengths), dtype=np.int64)
         self.levels = [key]
-        while 2 << (len(self.levels) - 1) <= len(key):
+        while 2 << (len(self.levels) - 1) <= min(len(key), width or len(key)):
             last, half = self.levels[-1], 1 << (len(self.levels) - 1)
             self.levels.append(np.maximum(last[:-half], last[half:]))
 
@@ -94,7 +96,7 @@ def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     n = len(text)
     if n <= size:
         return [(0, n)]
-    index, start, out = RangeMax(boundary_strengths(text)), 0, []
+    index, start, out = RangeMax(boundary_strengths(text), size), 0, []
     while n - start > size:
         low = start + max((size + 1) // 2, overlap + 1)
         cut = index.best(min(low, start + size), start + size)
@@ -104,7 +106,7 @@ def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-PIECE_SCHEMA = "session_id string, chunk_id int, piece_id int, n_pieces int, header string, page_range string, start_char int, end_char int, piece string"
+PIECE_SCHEMA = "session_id string, chunk_id int, piece_id int, n_pieces int, header string, page_range string, whole string, start_char int, end_char int, piece string"
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,21 +114,25 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for r in pdf.itertuples(index=False):
             spans = split_spans(r.content, int(r.size), int(r.overlap))
-            rows += [(r.session_id, r.chunk_id, i, len(spans), r.header, r.page_range, a, b, r.content[a:b]) for i, (a, b) in enumerate(spans, 1)]
+            rows += [(r.session_id, r.chunk_id, i, len(spans), r.header, r.page_range, r.whole, a, b, r.content[a:b]) for i, (a, b) in enumerate(spans, 1)]
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECE_SCHEMA.split(", ")]).astype({"chunk_id": "Int32"})
 
 
-def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pieces of every chunk that is longer than its session's limit, with header and page range kept.
+def limits(sessions: DataFrame) -> DataFrame:
+    """session_id, size and overlap of each session with a positive chunk_size: the largest, with the overlap of such a row."""
+    lim = sessions.filter("session_id is not null and chunk_size > 0").groupBy("session_id").agg(F.max(F.struct("chunk_size", F.coalesce("chunk_overlap", F.lit(0)).alias("o"))).alias("l"))
+    return lim.select("session_id", F.col("l.chunk_size").alias("size"), F.col("l.o").alias("overlap"))
+
+
+def split_oversized(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Pieces of every chunk that is longer than its session's limit, with header, page range and a hash of the whole chunk kept.
 
-    ``chunks``: session_id, chunk_id, header, page_range, content. ``limits``: session_id, chunk_size, chunk_overlap, several
+    ``chunks``: session_id, chunk_id, header, page_range, content. ``sessions``: session_id, chunk_size, chunk_overlap, several
     rows of a session allowed (its largest size with the overlap of such a row, the larger one on a tie, holds).
     Equal chunk rows are one chunk; of chunks that share session and id but differ, each is split. Null contents, contents
     within the limit, and sessions unknown, null or with a null or non-positive chunk_size give no pieces. Overlaps that are
     null, negative or not below the size count as 0. Lengths are Unicode code points. Extra columns are ignored.
     """
-    lim = limits.filter("session_id is not null and chunk_size > 0").groupBy("session_id").agg(F.max(F.struct("chunk_size", F.coalesce("chunk_overlap", F.lit(0)).alias("o"))).alias("l"))
-    lim = lim.select("session_id", F.col("l.chunk_size").alias("size"), F.col("l.o").alias("overlap"))
     # Only the oversized go on to the distinct and to Python, so texts cross one shuffle.
-    big = chunks.select("session_id", "chunk_id", "header", "page_range", "content").join(lim, "session_id").filter(F.length("content") > F.col("size"))
-    return big.distinct().mapInPandas(_pieces, PIECE_SCHEMA)
+    big = chunks.select("session_id", "chunk_id", "header", "page_range", "content").join(limits(sessions), "session_id").filter(F.length("content") > F.col("size"))
+    return big.distinct().withColumn("whole", F.md5("content")).mapInPandas(_pieces, PIECE_SCHEMA)
