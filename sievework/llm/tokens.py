@@ -61,11 +61,10 @@ def encode_batch(tok, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             parts += b
             owner += [i] * len(b)
     encoded = tok.encode_batch_fast(parts, add_special_tokens=False) if parts else []
-    ids = [e.ids for e in encoded]
+    ids = [np.array(e.ids, np.int32) for e in encoded]
     n = np.zeros(len(texts) + 1, np.int64)
     np.add.at(n, np.array(owner, np.int64) + 1, np.array([len(x) for x in ids], np.int64)) if ids else None
-    flat = np.fromiter((x for y in ids for x in y), np.int32, int(n.sum()))
-    return flat, np.cumsum(n)
+    return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.cumsum(n)
 
 
 def _encode(path: str, id_name: str, text_name: str, counts_only: bool, step: int = 256):
