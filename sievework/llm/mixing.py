@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.llm.tokens import count_tokens
-from sievework.session import cut
+from sievework.session import written
 from sievework.sources.tables import norm_label
 
+#: Weights at times 0 .. 1, or what makes them of the shares of the sources that have texts; None for constant weights.
+Knots = dict[float, dict[str, float]] | Callable[[dict[str, float]], dict[float, dict[str, float]]] | None
 BUCKETS = 1024  # of each source's order, so that a source with most of all rows is no single task
 
 
@@ -54,6 +57,18 @@ def schedule(shares: dict[str, float], knots: dict[float, dict[str, float]] | No
     return out
 
 
+def curriculum(shares: dict[str, float], tilt: float = 0.5) -> dict[float, dict[str, float]]:
+    """Knots of a schedule under which every source keeps its share of the whole: large sources weigh up to ``tilt`` more than their
+    share at the beginning and as much less at the end, small ones the other way round, in order of their shares (ties by name).
+    """
+    total = sum(shares.values())
+    rank = {s: i for i, s in enumerate(sorted(shares, key=lambda s: (shares[s], s)))}
+    middle = sum(shares[s] * rank[s] for s in shares) / total
+    most = max((abs(r - middle) for r in rank.values()), default=0) or 1.0
+    lean = {s: tilt * (rank[s] - middle) / most for s in shares}  # weighed by shares these add up to 0, so weights add up to 1
+    return {t: {s: w / total * (1 + sign * lean[s]) for s, w in shares.items()} for t, sign in ((0.0, 1), (1.0, -1))}
+
+
 def total_area(segments: list[Segment], source: str) -> float:
     """The share of all tokens that a source has over the whole time."""
     return sum((g.end - g.begin) * (g.weight + g.slope * (g.end - g.begin) / 2) for g in segments if g.source == source)
@@ -66,10 +81,10 @@ def measured(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", directory: s
     """
     src = docs.select("doc_id", norm_label(F.col("source")).alias("source"), "text", F.md5("text").alias("form")).filter("source is not null and text <> ''")
     counted = count_tokens(src, "text", tokenizer, directory)
-    return cut(counted.groupBy("source", "form").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")).drop("form"))
+    return written(counted.groupBy("source", "form").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")).drop("form"))
 
 
-def _plan(tokens: DataFrame, sources: DataFrame, knots: dict[float, dict[str, float]] | None, total: int | None) -> tuple[list[Segment], float, dict[str, dict]]:
+def _plan(tokens: DataFrame, sources: DataFrame, knots: Knots, total: int | None) -> tuple[list[Segment], float, dict[str, dict]]:
     """Schedule, total tokens and per source what it has, gets and repeats. Sources are a fixed list, a few rows."""
     known = sources.groupBy(norm_label(F.col("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).filter("source is not null")
     have = tokens.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
@@ -77,7 +92,7 @@ def _plan(tokens: DataFrame, sources: DataFrame, knots: dict[float, dict[str, fl
     able = {s: r["share"] or 0.0 for s, r in info.items() if r["tokens"] and (r["repeats"] or 0) > 0 and (r["share"] or 0) > 0}
     if not able:
         return [], 0.0, info
-    segments = schedule(able, knots)
+    segments = schedule(able, knots(able) if callable(knots) else knots)
     most = {s: info[s]["tokens"] * info[s]["repeats"] for s in able}
     area = {s: total_area(segments, s) for s in able}
     size = float(total) if total else min(most[s] / area[s] for s in able if area[s] > 0)
@@ -86,13 +101,14 @@ def _plan(tokens: DataFrame, sources: DataFrame, knots: dict[float, dict[str, fl
     return segments, size, info
 
 
-def mixed(docs: DataFrame, sources: DataFrame, knots: dict[float, dict[str, float]] | None = None, total: int | None = None, tokens: DataFrame | None = None, seed: int = 0) -> DataFrame:
+def mixed(docs: DataFrame, sources: DataFrame, knots: Knots = None, total: int | None = None, tokens: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """Training positions: source, doc_id, epoch, n_tokens and position (tokens of the mix that come before its middle).
 
     Each source with texts gets its weight's integral of the ``total`` tokens; without ``total`` the mix is as large as it can be
     with every such source at its target. Sources without texts are left out and the other shares scaled up. A source's
     texts come in an order fixed by ``seed``, again and again until its demand is met to within half a text, never more than
     max_repeats times; where ``total`` asks for more than that, the source falls short and `shares` says so.
+    ``knots`` (or what makes them of the shares, such as `curriculum`) let weights change over the training time.
     A document's position is the time at which its source's cumulative demand reaches it, times the size of the mix.
     Sources unknown to ``sources`` contribute nothing. No texts or no sources give no rows. Equal texts of one source
     are one text.
@@ -117,7 +133,10 @@ def mixed(docs: DataFrame, sources: DataFrame, knots: dict[float, dict[str, floa
 
     # Inverse of the integrated schedule: on a segment, weight * x + slope * x**2 / 2 = tokens still to go.
     seg = spark.createDataFrame([(g.source, g.begin, g.weight, g.slope, g.area * size, (g.area + (g.end - g.begin) * (g.weight + g.slope * (g.end - g.begin) / 2)) * size) for g in segments], "source string, t0 double, w double, k double, lo double, hi double")
-    rows = rows.join(F.broadcast(seg.filter("hi > lo")), "source").filter("at >= lo and at < hi")
+    # A source's last segment takes what sums of floating point put beyond its end.
+    ends = seg.filter("hi > lo").groupBy("source").agg(F.max("hi").alias("end"))
+    seg = seg.filter("hi > lo").join(F.broadcast(ends), "source")
+    rows = rows.join(F.broadcast(seg), "source").filter("at >= lo and (at < hi or hi = end)")
     d = (F.col("at") - F.col("lo")) / size
     t = F.col("t0") + 2 * d / (F.col("w") + F.sqrt(F.greatest(F.lit(0.0), F.col("w") ** 2 + 2 * F.col("k") * d)))
     return rows.select("source", "doc_id", "epoch", "n_tokens", (t * size).alias("position"))
@@ -134,6 +153,14 @@ def laid_out(positions: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionById(parts, part).sortWithinPartitions("position", "source", "doc_id", "epoch")
 
 
+def stretches(positions: DataFrame, parts: int = 10) -> DataFrame:
+    """Per stretch (1 .. ``parts``) of the training time and source: tokens and their share of the stretch."""
+    top = positions.agg(F.max("position").alias("top"))  # one row
+    at = F.least(F.floor(F.col("position") / F.col("top") * parts), F.lit(parts - 1)) + 1
+    g = positions.crossJoin(F.broadcast(top)).groupBy(at.cast("int").alias("stretch"), "source").agg(F.sum("n_tokens").alias("tokens"))
+    return g.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy("stretch")))  # over one row a source
+
+
 def shares(positions: DataFrame, sources: DataFrame) -> DataFrame:
     """Per source of ``sources``: target_share, max_repeats, texts, tokens, actual_share and the most uses of one text."""
     used = positions.groupBy("source").agg(F.countDistinct("doc_id").alias("texts"), F.sum("n_tokens").alias("tokens"), (F.max("epoch") + 1).alias("most_uses"))

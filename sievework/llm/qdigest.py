@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +23,23 @@ K = 2000  # ranks are off by at most BITS / K = 1 % of the count
 def leaf(value: Column, unit: float = UNIT) -> Column:
     """The leaf of a measurement; null for null, NaN, negative and infinite values, which are no measurements.
 
-    Half of the universe has width ``unit``; beyond, leaves widen by 1 / 2**16 of the value, so that the universe stays
-    bounded and ordered for long tails: values up to unit * 2**19 * e**8 keep a relative error of 1 / 65,536.
+    Half of the universe has width ``unit``; beyond, leaves widen by 1 / 2**15 of the value, so that the universe stays
+    bounded and ordered for long tails: values up to unit * 2**19 * e**16 (in seconds 147 years) keep a relative error of
+    1 / 32,768. All beyond is in the last leaf, whose value is infinity.
     """
     half = 1 << (BITS - 1)
     x = value / F.lit(unit)
     near = F.floor(x)
-    far = half + F.floor(F.log(x / half) * 65536)
+    far = half + F.floor(F.log(x / half) * 32768)
     ok = value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < float("inf"))
     return F.when(ok, F.least(F.when(x < half, near).otherwise(far), F.lit((1 << BITS) - 1)).cast("long"))
 
 
 def leaf_value(leaf_number: np.ndarray, unit: float = UNIT) -> np.ndarray:
-    """The smallest value of a leaf."""
+    """The smallest value of a leaf, infinity for the last one, which holds what the universe does not."""
     half = 1 << (BITS - 1)
     x = np.asarray(leaf_number, float)
-    return unit * np.where(x < half, x, half * np.exp((x - half) / 65536))
+    return np.where(x < (1 << BITS) - 1, unit * np.where(x < half, x, half * np.exp((x - half) / 32768)), np.inf)
 
 
 def compress(nodes: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -89,50 +91,129 @@ def quantiles(nodes: np.ndarray, counts: np.ndarray, probs: list[float], unit: f
     return [(float(leaf_value(upper[order][i], unit)), bound) for i in at]
 
 
-def build(df: DataFrame, keys: list[str], value: str, k: int = K, unit: float = UNIT) -> DataFrame:
-    """One digest per group: ``keys``, ``n`` and ``digest``, an array of (node, count) of at most 3k nodes.
+def _type(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _lists(t: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    """Offsets and then the values of each of several list columns of equal lengths."""
+    cols = [c.combine_chunks() if isinstance(c := t.column(n), pa.ChunkedArray) else c for n in names]
+    off = cols[0].offsets.to_numpy().astype(np.int64)
+    return [off - off[0], *(c.flatten().to_numpy(zero_copy_only=False) for c in cols)]
+
+
+def _folded(offsets: np.ndarray, nodes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests one after the other, each compressed if it has more nodes than leaves may be without loss, or counts to fold."""
+    size, total = np.diff(offsets), np.add.reduceat(np.append(counts, 0), offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.int64)
+    out_n, out_c, n = [], [], size.copy()
+    at = 0
+    for i in np.flatnonzero((total >= k) & (size > 0)):  # below k counts nothing can be folded
+        out_n.append(nodes[at : offsets[i]]), out_c.append(counts[at : offsets[i]])
+        a, b = compress(nodes[offsets[i] : offsets[i + 1]], counts[offsets[i] : offsets[i + 1]], k)
+        out_n.append(a), out_c.append(b)
+        n[i], at = len(a), offsets[i + 1]
+    out_n.append(nodes[at:]), out_c.append(counts[at:])
+    return np.concatenate([[0], np.cumsum(n)]), np.concatenate(out_n), np.concatenate(out_c)
+
+
+def _partial(keys: list[str], k: int, most: int):
+    """Digests of what a task reads: leaves are counted over all groups at once, and handed on in the end or when there are ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: list[pa.Table] = []
+        held: list[np.ndarray] = []  # group, node and count
+
+        def add_up() -> tuple[pa.Table, np.ndarray]:
+            t = pa.concat_tables(groups).combine_chunks()
+            code, first = _codes(t)
+            x = np.concatenate(held, axis=1)
+            key, at = np.unique((code[x[0]] << (BITS + 1)) | x[1], return_inverse=True)
+            return t.take(pa.array(first)), np.stack([key >> (BITS + 1), key & ((2 << BITS) - 1), np.bincount(at, x[2], len(key)).astype(np.int64)])
+
+        def digests() -> pa.RecordBatch:
+            t, x = add_up()
+            off = np.searchsorted(x[0], np.arange(t.num_rows + 1))
+            off, nodes, counts = _folded(off, x[1], x[2], k)
+            lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(v)) for v in (nodes, counts)]
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns), *lists], [*keys, "nodes", "counts"])
+
+        base = 0
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            t = pa.Table.from_batches([rb.select(keys)])
+            code, first = _codes(t)
+            groups.append(t.take(pa.array(first)))
+            held.append(np.stack([code + base, rb.column("_leaf").to_numpy() + (1 << BITS), np.ones(rb.num_rows, np.int64)]))
+            base += len(first)
+            if sum(x.shape[1] for x in held) > most:
+                t, x = add_up()
+                if x.shape[1] > most // 2:
+                    yield digests()
+                    groups, held, base = [], [], 0
+                else:
+                    groups, held, base = [t], [x], t.num_rows
+        if groups:
+            yield digests()
+
+    return run
+
+
+def _codes(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row, equal for equal rows (nulls are equal), and the first row of each number."""
+    code = np.zeros(t.num_rows, np.int64)
+    for c in t.columns:
+        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        d = pa.compute.dictionary_encode(c, null_encoding="encode")
+        d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+        code = np.unique(code * (len(d.dictionary) + 1) + d.indices.to_numpy(), return_inverse=True)[1].astype(np.int64)
+    first = np.unique(code, return_index=True)[1]
+    return code, first
+
+
+def build(df: DataFrame, keys: list[str], value: str, k: int = K, unit: float = UNIT, most: int = 2_000_000) -> DataFrame:
+    """One digest per group: ``keys``, ``n``, ``nodes`` and ``counts`` (at most 3k nodes and a path's).
 
     Rows that are no measurements (see `leaf`) count nowhere; groups without any have no row; null keys are groups.
-    Counts per leaf combine map-side first, so a task gets at most 2**BITS rows of a group however large the group is.
+    Each task makes digests of its own rows, which are then merged; it holds at most ``most`` counts, and what crosses
+    the shuffle is digests, however large a group is.
     """
-    counted = df.withColumn("_leaf", leaf(F.col(value), unit)).filter("_leaf is not null").groupBy(*keys, (F.col("_leaf") + (1 << BITS)).alias("node")).agg(F.count("*").alias("count"))
-    return _compressed(counted, keys, k)
+    src = df.select(*keys, leaf(F.col(value), unit).alias("_leaf")).filter("_leaf is not null")
+    return merge(src.mapInArrow(_partial(keys, k, most), f"{_type(src, keys)}, nodes array<long>, counts array<long>"), keys, k)
 
 
 def merge(digests: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """Digests of finer groups added up to those of ``keys``; the bound of the result is that of its own n and k."""
-    nodes = digests.select(*keys, F.inline("digest")).groupBy(*keys, "node").agg(F.sum("count").alias("count"))
-    return _compressed(nodes, keys, k)
+    """Digests of finer groups, or of the same from different places, added up node by node to those of ``keys``.
 
+    Nodes are added in a distributed sum; a group's nodes, each once, then come together to be folded. The bound of a result is
+    read from its own counts (see `quantiles`), whatever it was merged from.
+    """
+    nodes = digests.select(*keys, F.inline(F.arrays_zip("nodes", "counts"))).groupBy(*keys, F.col("nodes").alias("node")).agg(F.sum("counts").alias("count"))
+    grouped = nodes.groupBy(*keys).agg(F.sum("count").alias("n"), F.array_sort(F.collect_list(F.struct("node", "count"))).alias("raw"))
+    grouped = grouped.select(*keys, "n", F.transform("raw", lambda x: x["node"]).alias("nodes"), F.transform("raw", lambda x: x["count"]).alias("counts"))
 
-def _compressed(nodes: DataFrame, keys: list[str], k: int) -> DataFrame:
-    grouped = nodes.groupBy(*keys).agg(F.sum("count").alias("n"), F.collect_list(F.struct("node", "count")).alias("raw"))
-
-    @F.pandas_udf("array<struct<node:bigint,count:bigint>>")
-    def fold(raw: pd.Series) -> pd.Series:
-        out = []
-        for rows in raw:
-            n, c = compress(np.array([r["node"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64), k)
-            out.append([{"node": int(a), "count": int(b)} for a, b in zip(n, c)])
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            off, n, c = _folded(*_lists(rb, ("nodes", "counts")), k)
+            lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(v)) for v in (n, c)]
+            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(keys) + 1)), *lists], [*keys, "n", "nodes", "counts"])
 
-    return grouped.select(*keys, "n", fold("raw").alias("digest"))
+    return grouped.mapInArrow(run, f"{_type(digests, keys)}, n long, nodes array<long>, counts array<long>")
 
 
 def read(digests: DataFrame, keys: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.99), unit: float = UNIT) -> DataFrame:
     """``keys``, ``n``, ``p``, ``value`` and ``rank_error`` (the most the value's rank can be off) for each probability."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                d = r.digest
-                got = quantiles(np.array([x["node"] for x in d], np.int64), np.array([x["count"] for x in d], np.int64), list(probs), unit)
-                rows += [(*r[: len(keys)], r.n, p, v, b) for p, (v, b) in zip(probs, got)]
-            yield pd.DataFrame(rows, columns=[*keys, "n", "p", "value", "rank_error"])
-
-    kinds = ", ".join(f"{k} {digests.schema[k].dataType.simpleString()}" for k in keys)
-    return digests.select(*keys, "n", "digest").mapInPandas(run, f"{kinds}, n long, p double, value double, rank_error double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            off, nodes, counts = _lists(rb, ("nodes", "counts"))
+            got = [x for lo, hi in zip(off, off[1:]) for x in quantiles(nodes[lo:hi], counts[lo:hi], list(probs), unit)]
+            again = pa.array(np.repeat(np.arange(rb.num_rows), len(probs)))
+            cols = [rb.column(i).take(again) for i in range(len(keys) + 1)]
+            p, v, b = np.tile(np.array(probs), rb.num_rows), *(np.array([x[i] for x in got], np.float64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, (p, v, b))], [*keys, "n", "p", "value", "rank_error"])
+
+    return digests.select(*keys, "n", "nodes", "counts").mapInArrow(run, f"{_type(digests, keys)}, n long, p double, value double, rank_error double")
 
 
 def session_times(sessions: DataFrame) -> DataFrame:

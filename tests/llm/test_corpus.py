@@ -44,16 +44,32 @@ def test_digests_of_days_merge_to_that_of_a_month(spark):
         assert r.n == len(values)
         rank = np.searchsorted(values, r.value + qdigest.UNIT)
         assert abs(rank - np.ceil(r.p * len(values))) <= r.rank_error + 10 * qdigest.BITS * (500 // 200) + 1
+    many = qdigest.build(df, ["m", "day"], "t", k=200, most=300)
+    assert {(r.day, r.n) for r in many.collect()} == {(r.day, r.n) for r in days.collect()}
     assert {r.day for r in days.select("day").collect()} == {None, *range(10)}
     assert qdigest.build(df.limit(0), ["m"], "t").count() == 0
 
 
+def test_digests_at_size(spark):
+    """A million values over many tasks, one group with most of them, and a small k: few nodes, ranks within the stated bound and that within log2(universe) * n / k of each merge."""
+    n, k = 1_200_000, 100
+    df = spark.range(0, n, 1, 16).select(F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(900_000)) / 1000.0 + F.when(F.col("id") % 100 == 0, 1e6).otherwise(0)).alias("t"), (F.col("id") % 7).alias("day"))
+    days = qdigest.build(df, ["g", "day"], "t", k)
+    months = qdigest.merge(days, ["g"], k)
+    assert months.select(F.max(F.size("nodes"))).first()[0] <= 3 * k + qdigest.BITS
+    for r in qdigest.read(months, ["g"]).collect():
+        exact = df.filter(F.col("g") == r.g).agg(F.count_if(F.col("t") < r.value), F.count_if(F.col("t") < r.value + max(qdigest.UNIT, r.value / 16_000)), F.count("*")).first()
+        rank = np.ceil(r.p * exact[2])
+        assert r.n == exact[2] and exact[0] - r.rank_error <= rank <= exact[1] + r.rank_error
+        assert 0 < r.rank_error <= 3 * qdigest.BITS * r.n / k
+
+
 def test_leaves_are_ordered(spark):
-    xs = [0.0, 0.0004, 0.001, 1.0, 500.0, 524.2, 524.3, 600.0, 5000.0, 1e5, 1e9]
+    xs = [0.0, 0.0004, 0.001, 1.0, 500.0, 524.2, 524.3, 600.0, 5000.0, 1e9, 1e12]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(qdigest.leaf(F.col("x"))).collect()]
     assert got == sorted(got) and got[-1] == (1 << qdigest.BITS) - 1
     back = qdigest.leaf_value(np.array(got[3:10]))
-    assert np.allclose(back, xs[3:10], rtol=2e-3)
+    assert np.allclose(back, xs[3:10], rtol=2e-3) and np.isinf(qdigest.leaf_value(np.array(got[10:])))[0]
 
 
 TEXTS = ["plain words", "", None, "naïve café ☕ 日本語", "a  b\n\n c\t", "<|endoftext|> is text", "x" * 3000, "word " * 90_000, "​", "🙂" * 50]
@@ -128,7 +144,7 @@ def test_held_out_accuracy(spark, small):
     lab = spark.read.parquet(f"{d}/doc_labels.parquet").filter("content_label is not null").groupBy("doc_id").agg(F.avg((F.col("content_label") != "none").cast("int")).alias("bad"))
     rows = docs.join(lab, "doc_id").orderBy(F.xxhash64("doc_id")).select("text", "bad").collect()
     k = int(len(rows) * 0.75)
-    m = abuse.train([r.text for r in rows[:k]], np.array([r.bad >= 0.5 for r in rows[:k]]))
+    m = abuse.train(abuse.windows([r.text for r in rows[:k]]), np.array([r.bad >= 0.5 for r in rows[:k]]))
     x = abuse.windows([r.text for r in rows[k:]])
     top, _ = abuse.worst(x, m.logits(x), len(rows) - k)
     bad, found = np.array([r.bad >= 0.5 for r in rows[k:]]), 1 / (1 + np.exp(-top)) >= abuse.THRESHOLD
