@@ -129,6 +129,30 @@ def _openings(tok: Tokens, key: np.ndarray, use: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(buckets).view(np.int64), np.concatenate(keys), np.concatenate(words), np.concatenate(texts)
 
 
+def _held(tok: Tokens) -> np.ndarray:
+    """64 bits of each text, one or more of them for its words."""
+    first = tok.first()
+    out = np.zeros(len(first) - 1, np.uint64)
+    full = np.diff(first) > 0
+    if full.any():
+        out[full] = np.bitwise_or.reduceat(np.uint64(1) << (tok.hash >> np.uint64(58)), first[:-1][full])
+    return out.view(np.int64)
+
+
+def _tails(tok: Tokens) -> np.ndarray:
+    """The bits of each text's last three words before its last one, in 18 bits; 0 for shorter texts."""
+    first = tok.first()
+    bit = (tok.hash >> np.uint64(58)).astype(np.int32)
+    out = np.zeros(len(first) - 1, np.int32)
+    at = np.flatnonzero(np.diff(first) >= 4)
+    last = first[1:][at] - 1
+    out[at] = (bit[last - 3] << 12) | (bit[last - 2] << 6) | bit[last - 1]
+    return out
+
+
+_MEETING = ["bucket", "key", "words", "held", "tail", "id"]
+
+
 def _band_rows(bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -151,76 +175,89 @@ def _band_rows(bands: int):
             once = [i for i, x in enumerate(zip(bucket.tolist(), own.tolist())) if x not in opened and not opened.add(x)]
             if len(opened) > 1_000_000:
                 opened.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[once]), pa.array(own[once]), pa.array(words[once].astype(np.int32)), rb.column("id").take(pa.array(at[once]))], ["bucket", "key", "words", "id"])
+            # What goes on is stood for by one text, so it is not asked for its other words.
+            held, tail = np.full(len(once), -1, np.int64), _tails(tok)[at[once]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (bucket[once], own[once], words[once].astype(np.int32), held, tail)), rb.column("id").take(pa.array(at[once]))], _MEETING)
             new &= np.diff(tok.first()) >= MIN_RUNS
             if not new.any():
                 continue
             n = np.diff(tok.first()).astype(np.int32)
             bucket = mix(_shingle_minima(tok, bands) ^ mix(np.arange(1, bands + 1, dtype=np.uint64)))[new]
             at = pa.array(np.repeat(np.flatnonzero(new), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), *(pa.array(np.repeat(x[new], bands)) for x in (key, n)), rb.column("id").take(at)], ["bucket", "key", "words", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), *(pa.array(np.repeat(x[new], bands)) for x in (key, n, _held(tok), _tails(tok))), rb.column("id").take(at)], _MEETING)
 
     return run
 
 
-def _meet(bucket: np.ndarray, key: np.ndarray, words: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Pairs of an open text with each longer one of its bucket; rows come sorted by bucket and key."""
-    if not len(bucket):
-        return
-    one = np.append(True, (np.diff(bucket) != 0) | (np.diff(key) != 0))
-    bucket, key, words, ids = bucket[one], key[one], words[one], ids.filter(pa.array(one))
-    is_open = (key & 1).astype(bool)
-    at = np.arange(len(key))
-    for d in range(1, len(key)):
-        at = at[at + d < len(key)]
-        at = at[bucket[at] == bucket[at + d]]
-        if not len(at):
-            return
-        for a, b in ((at, at + d), (at + d, at)):
-            # The last word of a cut text may be half of one, so an equal number of words is enough.
-            ok = is_open[a] & (words[b] >= words[a]) & ((key[a] >> 1) != (key[b] >> 1))
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[a[ok]]), ids.take(pa.array(a[ok])), ids.take(pa.array(b[ok]))], ["cut", "cut_id", "full_id"])
-
-
-def _bucket_pairs(hot: int):
+def _meet(bucket: np.ndarray, key: np.ndarray, words: np.ndarray, held: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each open text with each longer one of its bucket that may hold its last three complete words; rows come sorted by bucket."""
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    size = np.diff(np.append(edge, len(bucket)))
+    start, size = np.repeat(edge, size), np.repeat(size, size)
+    one, two, three = (np.uint64(1) << ((tail >> shift) & 63).astype(np.uint64) for shift in (0, 6, 12))
+    need = one | two | three
+    open_ = np.flatnonzero(((key & 1) == 1) & (size > 1))
+    found = [(np.zeros(0, np.int64),) * 2]
+    part = np.cumsum(size[open_]) // 1_000_000
+    for i in range(int(part[-1]) + 1 if len(part) else 0):
+        own = open_[part == i]
+        n = size[own]
+        a = np.repeat(own, n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[own], n)
+        # The last word of a cut text may be half of one, so an equal number of words is enough.
+        ok = (words[b] >= words[a]) & ((key[a] >> 1) != (key[b] >> 1)) & ((need[a] & ~held.view(np.uint64)[b]) == 0)
+        found.append((a[ok], b[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _bucket_pairs(hot: int, least: int = 100_000):
     """Pairs of each bucket; of a bucket of more than ``hot`` rows its rows instead (with the bucket and no ``full_id``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        waiting: list[pa.RecordBatch] = []
         flowing = None  # the hot bucket whose rows are passed on as they come
-        for rb in batches:
-            t = pa.Table.from_batches([rb])
-            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if not t.num_rows:
-                continue
-            bucket = t.column("bucket").to_numpy()
-            edge = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
-            size = np.diff(np.append(edge, len(bucket)))
-            large = (size > hot) | (bucket[edge] == flowing)
-            wide = np.repeat(large, size)
-            done = int(edge[-1]) if not large[-1] else len(bucket)  # the last bucket may go on in the next batch
-            flowing = bucket[-1] if large[-1] else None
-            plain = t.slice(0, done).filter(pa.array(~wide[:done])).combine_chunks()
-            yield from _pairs_of(plain)
+
+        def read(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal flowing
+            t = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
+            cols = [t.column(c).to_numpy() for c in _MEETING[:5]]
+            ids = t.column("id").combine_chunks()
+            if not len(cols[0]):
+                return
+            edge = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+            size = np.diff(np.append(edge, len(cols[0])))
+            large = (size > hot) | (cols[0][edge] == flowing)
+            done = len(cols[0]) if final or large[-1] else int(edge[-1])  # the last bucket may go on in the next batch
+            flowing = cols[0][-1] if large[-1] else None
+            wide = np.repeat(large, size)[:done]
             if wide.any():
-                many = t.filter(pa.array(wide)).combine_chunks()
-                one = lambda c: many.column(c).combine_chunks()
-                yield pa.RecordBatch.from_arrays([one("key"), one("id"), pa.nulls(many.num_rows, one("id").type), one("bucket")], ["cut", "cut_id", "full_id", "bucket"])
-            held = t.slice(done)
-        if held is not None:
-            yield from _pairs_of(held.combine_chunks())
+                at = np.flatnonzero(wide)
+                own = ids.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[1][at]), own, pa.nulls(len(at), own.type), pa.array(cols[0][at])], ["cut", "cut_id", "full_id", "bucket"])
+            # A text comes once for each task that has read it.
+            plain = np.flatnonzero(~wide)
+            new = np.append(True, (cols[0][plain][1:] != cols[0][plain][:-1]) | (cols[1][plain][1:] != cols[1][plain][:-1])) if len(plain) else np.zeros(0, bool)
+            plain = plain[new]
+            a, b = _meet(*(x[plain] for x in cols))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(cols[1][plain[a]]), ids.take(pa.array(plain[a])), ids.take(pa.array(plain[b])), pa.nulls(len(a), pa.int64())], ["cut", "cut_id", "full_id", "bucket"])
+            if done < len(cols[0]):
+                waiting.extend(t.slice(done).to_batches())
+
+        rows = 0
+        for rb in batches:
+            waiting.append(rb)
+            rows += rb.num_rows
+            if rows >= least and rb.num_rows:
+                yield from read(False)
+                rows = sum(x.num_rows for x in waiting)
+        if waiting:
+            yield from read(True)
 
     return run
 
 
-def _pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    if t.num_rows:
-        ids = t.column("id").combine_chunks()
-        for rb in _meet(*(t.column(c).to_numpy() for c in ("bucket", "key", "words")), ids):
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.nulls(rb.num_rows, pa.int64())], ["cut", "cut_id", "full_id", "bucket"])
-
-
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every place at which a text could continue a cut one: three words, a hash of the words up to them, the next word and
     whether a sentence ends behind it. ``tail`` marks an open text's own last three complete words.
@@ -316,7 +353,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def aligned(values: DataFrame, bands: int = BANDS, hot: int = HOT) -> DataFrame:
     """``key`` of the open values that end early against a longer near-copy, each once."""
     kind = values.schema["id"].dataType.simpleString()
-    rows = values.mapInArrow(_band_rows(bands), f"bucket long, key long, words int, id {kind}")
+    rows = values.mapInArrow(_band_rows(bands), f"bucket long, key long, words int, held long, tail int, id {kind}")
     found = written(rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_bucket_pairs(hot), f"cut long, cut_id {kind}, full_id {kind}, bucket long"))
     pairs = found.filter("bucket is null").select("cut", "cut_id", "full_id")
     hot_rows = found.filter("bucket is not null")
