@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from sievework.operators.chunking import strip
 
 UNITS = ["Bytes", "KB", "MB", "GB", "TB"]
-# Words by which a handler tells kinds of errors apart, in order.
+# Words of a message by which a handler tells kinds of errors apart, in order, and those of an error's type name.
 HANDLER_ERRORS = {
-    "API": ["api", "openai", "rate limit", "429"],
-    "NETWORK": ["connection", "network", "timeout"],
-    "VALIDATION": ["validation", "invalid"],
-    "DATA": ["json", "parse", "decode", "empty"],
-    "PROCESSING": ["chunk", "processing", "extract"],
+    "API": ["api", "openai", "rate limit", "429", "503", "502"],
+    "NETWORK": ["connection", "network", "timeout", "dns"],
+    "VALIDATION": ["validation", "invalid", "null", "none", "empty"],
+    "DATA": ["json", "parse", "decode", "format", "unicode"],
+    "PROCESSING": ["processing", "chunk", "deduplication", "normalization"],
 }
+SYSTEM_TYPES = ["memory", "system", "os", "io"]
 
 
 def field_title(name: Column) -> Column:
@@ -32,17 +33,26 @@ def file_size_label(size: Column) -> Column:
     return F.when(size <= 0, F.lit("0 Bytes")).otherwise(F.concat(number, F.lit(" "), F.element_at(F.array(*map(F.lit, UNITS)), power + 1)))
 
 
-def handler_error(message: Column) -> Column:
-    """The first kind of error one of whose words the message holds, else SYSTEM; null without a message."""
-    m, out = F.lower(message), F.lit("SYSTEM")
+def handler_error(message: Column, type_name: Column | None = None) -> Column:
+    """The first kind of error one of whose words the message holds, else SYSTEM by the name of the error's type, else UNKNOWN;
+    null without a message.
+    """
+    has = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    out = F.lit("UNKNOWN")
+    if type_name is not None:
+        out = F.when(F.coalesce(has(F.lower(type_name), SYSTEM_TYPES), F.lit(False)), "SYSTEM").otherwise(out)
     for kind, words in reversed(list(HANDLER_ERRORS.items())):
-        has = F.lit(False)
-        for w in words:
-            has = has | F.contains(m, F.lit(w))
-        out = F.when(has, kind).otherwise(out)
+        out = F.when(has(F.lower(message), words), kind).otherwise(out)
     return F.when(message.isNotNull(), out)
 
 
+def pretty_object(**fields: Column) -> Column:
+    """A JSON object of string fields over several lines, indented by two spaces; null fields are null, letters stay as they are."""
+    quoted = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.array(c.cast("string"))), r"^\[|\]$", ""), F.lit("null"))
+    lines = [F.concat(F.lit(f'  "{name}": '), F.when(c.isNull(), "null").otherwise(quoted(c))) for name, c in fields.items()]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
+
+
 def made_id(prefix: str, *key: Column) -> Column:
     """``prefix_`` and 16 hexadecimal digits of a hash of ``key``, so that a run can be repeated."""
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("\x1f", *key), 256), 1, 16))

@@ -6,9 +6,7 @@ import re
 from difflib import SequenceMatcher
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import numpy as np
 
 # Words of education, of institutions, of shared context, and what stands for what.
 EDUCATION = [
@@ -27,6 +25,9 @@ SYNONYMS = {
 }
 
 
+_ORDINAL = re.compile(r"(st|nd|rd|th)")
+
+
 @lru_cache(maxsize=65536)
 def raw_ratio(a: str, b: str) -> float:
     """Ratio of matching characters, in the argument order given (it is not symmetric)."""
@@ -58,16 +59,51 @@ def partial_ratio(a: str | None, b: str | None) -> float:
     return 100 * best
 
 
-@F.pandas_udf(T.DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """`similarity` of two columns."""
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)])
+class Needle:
+    """A text to be looked for among many: `partial_ratio` is only worked out where the longest common subsequence allows it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.at: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.at[c] = self.at.get(c, 0) | 1 << i
+
+    def common(self, other: str) -> int:
+        """Length of the longest common subsequence, by bits: matching blocks, being in order, never hold more characters."""
+        full = v = (1 << len(self.text)) - 1
+        for c in other:
+            u = v & self.at.get(c, 0)
+            v = ((v + u) | (v - u)) & full
+        return len(self.text) - v.bit_count()
+
+    def best(self, others: list[str], least: float) -> tuple[int, float]:
+        """The first of ``others`` with the highest partial ratio above ``least``, and the ratio; -1 if none has."""
+        where, top = -1, least
+        for i, other in enumerate(others):
+            short, n = min(len(self.text), len(other)), self.common(other)
+            # A window is as long as the shorter text, or at the end of the longer one shorter, but no shorter than what matches.
+            if short and 200 * n / (short + n) > top and partial_ratio(self.text, other) > top:
+                where, top = i, partial_ratio(self.text, other)
+        return where, top
 
 
-@F.pandas_udf(T.DoubleType())
-def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """`partial_ratio` of two columns."""
-    return pd.Series([partial_ratio(x, y) for x, y in zip(a, b)])
+_BINS = 64
+
+
+def bags(texts: list[str]) -> np.ndarray:
+    """How often characters fall into each of a fixed number of bins, one row a text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(own * _BINS + codes % _BINS, minlength=len(texts) * _BINS).reshape(len(texts), _BINS)
+
+
+def most_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most `raw_ratio` can be for each pair of rows of two `bags`: no more characters match than bins share. 1 for two empty texts."""
+    shared = np.zeros((len(a), len(b)), np.int64)
+    for i in range(_BINS):
+        shared += np.minimum(a[:, None, i], b[None, :, i])
+    total = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :]
+    return np.where(total > 0, 2 * shared / np.maximum(total, 1), 1.0)
 
 
 class Rules:
@@ -124,6 +160,22 @@ class Rules:
             score += 0.1 * max(0.0, 1 - mean / 100)
         return min(1.0, score)
 
+    def possible(self, left: list[dict], right: list[dict]) -> np.ndarray:
+        """Which pairs of prepared entries `alike` can hold for, from upper bounds of its ratios, many pairs at a time."""
+        t, low = self.threshold, lambda e, c: e[c].lower().strip()
+        bound = {c: most_alike(bags([low(e, c) for e in left]), bags([low(e, c) for e in right])) + 1e-9 for c in ("signature", "norm", "value", "key")}
+        flag = lambda f: np.array([f(e) for e in left], bool)[:, None] & np.array([f(e) for e in right], bool)[None, :]
+        key, value = bound["norm"], bound["value"]
+        # `meaning` reads keys and values with their margins, which can only match more characters; these have none.
+        meaning = 0.7 * bound["key"] + 0.3 * value
+        said = flag(lambda e: bool(e["comments"]))
+        ok = (bound["signature"] >= t) | ((key >= 0.9) & (value >= 0.7)) | (meaning >= 0.8) | (said & (key >= 0.75))
+        ok |= 0.4 * key + 0.3 * value + 0.2 * meaning + 0.1 * said >= 0.9 * t
+        # Shared figures make a lost ordinal, and education has points of its own: bounds say nothing there.
+        figures = flag(lambda e: bool(self.years.search(e["value"]) or self.percents.search(e["value"])))
+        ordinal = np.array([_ORDINAL.search(e["key"].lower()) is not None for e in left], bool)[:, None] | np.array([_ORDINAL.search(e["key"].lower()) is not None for e in right], bool)[None, :]
+        return ok | (figures & (ordinal | (bound["key"] > 0.8))) | flag(lambda e: e["education"])
+
     def alike(self, e1: dict, e2: dict) -> bool:
         """The decision over two prepared entries (see `prepare`): any of six tests, the cheap ones first."""
         t = self.threshold

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql.window import Window
 
 from sievework.functions.similarity import Rules, similarity
 from sievework.operators.components import connected_components
-from sievework.operators.entries import cut_mark, normalize_key, signature, strip, valid_entries
+from sievework.operators.entries import cut_mark, exact_key_dedup, normalize_key, repair_marked, signature, strip, valid_entries
+from sievework.operators.skew import row_numbers
+from sievework.session import written
 
 BLOCK = 200  # entries of a group that one side of a task's comparison holds
 
@@ -33,8 +36,10 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85, compat: bool = False
     rules = Rules(threshold, compat)
     kind = rows.schema["o"].dataType.simpleString()
     gkind = rows.schema["g"].dataType.simpleString()
-    w = Window.partitionBy("g").orderBy("o")
-    blocked = rows.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int"))
+    # Numbered by stretches where the order allows it, so that a group with a large share of all rows is no single task.
+    spread = kind in ("tinyint", "smallint", "int", "bigint")
+    numbered = row_numbers(rows, "g", ["o"], "_n") if spread else rows.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy("o")))
+    blocked = numbered.withColumn("block", F.floor((F.col("_n") - 1) / BLOCK).cast("int")).drop("_n")
     last = blocked.groupBy(F.col("g").alias("_g")).agg(F.max("block").alias("last"))
     placed = blocked.join(last, F.col("g") == F.col("_g"))
     # A row of block b takes part in every pair of blocks (i, j), i <= j, with b among them.
@@ -48,9 +53,10 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85, compat: bool = False
             e["education"] = rules.is_education(e["key"].lower(), e["value"].lower())
         same = pdf["i"].iat[0] == pdf["j"].iat[0] if len(pdf) else True
         left = es if same else [e for e in es if e["block"] == e["i"]]
-        right = [] if same else [e for e in es if e["block"] == e["j"]]
-        pairs = ((a, b) for n, a in enumerate(left) for b in (left[n + 1 :] if same else right))
-        hit = [(a["g"], a["o"], b["o"]) for a, b in pairs if rules.alike(a, b)]
+        right = es if same else [e for e in es if e["block"] == e["j"]]
+        # Most pairs are ruled out by bounds, many at a time; the rest is decided one by one.
+        ok = rules.possible(left, right)
+        hit = [(left[a]["g"], left[a]["o"], right[b]["o"]) for a, b in zip(*np.nonzero(np.triu(ok, 1) if same else ok)) if rules.alike(left[a], right[b])]
         return pd.DataFrame(hit, columns=["g", "a", "b"])
 
     # Little data but much work: a number of partitions keeps adaptive execution from making one task of it all.
@@ -117,13 +123,43 @@ def _merge(notes: pd.Series, by_length: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup_stats(df: DataFrame, group: str, order: str, threshold: float = 0.85) -> DataFrame:
-    """One row of the stages' counts: initial_count, valid_count, after_fuzzy, after_exact (distinct normalized keys of the
-    survivors), and the reduction in per cent.
+def deduplicated(df: DataFrame, group: str, order: str, threshold: float = 0.85, fuzzy: bool = True, repair: bool = True) -> dict[str, DataFrame]:
+    """The stages of deduplication, each as the rows that are left after it: ``input`` (rows of equal group and order are one),
+    ``valid``, ``repaired`` (keys normalized, marked values made whole; column ``was_repaired``), ``fuzzy`` (survivors of the fuzzy
+    consolidation with its comments and value) and ``exact`` (one row per normalized key, with ``first_order``).
+
+    ``order`` must be unique over all groups. Keys that normalizing leaves too short take no part in the consolidation, but stay.
     """
     one = df.dropDuplicates([group, order])
-    best = fuzzy_consolidate(df, group, order, threshold)
-    keys = one.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.lower(normalize_key(F.col("entry_key"))).alias("k"))
-    after = best.join(keys, (F.col(group) == F.col("_g")) & (F.col("best_order") == F.col("_o"))).agg(F.count("*").alias("after_fuzzy"), F.count_distinct(group, "k").alias("after_exact"))
-    counts = one.agg(F.count("*").alias("initial_count")).crossJoin(valid_entries(one).agg(F.count("*").alias("valid_count"))).crossJoin(after)  # of one row each
-    return counts.select("*", F.bround(F.when(F.col("initial_count") > 0, (F.col("initial_count") - F.col("after_exact")) * 100.0 / F.col("initial_count")).otherwise(0.0), 1).alias("reduction_percent"))
+    rows = written(valid_entries(one).withColumn("raw_key", F.col("entry_key")))
+    rows = rows.withColumn("was_repaired", F.lit(False))
+    fixed = rows
+    if repair:
+        whole = repair_marked(rows.withColumn("entry_key", normalize_key(F.col("entry_key"))), group, order).select(F.col(order).alias("_e"), "repaired")
+        fixed = rows.join(whole, F.col(order) == F.col("_e"), "left").withColumn("was_repaired", F.col("repaired").isNotNull())
+        fixed = fixed.withColumn("entry_value", F.coalesce("repaired", "entry_value")).drop("_e", "repaired")
+    fixed = written(fixed.withColumn("entry_key", normalize_key(F.col("entry_key"))))  # read by every step that follows
+    kept = fixed
+    if fuzzy:
+        best = fuzzy_consolidate(fixed, group, order, threshold).select(F.col("best_order").alias("_b"), F.col("comments").alias("_n"), F.col("value").alias("_v"))
+        kept = fixed.join(best, F.col(order) == F.col("_b"), "left").filter(F.col("_b").isNotNull() | (F.length("entry_key") < 2))
+        kept = written(kept.withColumn("comments", F.coalesce("_n", "comments")).withColumn("entry_value", F.coalesce("_v", "entry_value")).drop("_b", "_n", "_v"))
+    last = exact_key_dedup(kept, group, order).select(F.col("best_order").alias("_b"), "first_order", F.col("comments").alias("_n"))
+    last = kept.join(last, F.col(order) == F.col("_b")).withColumn("comments", F.coalesce("_n", "comments")).drop("_n", "_b")
+    return {"input": one, "valid": rows, "repaired": fixed, "fuzzy": kept, "exact": last}
+
+
+def dedup_stats(df: DataFrame, group: str, order: str, threshold: float = 0.85, fuzzy: bool = True) -> DataFrame:
+    """One row of what each stage of `deduplicated` leaves: input_count, after_validation, after_normalization, after_repair,
+    after_fuzzy, after_exact, final_count; truncation_repairs, fuzzy_duplicates_removed, exact_duplicates_removed, and
+    reduction_percentage of the input, 0 without any.
+    """
+    s = deduplicated(df, group, order, threshold, fuzzy)
+    n = lambda name, *more: s[name].agg(F.count("*").alias(f"n_{name}"), *more)
+    r = n("input").crossJoin(n("repaired", F.count_if("was_repaired").alias("fixed"))).crossJoin(n("fuzzy")).crossJoin(n("exact"))  # of one row each
+    cut = F.when(F.col("n_input") > 0, F.bround((1 - F.col("n_exact") / F.col("n_input")) * 100, 1)).otherwise(0.0)
+    same = [F.col("n_repaired").alias(c) for c in ("after_validation", "after_normalization", "after_repair")]  # these stages drop nothing
+    return r.select(
+        F.col("n_input").alias("input_count"), *same, F.col("n_fuzzy").alias("after_fuzzy"), F.col("n_exact").alias("after_exact"), F.col("n_exact").alias("final_count"),
+        F.col("fixed").alias("truncation_repairs"), (F.col("n_repaired") - F.col("n_fuzzy")).alias("fuzzy_duplicates_removed"), (F.col("n_fuzzy") - F.col("n_exact")).alias("exact_duplicates_removed"), cut.alias("reduction_percentage"),
+    )

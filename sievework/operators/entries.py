@@ -118,9 +118,11 @@ def repair_marked(df: DataFrame, group: str, order: str, key: str = "entry_key",
     rows = df.dropDuplicates([group, order]).select(F.col(group).alias("g"), F.col(order).alias("o"), k.alias("k"), v.alias("v"))
     marked = rows.filter(cut_mark(F.col("v")) & (F.length("v") > 3)).withColumn("stem", strip(F.regexp_replace("v", r"[.…]+$", ""))).filter(F.length("stem") > 0)
     marked = marked.withColumn("head", F.lower(F.substring("stem", 1, 8))).withColumn("w", F.length("head"))
-    # The stem's length below eight is part of the key, so each value offers one head for each length in use.
-    others = rows.select(F.col("g").alias("g2"), F.col("o").alias("o2"), F.col("k").alias("k2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("w2")).withColumn("head2", F.lower(F.expr("substring(v2, 1, w2)")))
-    others = others.filter(F.length("head2") == F.col("w2"))
+    whole = rows.filter(~cut_mark(F.col("v"))).select(F.col("g").alias("g2"), F.col("o").alias("o2"), F.col("k").alias("k2"), F.col("v").alias("v2"))
+    # Each value offers its first eight characters once; shorter heads only in groups with a stem of that length, which few have.
+    short = marked.filter("w < 8").select(F.col("g").alias("g2"), F.col("w").alias("w2")).distinct()
+    others = whole.withColumn("w2", F.lit(8)).unionByName(whole.join(short, "g2").select(*whole.columns, "w2"))
+    others = others.withColumn("head2", F.lower(F.expr("substring(v2, 1, w2)"))).filter(F.length("head2") == F.col("w2"))
     hit = marked.join(others, (F.col("g") == F.col("g2")) & (F.col("w") == F.col("w2")) & (F.col("head") == F.col("head2")) & (F.col("o") != F.col("o2")))
     alike = F.levenshtein("k", "k2") <= 0.3 * F.greatest(F.length("k"), F.length("k2"))
     hit = hit.filter(F.startswith(F.lower("v2"), F.lower("stem")) & (F.length("v2") > F.length("stem")) & ~cut_mark(F.col("v2")) & alike)
@@ -180,9 +182,51 @@ def with_global_note(df: DataFrame, notes: DataFrame, group: str, order: str, co
 
 
 def context_ring(chunks: DataFrame, group: str, order: str, text: str, last: int = 5, chars: int = 500) -> DataFrame:
-    """``context``: the first ``chars`` characters of the ``last`` chunks before each, in order."""
+    """``context``: the first ``chars`` characters of the ``last`` chunks before each, in order; cut ones end in dots."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(-last, -1)
-    return chunks.withColumn("context", F.array_join(F.collect_list(F.substring(F.coalesce(F.col(text), F.lit("")), 1, chars)).over(w), "\n"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    short = F.when(F.length(t) > chars, F.concat(F.substring(t, 1, chars), F.lit("..."))).otherwise(t)
+    return chunks.withColumn("context", F.array_join(F.collect_list(short).over(w), "\n"))
+
+
+def context_state(chunks: DataFrame, group: str, order: str, last: int = 5) -> DataFrame:
+    """What an extractor's memory holds before each chunk: processed and failed chunks, messages (two a chunk, of at most ``last``),
+    entries and their mean a processed chunk, and the share of processed ones in per cent, 0 before the first.
+
+    ``chunks`` has status and entries_count (null counts as 0).
+    """
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ok = F.coalesce(F.col("status") == "success", F.lit(False))
+    sums = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    rows = chunks.select(
+        group, order, sums(ok.cast("int")).alias("processed_chunks"), sums((~ok).cast("int")).alias("failed_chunks"), sums(F.when(ok, F.coalesce("entries_count", F.lit(0))).otherwise(0)).alias("total_entries"),
+    )
+    done, failed = F.col("processed_chunks"), F.col("failed_chunks")
+    return rows.select(
+        "*", (F.least(done, F.lit(last)) * 2).alias("context_messages"), F.bround(F.when(done > 0, F.col("total_entries") / done).otherwise(0.0), 1).alias("avg_entries_per_chunk"),
+        F.bround(done * 100.0 / F.greatest(F.lit(1), done + failed), 1).cast("double").alias("success_rate"),
+    )
+
+
+def field_patterns(df: DataFrame, group: str, order: str, key: str = "entry_key") -> DataFrame:
+    """Per group and key (case and margins ignored): the spelling seen first, which later entries are asked to keep, and uses."""
+    rows = df.filter(F.length(strip(F.col(key))) > 0)
+    g = rows.groupBy(group, F.lower(strip(F.col(key))).alias("name")).agg(F.min(F.struct(order, key)).alias("f"), F.count("*").alias("uses"))
+    return g.select(group, "name", F.col(f"f.{key}").alias("spelling"), "uses")
+
+
+def merged_synonyms(df: DataFrame, id_col: str, fields: str) -> DataFrame:
+    """``df`` (id and ``fields``, a map) with the names of its map made one where they agree without case, spaces, ``_`` and ``-``:
+    all become the smallest such name of the whole table. Of several in one map the first non-null value by name stays.
+
+    Null and empty maps come back empty; ids must be unique, a null id is one too.
+    """
+    rows = df.select(id_col, F.explode(fields).alias("name", "v")).withColumn("_n", F.regexp_replace(F.lower("name"), r"[ _-]", ""))
+    best = rows.groupBy("_n").agg(F.min("name").alias("canonical"))
+    one = rows.join(best, "_n").groupBy(id_col, "canonical").agg(F.min(F.struct(F.col("v").isNull().alias("none"), "name", "v")).alias("x"))
+    maps = one.groupBy(F.col(id_col).alias("_i")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("canonical", F.col("x.v").alias("v"))))).alias("_m"))
+    kind = df.schema[fields].dataType
+    return df.select(id_col).join(maps, F.col(id_col).eqNullSafe(F.col("_i")), "left").select(id_col, F.coalesce("_m", F.map_from_arrays(F.array(), F.array()).cast(kind)).alias(fields))
 
 
 def visible_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BITS = 32768  # of one of Spark's bitmaps
+KEYS = 20_000  # of a range, about: few enough to be sorted and numbered in memory, enough to fill a bitmap
 
 
 def _and_not(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +37,7 @@ def dictionary(keys: DataFrame, ranges: int) -> DataFrame:
     return d.withColumn("code", F.row_number().over(Window.partitionBy("rng").orderBy("key")).cast("long"))
 
 
-def orphan_references(children: DataFrame, parents: DataFrame, ranges: int = 64, period: str = "month") -> DataFrame:
+def orphan_references(children: DataFrame, parents: DataFrame, ranges: int | None = None, period: str = "month") -> DataFrame:
     """The rows of ``children`` whose key no parent held at their time, with the reason.
 
     ``children``: child_table, child_id, key, at. ``parents``: key, received, removed (several rows of a key count as one:
@@ -45,13 +46,17 @@ def orphan_references(children: DataFrame, parents: DataFrame, ranges: int = 64,
     before ``at``; a row both late and removed is ``removed``).
     Null keys refer to nothing and are left out. A null ``at`` counts as after everything. A parent whose ``received`` is
     null in every row was never received. Empty ``children`` give no rows; empty ``parents`` make every reference missing.
-    ``ranges`` should grow with the number of keys so that a range has some ten thousand.
+    Keys are split into ``ranges`` by hash; without it into as many as give each some KEYS keys, from a count that takes one pass.
     """
     last = F.lit("9999-12-01").cast("timestamp_ntz")
     per = lambda c: F.date_trunc(period, F.coalesce(c.cast("timestamp_ntz"), last)).cast("timestamp_ntz")
     kids = children.select("child_table", "child_id", "key", F.col("at").cast("timestamp_ntz").alias("at")).filter(F.col("key").isNotNull()).distinct().withColumn("period", per(F.col("at")))
     held = parents.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.col("received").cast("timestamp_ntz")).alias("received"), F.min(F.col("removed").cast("timestamp_ntz")).alias("removed"))
-    codes = dictionary(kids.select("key").union(held.select("key")), ranges)
+    keys = kids.select("key").union(held.select("key"))
+    if ranges is None:
+        n = children.select("key").union(parents.select("key")).agg(F.approx_count_distinct("key")).first()[0]
+        ranges = max(1, -(-n // KEYS))
+    codes = dictionary(keys, ranges)
 
     marks = (
         kids.select("key", "period", F.lit("ref").alias("kind")).distinct()

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.operators.chunking import strip
 from sievework.operators.entries import B
 
-# Patterns of content types, with edges of ASCII words.
+# Patterns of content types, with edges of ASCII words (where a word character is next to the edge anyway, one look decides).
 CONTENT = {
-    "dates": rf"{B}\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}{B}|{B}\w+ \d{{4}}{B}",
+    "dates": r"(?<!\w)\d{1,2}[/-]\d{1,2}[/-]\d{2,4}(?!\w)|(?<!\w)\w+ \d{4}(?!\w)",
     "percentages": r"\d+\.?\d*%",
-    "phone_numbers": rf"{B}\d{{3}}[-.]?\d{{3}}[-.]?\d{{4}}{B}",
+    "phone_numbers": r"(?<!\w)\d{3}[-.]?\d{3}[-.]?\d{4}(?!\w)",
     "emails": rf"{B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}{B}",
-    "numbers": rf"{B}\d+{B}",
+    "numbers": r"(?<!\w)\d+(?!\w)",
     "urls": r"https?://[^\s]+",
 }
+#: A text without the sign has none of the kind, which is cheaper to see.
+SIGNS = {"percentages": "%", "emails": "@", "urls": "http"}
 
 
 def words(c: Column) -> Column:
     """Distinct words of three ASCII letters or more, bounded by other than ASCII letters, digits and underscores."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(rf"{B}[a-z]{{3,}}{B}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?<!\w)[a-z]{3,}(?!\w)"), F.lit(0)))
+
+
+def _occurrences(t: Column, kind: str) -> Column:
+    n = F.regexp_count(t, F.lit(CONTENT[kind]))
+    return F.when(F.contains(t, F.lit(SIGNS[kind])), n).otherwise(0) if kind in SIGNS else n
 
 
 def content_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -33,7 +42,7 @@ def content_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     solid = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     return docs.select(
         id_col, F.length(t).alias("total_characters"), F.size(solid).alias("total_words"), F.size(words(t)).alias("unique_words"),
-        *(F.regexp_count(t, F.lit(p)).alias(n) for n, p in CONTENT.items()),
+        *(_occurrences(t, n).alias(n) for n in CONTENT),
         F.size(F.filter(F.split(t, "\n\n"), lambda p: F.length(strip(p)) > 50)).alias("paragraphs"),
         F.regexp_count(t, F.lit(r"(?md)^[ \t]*[•\-*][ \t]+")).alias("bullet_points"), F.regexp_count(t, F.lit(r"(?md)^[A-Z][A-Z ]{5,}$")).alias("headings"),
     )
@@ -79,20 +88,53 @@ def plain_text(c: Column) -> Column:
     return F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_ \-.,:;()\[\]/@#$%&*+=<>?!'\"]", ""))
 
 
-def best_phrase(text: Column, search: Column) -> Column:
-    """Length of the longest run of words of ``search`` (over three characters) found in ``text`` / that of ``search``; 1 if
-    all of it is. Both in plain form. Null if nothing is found.
+def top_phrases(text: str, search: str, top: int = 3) -> list[tuple[int, int, float]]:
+    """(position, length, similarity) of up to ``top`` runs of words of ``search`` that ``text`` holds, both in plain form: all of
+    it, with similarity 1, or else the longest of two or more words' runs over three characters, each with its share of the
+    length; ties in order of their words. A run that is not found is not made longer.
     """
-    w = F.filter(F.split(search, " "), lambda x: x != "")
-    n = F.size(w)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(w, i, k), " "))))
-    hit = F.array_max(F.transform(F.filter(runs, lambda p: (F.length(p) > 3) & F.contains(text, p)), lambda p: F.length(p)))
-    return F.when(search == "", None).when(F.contains(text, search), 1.0).when(n > 1, hit / F.length(search).cast("double"))
+    if not search:
+        return []
+    if search in text:
+        return [(text.find(search), len(search), 1.0)]
+    words, found = search.split(), []
+    if len(words) < 2:
+        return []
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            run = " ".join(words[i:j])
+            at = text.find(run)
+            if at < 0:
+                break
+            if len(run) > 3:
+                found.append((at, len(run), len(run) / len(search)))
+    return sorted(found, key=lambda x: -x[2])[:top]
+
+
+_PHRASES = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
+
+
+@F.pandas_udf(_PHRASES)
+def _top_phrases(text: pd.Series, search: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("position", "length", "similarity"), x)) for x in top_phrases(t or "", s or "")] for t, s in zip(text, search)])
+
+
+def phrase_matches(docs: DataFrame, said: DataFrame, id_col: str = "doc_id", key_col: str = "entry_id", context: int = 100) -> DataFrame:
+    """Where the texts of ``said`` (id, key, text) stand in their documents: key, rank (1 to 3), similarity and context, the
+    document's characters from ``context`` before to ``context`` behind the place, which is counted in its plain form.
+
+    Texts of which nothing is found, and those of unknown documents, have no row.
+    """
+    t = docs.select(F.col(id_col).alias("_i"), F.coalesce("text", F.lit("")).alias("_raw"), plain_text(F.coalesce("text", F.lit(""))).alias("_t"))
+    j = said.select(id_col, key_col, plain_text(F.coalesce("text", F.lit(""))).alias("_s"), F.length(F.coalesce("text", F.lit(""))).alias("_n")).join(t, F.col(id_col) == F.col("_i"))
+    m = j.select(key_col, "_raw", "_n", F.posexplode(_top_phrases("_t", "_s")).alias("rank", "m"))
+    start = F.greatest(F.lit(0), F.col("m.position") - context)
+    end = F.col("m.position") + F.when(F.col("m.similarity") == 1.0, F.col("_n")).otherwise(F.col("m.length")) + context
+    return m.select(key_col, (F.col("rank") + 1).alias("rank"), F.bround("m.similarity", 6).alias("similarity"), F.substring(F.col("_raw"), start + 1, F.greatest(F.lit(0), end - start)).alias("context"))
 
 
 def phrase_found(text: Column, search: Column) -> Column:
-    """Whether `best_phrase` is not null, by runs of up to three words: any longer run over three characters has one of these."""
+    """Whether `top_phrases` finds any, by runs of up to three words: any longer run over three characters has one of these."""
     w = F.filter(F.split(search, " "), lambda x: x != "")
     n = F.size(w)
     of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array())

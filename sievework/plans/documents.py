@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import scalars
-from sievework.operators import chunking, consolidate, positions, textmetrics
+from sievework.operators import chunking, textmetrics
 from sievework.operators import entries as en
 from sievework.plans.pipeline import extract_documents
 from sievework.sources import llm_output
@@ -48,10 +48,6 @@ def content_gaps(spark: SparkSession, d: str) -> DataFrame:
     return textmetrics.content_gaps(_docs(spark, d), _said(spark, d))
 
 
-def fidelity_score(spark: SparkSession, d: str) -> DataFrame:
-    return textmetrics.fidelity(_docs(spark, d), _said(spark, d))
-
-
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.semantic_chunks(_docs(spark, d))
 
@@ -96,24 +92,11 @@ def truncation_repair(spark: SparkSession, d: str) -> DataFrame:
     return en.repair_marked(_entries(spark, d), "session_id", "entry_id")
 
 
-def fuzzy_consolidate(spark: SparkSession, d: str) -> DataFrame:
-    return consolidate.fuzzy_consolidate(_entries(spark, d), "session_id", "entry_id")
-
-
-def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
-    return consolidate.dedup_stats(_entries(spark, d), "session_id", "entry_id")
-
-
 def position_order(spark: SparkSession, d: str) -> DataFrame:
     e = _entries(spark, d).select("session_id", "entry_id", "chunk_id")
     return en.document_order(e, "session_id", "entry_id", spread=True).select("session_id", "entry_id", "final_position", F.col("#").alias("row_number"))
 
 
-def entry_positions(spark: SparkSession, d: str) -> DataFrame:
-    e = _entries(spark, d).select("session_id", "entry_id", "chunk_id", "entry_key", "entry_value")
-    return positions.positions(e, _chunks(spark, d), "session_id", "entry_id").select("entry_id", "position", "confidence", "method", "final_position")
-
-
 def global_note_row(spark: SparkSession, d: str) -> DataFrame:
     """The header of a session's first chunk that has one, put before the comments of its first entry."""
     c = _chunks(spark, d).filter("header is not null")
@@ -193,11 +176,6 @@ def file_size_labels(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", scalars.file_size_label(F.col("file_size")).alias("label"))
 
 
-def handler_errors(spark: SparkSession, d: str) -> DataFrame:
-    c = read_table(spark, d, "semantic_chunks").distinct().filter("error is not null")
-    return c.groupBy(scalars.handler_error(F.col("error")).alias("category")).agg(F.count("*").alias("n"))
-
-
 def fresh_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the last 90 days."""
     return expired(read_table(spark, d, "performance_metrics").dropDuplicates(["metric_id"])).select("metric_id", "created_ts")
@@ -231,9 +209,9 @@ def key_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = (
-    field_titles, file_size_labels, handler_errors, fresh_metrics, batch_stats, recent_completions, entry_problems, key_overlap,
-    content_type_counts, word_coverage, content_gaps, fidelity_score, semantic_chunks, chunk_page_ranges, char_chunks, normalize_keys, ordinal_keys, entry_signature,
-    validate_entries, exact_key_dedup, truncation_repair, fuzzy_consolidate, dedup_stats, position_order, entry_positions, global_note_row, context_ring, progress_fold,
+    field_titles, file_size_labels, fresh_metrics, batch_stats, recent_completions, entry_problems, key_overlap,
+    content_type_counts, word_coverage, content_gaps, semantic_chunks, chunk_page_ranges, char_chunks, normalize_keys, ordinal_keys, entry_signature,
+    validate_entries, exact_key_dedup, truncation_repair, position_order, global_note_row, context_ring, progress_fold,
     logical_sort, error_categories, json_salvage, llm_unnest, field_names, column_visibility, event_windows, event_sessions, extraction_pipeline,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -249,7 +227,9 @@ def _q(text: str) -> str:
     return text.replace("'", "''")
 
 
-_CT = {n: p.replace(en.B, r"\b") for n, p in textmetrics.CONTENT.items()}
+_CT = {
+    "dates": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\w+ \d{4}\b", "percentages": r"\d+\.?\d*%", "phone_numbers": r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "emails": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b", "numbers": r"\b\d+\b", "urls": r"https?://[^\s]+",
+}
 _E = "e AS (SELECT DISTINCT ON (entry_id) * FROM entries ORDER BY entry_id)"
 _C = "c AS (SELECT DISTINCT ON (session_id, chunk_id) session_id, chunk_id, coalesce(content, '') AS content, header FROM semantic_chunks ORDER BY session_id, chunk_id, coalesce(content, '') DESC, header DESC NULLS LAST)"
 _SAID = _E + ", sd AS (SELECT session_id, max(doc_id) AS doc_id FROM processing_sessions GROUP BY 1), said AS (SELECT sd.doc_id, concat_ws(' ', entry_key, entry_value, comments) AS text FROM e JOIN sd USING (session_id))"
@@ -276,15 +256,25 @@ x AS (SELECT doc_id, CAST(i AS INT) AS chunk_id, content, CASE WHEN real THEN st
 """
 
 
-def _case(lists: dict[str, list[str]], col: str, rest: str) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({col}, '{w}')" for w in ws) + f" THEN {k}" for k, ws in lists.items()) + f" ELSE {rest} END"
+# The priorities and kinds of errors, written out once more.
+_PRIORITY = """CASE WHEN regexp_matches(k, 'full name|name|birthdate|birth|age|blood|nationality') THEN 1 WHEN regexp_matches(k, 'current company|current position|current salary|current start') THEN 2
+WHEN regexp_matches(k, 'previous company|previous position|previous salary|previous start|previous end|previous joining|previous starting') THEN 3 WHEN regexp_matches(k, 'first company|first position|first salary|first job') THEN 4
+WHEN regexp_matches(k, 'graduation|cgpa|degree|college|university|school|b-tech|hi-tech|class rank|overall score|thesis') THEN 5 WHEN regexp_matches(k, 'certification|aws|azure|safe|pmp|project management') THEN 6
+WHEN regexp_matches(k, 'proficiency|skill|python|sql|visualization|cloud|experience') THEN 7 ELSE 8 END"""
+_KIND = """CASE WHEN regexp_matches(m, 'rate limit|429') THEN 'rate_limit' WHEN regexp_matches(m, 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(m, 'api|openai') THEN 'api_error' WHEN regexp_matches(m, 'connection|network') THEN 'connection_error'
+WHEN regexp_matches(m, 'invalid|parse|json') THEN 'data_error' WHEN regexp_matches(m, 'auth|key') THEN 'auth_error' ELSE 'unknown_error' END"""
+
+# Of the keys in k (column entry_key) the forms that normalizing goes through; n, or raw where it is empty, is the result.
+_NORM = r""", a AS (SELECT entry_key, lower(""" + _strip("entry_key") + r""") AS raw, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(""" + _strip("entry_key") + r"""), '\b\d+(st|nd|rd|th)?\s*(session|room|track|hall)\b', '', 'g'), '\b(session|room|track|hall)\s*[a-z0-9]+\b', '', 'g'), '\b\d{1,2}:\d{2}(\s*(am|pm))?\b', '', 'g'), '\b\d{1,2}/\d{1,2}(/\d{2,4})?\b', '', 'g') AS k FROM k),
+b AS (SELECT *, """ + _ORD.format("k") + r""" AS keep, regexp_replace(regexp_replace(regexp_replace(k, '\b\d+(st|nd|rd|th)\b', '', 'g'), '^\d+\s*[-:.]?\s*', ''), '\s*[-:.]\s*\d+$', '') AS plain FROM a),
+c AS (SELECT *, regexp_replace(""" + _strip(r"regexp_replace(CASE WHEN keep THEN k ELSE plain END, '[\s\p{Z}]+', ' ', 'g')") + r""", '^[ \-:.,;]+|[ \-:.,;]+$', '', 'g') AS t FROM b),
+f AS (SELECT entry_key, raw, CASE WHEN keep THEN array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') ELSE t END AS n FROM c)"""
 
 
 SQL = {
     "field_titles": _KEYS + r""", a AS (SELECT entry_key, regexp_replace(regexp_replace(regexp_replace(""" + _strip("entry_key") + r""", '\b\d+[A-Z]?\b', '', 'g'), '^\d+\s*[-:.]?\s*', ''), '\s*[-:.]\s*\d+$', '') AS s FROM k),
 b AS (SELECT entry_key, lower(regexp_replace(regexp_replace(s, '[\s\p{Z}]+', ' ', 'g'), '^[ \-:.,;]+|[ \-:.,;]+$', '', 'g')) AS t FROM a) SELECT entry_key, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS title FROM b""",
     "file_size_labels": "SELECT doc_id, CASE WHEN file_size <= 0 THEN '0 Bytes' ELSE regexp_replace(printf('%.2f', round_even(file_size / pow(1024.0, p), 2)), '\\.?0+$', '') || ' ' || (['Bytes', 'KB', 'MB', 'GB', 'TB'])[p + 1] END AS label FROM (SELECT doc_id, file_size, least(CAST(floor(log2(greatest(file_size, 1)) / 10) AS INT), 4) AS p FROM documents)",
-    "handler_errors": "SELECT " + _case({f"'{k}'": ws for k, ws in scalars.HANDLER_ERRORS.items()}, "lower(error)", "'SYSTEM'") + " AS category, count(*) AS n FROM (SELECT DISTINCT * FROM semantic_chunks) WHERE error IS NOT NULL GROUP BY 1",
     "fresh_metrics": "SELECT DISTINCT metric_id, created_ts FROM performance_metrics WHERE created_ts >= (SELECT max(created_ts) FROM performance_metrics) - INTERVAL 90 DAY",
     "batch_stats": "WITH c AS (SELECT session_id, chunk_id, max(CAST(status = 'error' AS INT)) AS failed FROM semantic_chunks GROUP BY 1, 2) SELECT session_id, CAST((chunk_id - 1) // 5 AS INT) AS batch, count(*) AS chunks, max(failed) AS any_failed, CAST(sum(failed) AS BIGINT) AS failed FROM c GROUP BY 1, 2",
     "recent_completions": "WITH c AS (SELECT session_id, chunk_id FROM semantic_chunks GROUP BY 1, 2 HAVING max(CAST(status = 'error' AS INT)) = 0), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY chunk_id DESC) AS i FROM c) SELECT session_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) AS last_chunks FROM r WHERE i <= 3 GROUP BY 1",
@@ -302,10 +292,7 @@ b AS (SELECT entry_key, lower(regexp_replace(regexp_replace(s, '[\s\p{Z}]+', ' '
     ) + ", g AS (SELECT doc_id, content_type, sum(n) AS captured FROM g0 GROUP BY 1, 2) SELECT o.doc_id, o.content_type, n AS in_document, CAST(coalesce(captured, 0) AS BIGINT) AS captured, round_even(coalesce(captured, 0) / n, 6) AS capture_rate, CAST(n - coalesce(captured, 0) AS BIGINT) AS lost FROM o LEFT JOIN g ON o.doc_id = g.doc_id AND o.content_type = g.content_type WHERE n > 0",
     "semantic_chunks": _CHUNKS + "SELECT * FROM x",
     "chunk_page_ranges": _CHUNKS + "SELECT page_range, count(*) AS chunks, CAST(sum(content_length) AS BIGINT) AS characters FROM x GROUP BY 1",
-    "normalize_keys": _KEYS + r""", a AS (SELECT entry_key, lower(""" + _strip("entry_key") + r""") AS raw, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(""" + _strip("entry_key") + r"""), '\b\d+(st|nd|rd|th)?\s*(session|room|track|hall)\b', '', 'g'), '\b(session|room|track|hall)\s*[a-z0-9]+\b', '', 'g'), '\b\d{1,2}:\d{2}(\s*(am|pm))?\b', '', 'g'), '\b\d{1,2}/\d{1,2}(/\d{2,4})?\b', '', 'g') AS k FROM k),
-b AS (SELECT *, """ + _ORD.format("k") + r""" AS keep, regexp_replace(regexp_replace(regexp_replace(k, '\b\d+(st|nd|rd|th)\b', '', 'g'), '^\d+\s*[-:.]?\s*', ''), '\s*[-:.]\s*\d+$', '') AS plain FROM a),
-c AS (SELECT *, regexp_replace(""" + _strip(r"regexp_replace(CASE WHEN keep THEN k ELSE plain END, '[\s\p{Z}]+', ' ', 'g')") + r""", '^[ \-:.,;]+|[ \-:.,;]+$', '', 'g') AS t FROM b),
-f AS (SELECT entry_key, raw, CASE WHEN keep THEN array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') ELSE t END AS n FROM c) SELECT entry_key, CASE WHEN n = '' THEN raw ELSE n END AS normalized FROM f""",
+    "normalize_keys": _KEYS + _NORM + " SELECT entry_key, CASE WHEN n = '' THEN raw ELSE n END AS normalized FROM f",
     "ordinal_keys": _KEYS + "SELECT entry_key, " + _ORD.format("lower(entry_key)") + " AS has_ordinal FROM k",
     "entry_signature": f"WITH {_E}, a AS (SELECT entry_id, lower({_strip(chr(99) + 'oalesce(entry_key, ' + chr(39) * 2 + ')')}) AS k, lower({_strip(chr(99) + 'oalesce(entry_value, ' + chr(39) * 2 + ')')}) AS v FROM e) SELECT entry_id, CASE WHEN k = '' AND v = '' THEN '' ELSE k || ':' || v[1:50] END AS signature FROM a",
     "validate_entries": f"WITH {_E}, a AS (SELECT coalesce(length({_strip('entry_key')}) < 2, true) AS bk, {_PH} AS bv FROM e) SELECT count(*) AS total, count(*) FILTER (bk) AS bad_keys, count(*) FILTER (bv) AS bad_values, count(*) FILTER (NOT bk AND NOT bv) AS valid, round_even(count(*) FILTER (NOT bk AND NOT bv) / count(*), 6) AS success_rate FROM a",
@@ -321,10 +308,10 @@ SELECT DISTINCT ON (m.session_id, m.entry_id) m.session_id, m.entry_id, a.v AS r
 AND NOT (ends_with(a.v, '...') OR ends_with(a.v, '…')) AND levenshtein(m.k, a.k) <= 0.3 * greatest(length(m.k), length(a.k)) ORDER BY m.session_id, m.entry_id, a.entry_id""",
     "position_order": f"WITH {_E}, a AS (SELECT session_id, entry_id, chunk_id, row_number() OVER (PARTITION BY session_id ORDER BY entry_id) - 1 AS i FROM e), b AS (SELECT *, coalesce(chunk_id, 0) * 100000 + CAST(floor((i / 10 + 0.5) * 500) AS BIGINT) AS final_position FROM a) SELECT session_id, entry_id, final_position, row_number() OVER (PARTITION BY session_id ORDER BY final_position, i) AS row_number FROM b",
     "global_note_row": f"WITH {_E}, {_C}, h AS (SELECT DISTINCT ON (session_id) session_id, header AS note FROM c WHERE header IS NOT NULL ORDER BY session_id, chunk_id, header), a AS (SELECT e.session_id, entry_id, comments, note, row_number() OVER (PARTITION BY e.session_id ORDER BY entry_id) AS i FROM e LEFT JOIN h USING (session_id)) SELECT session_id, entry_id, CASE WHEN i = 1 AND note IS NOT NULL THEN concat_ws(' | ', '[GLOBAL NOTE: ' || note || ']', CASE WHEN length({_strip(chr(99) + 'oalesce(comments, ' + chr(39) * 2 + ')')}) > 0 THEN comments END) ELSE comments END AS comments FROM a",
-    "context_ring": f"WITH {_C} SELECT session_id, chunk_id, coalesce(string_agg(content[1:500], chr(10)) OVER (PARTITION BY session_id ORDER BY chunk_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS context FROM c",
+    "context_ring": f"WITH {_C} SELECT session_id, chunk_id, coalesce(string_agg(CASE WHEN length(content) > 500 THEN content[1:500] || '...' ELSE content END, chr(10)) OVER (PARTITION BY session_id ORDER BY chunk_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS context FROM c",
     "progress_fold": "WITH r AS (SELECT DISTINCT session_id, unnest(chunk_results) AS c FROM processing_sessions), x AS (SELECT session_id, c.chunk_id AS k, max(CASE WHEN c.status = 'error' THEN 1 ELSE 0 END) AS bad FROM r GROUP BY 1, 2) SELECT session_id AS session, count(*) FILTER (bad = 0) AS success, count(*) FILTER (bad = 1) AS error, count(*) AS chunks FROM x GROUP BY 1",
-    "logical_sort": f"WITH {_E} SELECT entry_id, " + _case({str(i): ws for i, ws in enumerate(en.PRIORITIES, 1)}, "lower(coalesce(entry_key, ''))", "8") + " AS priority, lower(entry_key) AS key FROM e ORDER BY priority, key, entry_id",
-    "error_categories": "SELECT " + _case({f"'{k}'": ws for k, ws in en.ERRORS.items()}, "lower(error)", "'unknown_error'") + " AS category, count(*) AS n FROM (SELECT DISTINCT * FROM semantic_chunks) WHERE error IS NOT NULL GROUP BY 1",
+    "logical_sort": f"WITH {_E} SELECT entry_id, {_PRIORITY} AS priority, key FROM (SELECT entry_id, lower(coalesce(entry_key, '')) AS k, lower(entry_key) AS key FROM e) ORDER BY priority, key, entry_id",
+    "error_categories": f"SELECT {_KIND} AS category, count(*) AS n FROM (SELECT lower(error) AS m FROM (SELECT DISTINCT * FROM semantic_chunks) WHERE error IS NOT NULL) GROUP BY 1",
     "json_salvage": f"WITH {_E} SELECT entry_id, {_strip('entry_key')} AS \"Key\", {_strip('entry_value')} AS \"Value\", {_strip('comments')} AS \"Comments\" FROM e WHERE {_strip('entry_key')} <> '' AND {_strip('entry_value')} <> ''",
     "llm_unnest": f"WITH {_E}, a AS (SELECT session_id || '/' || chunk_id AS id, row_number() OVER (PARTITION BY session_id, chunk_id ORDER BY entry_id) - 1 AS pos, {_strip('entry_key')} AS \"Key\", {_strip('entry_value')} AS \"Value\" FROM e) SELECT * FROM a WHERE \"Key\" <> '' AND \"Value\" <> ''",
     "field_names": f"WITH {_E} SELECT lower(entry_key) AS key, min_by(entry_key, entry_id) AS spelling, count(*) AS n FROM e GROUP BY 1",

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from sievework.config import Config
 from sievework.operators.chunking import semantic_chunks
-from sievework.operators.consolidate import fuzzy_consolidate
-from sievework.operators.entries import document_order, exact_key_dedup, normalize_key, repair_marked, valid_entries
-from sievework.session import cut
+from sievework.operators.consolidate import deduplicated
+from sievework.operators.entries import document_order
 from sievework.sources.scans import Extractor, extract, label_extractor
 
 
@@ -20,18 +19,8 @@ def extract_documents(docs: DataFrame, extractor: Extractor = label_extractor, f
     at the session's `Config.fuzzy_threshold` if no ``threshold`` is given; left out without ``fuzzy``), one entry per normalized key, document order. Documents without entries give no rows.
     """
     raw = extract(semantic_chunks(docs.dropDuplicates(["doc_id"])), extractor=extractor).filter("status = 'success'")
-    # An id over all documents that sorts as the entries stand; it is cut so that every stage sees the same rows.
-    rows = cut(valid_entries(raw).withColumn("entry_id", F.col("doc_id") * 10_000_000_000 + F.col("chunk_id") * 100_000 + F.col("pos")))
-    fixed = repair_marked(rows, "doc_id", "entry_id").select(F.col("entry_id").alias("_e"), "repaired")
-    rows = rows.join(fixed, F.col("entry_id") == F.col("_e"), "left").withColumn("entry_value", F.coalesce("repaired", "entry_value")).drop("_e", "repaired")
-    rows = rows.withColumn("raw_key", F.col("entry_key")).withColumn("entry_key", normalize_key(F.col("entry_key")))
-    if fuzzy:
-        rows = cut(rows)  # read by every step of the consolidation
-        least = Config.of(docs.sparkSession).fuzzy_threshold if threshold is None else threshold
-        best = fuzzy_consolidate(rows, "doc_id", "entry_id", least).select(F.col("best_order").alias("_b"), F.col("comments").alias("_n"), F.col("value").alias("_v"))
-        # Keys that normalizing left too short take no part in the consolidation, but stay.
-        rows = rows.join(best, F.col("entry_id") == F.col("_b"), "left").filter(F.col("_b").isNotNull() | (F.length("entry_key") < 2))
-        rows = rows.withColumn("comments", F.coalesce("_n", "comments")).withColumn("entry_value", F.coalesce("_v", "entry_value")).drop("_b", "_n", "_v")
-    best = exact_key_dedup(rows, "doc_id", "entry_id").select(F.col("best_order").alias("_b"), "first_order", F.col("comments").alias("_n"))
-    rows = rows.join(best, F.col("entry_id") == F.col("_b")).withColumn("comments", F.coalesce("_n", "comments")).drop("_n")
+    # An id over all documents that sorts as the entries stand.
+    rows = raw.withColumn("entry_id", F.col("doc_id") * 10_000_000_000 + F.col("chunk_id") * 100_000 + F.col("pos"))
+    least = Config.of(docs.sparkSession).fuzzy_threshold if threshold is None else threshold
+    rows = deduplicated(rows, "doc_id", "entry_id", least, fuzzy)["exact"]
     return document_order(rows, "doc_id", "first_order").select("doc_id", "#", "entry_key", "entry_value", "comments", "chunk_id", "final_position")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sievework.plans import analytics, documents, p7
+from sievework.plans import analytics, documents, inspection, learning, p7
 
-QUERIES = {**analytics.QUERIES, **documents.QUERIES, **p7.QUERIES}
-SQL = {**analytics.SQL, **documents.SQL, **p7.SQL}
+_PARTS = (analytics, documents, inspection, learning, p7)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+SQL = {name: q for part in _PARTS for name, q in part.SQL.items()}

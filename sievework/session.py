@@ -24,6 +24,7 @@ def local_session(app: str = "sievework", cpus: int | str = 8, partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SIEVEWORK_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -31,10 +32,14 @@ def local_session(app: str = "sievework", cpus: int | str = 8, partitions: int =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder of this machine."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary folder of this machine, which only a
+    local master can use: on any other RuntimeError is raised.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get(CHECKPOINT_KEY)
     if not sc.getCheckpointDir():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievework-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -72,8 +77,8 @@ def _remove_tables() -> None:
             jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(conf).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to its folder
-            return
+        except Exception:  # noqa: BLE001 - this session may be gone, and with it the way to its folder; others may not be
+            continue
 
 
 _shipped: set[str] = set()

@@ -6,32 +6,46 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Extractor = Callable[[str], list[tuple[str, str, str | None]]]
 
 
 def read_texts(spark: SparkSession, path: str, least: int = 1, most: int = 50_000) -> DataFrame:
-    """path and text of whole files of ``least`` to ``most`` characters."""
+    """path, text and error of whole files: texts outside ``least`` to ``most`` characters come with an error in place of the text."""
     df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return df.filter(F.length(F.trim("text")).between(least, most))
+    n = F.length(F.trim("text"))
+    return checked(df, "text", F.when(n < least, f"text of less than {least} characters").when(n > most, f"text of more than {most} characters"))
+
+
+def checked(df: DataFrame, text: str, error: Column) -> DataFrame:
+    """``df`` with ``error``, and ``text`` null where there is one."""
+    return df.withColumn("error", error).withColumn(text, F.when(F.col("error").isNull(), F.col(text)))
 
 
 def read_pdfs(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[str | None]], most_bytes: int = 50 << 20) -> DataFrame:
-    """path, text (pages under their banners; pages without text keep their number), total_pages and file_size of PDF files.
+    """path, text (pages under their banners; pages without text keep their number), total_pages, file_size and error of PDF files.
 
-    ``pages_of`` turns a file's bytes into its pages' texts; no PDF library is part of this package.
+    A file of more than ``most_bytes`` and one that cannot be read have an error and no text. ``pages_of`` turns a file's bytes into its pages' texts; no PDF library is part of this package.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pages = [pages_of(bytes(c)) for c in pdf["content"]]
-            text = ["\n\n".join(f"--- Page {i} ---\n{p}" for i, p in enumerate(ps, 1) if p) for ps in pages]
-            yield pd.DataFrame({"path": pdf["path"], "text": text, "total_pages": [len(p) for p in pages], "file_size": pdf["length"]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).filter(F.col("length") <= most_bytes)
-    return files.select("path", "content", "length").mapInPandas(run, "path string, text string, total_pages int, file_size long")
+            rows = []
+            for name, content, size in zip(pdf["path"], pdf["content"], pdf["length"]):
+                try:
+                    if size > most_bytes:
+                        raise ValueError(f"file of more than {most_bytes} bytes")
+                    pages = pages_of(bytes(content))
+                    rows.append((name, "\n\n".join(f"--- Page {i} ---\n{p}" for i, p in enumerate(pages, 1) if p), len(pages), size, None))
+                except Exception as e:  # noqa: BLE001 - a file's failure is data
+                    rows.append((name, None, None, size, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "text", "total_pages", "file_size", "error"]).astype({"total_pages": "Int32"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    files = files.withColumn("content", F.when(F.col("length") <= most_bytes, F.col("content")))
+    return files.select("path", "content", "length").mapInPandas(run, "path string, text string, total_pages int, file_size long, error string")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

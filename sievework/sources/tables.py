@@ -34,16 +34,26 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``base`` with rows of ``changes`` in place of those with an equal ``key``; among equal keys in ``changes`` any one wins.
+def upsert(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """``base`` with rows of ``changes`` in place of those with an equal ``key``; among equal keys in ``changes`` the last by
+    ``order`` wins, on a tie the largest by the other columns in turn. A null order comes first.
 
-    Null keys never match and are kept from both sides.
+    Null keys never match and are kept from both sides. Columns must be orderable.
     """
     kept = base.join(changes.select(key).distinct(), key, "left_anti")
-    single = changes.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(changes.filter(F.col(key).isNull()))
+    last = changes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(F.struct(F.col(order).alias("__o"), *changes.columns)).alias("__r"))
+    single = last.select(*(F.col(f"__r.{c}").alias(c) for c in changes.columns)).unionByName(changes.filter(F.col(key).isNull()))
     return kept.unionByName(single, allowMissingColumns=True)
 
 
+def frames(events: DataFrame) -> DataFrame:
+    """Each row as a frame of an event stream: column ``value``, ``data: `` and the row as JSON (nulls are left out), then a blank line.
+
+    A stream of them goes to any text sink, e.g. ``frames(df).writeStream.format("text")``.
+    """
+    return events.select(F.concat(F.lit("data: "), F.to_json(F.struct(*events.columns)), F.lit("\n")).alias("value"))
+
+
 def expired(df: DataFrame, time: str = "created_ts", days: int = 90, now=None) -> DataFrame:
     """Rows younger than ``days`` before ``now`` (a timestamp column; the latest time of ``df`` if not given); null times expire."""
     if now is not None:

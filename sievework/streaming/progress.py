@@ -23,24 +23,36 @@ def fold_batch(events: DataFrame) -> DataFrame:
     return last.select("session", "chunk", F.when(F.col("e._r") < 3, "started").when(F.col("e.status") == "error", "error").otherwise("success").alias("state"), F.coalesce("e.entries_count", F.lit(0)).alias("entries_count"))
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream: a row for every change of a chunk's state, whatever the order in which its events arrive."""
+def fold_stream(events: DataFrame, time: str | None = None, late: str = "1 hour", idle: int = 24 * 3600) -> DataFrame:
+    """The same over a stream: a row for every change of a chunk's state, whatever the order in which its events arrive.
+
+    With the name of an event ``time``, the state of a chunk is dropped when the watermark (``late`` behind the latest event) is
+    ``idle`` seconds past its last event, so that what is held is bounded by what goes on; without, it is kept for ever.
+    """
+    src = _marked(events, time, late) if time else events
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         best = tuple(state.get) if state.exists else (-1, 0, 0, "", 0)
-        old = best
+        old, latest = best, 0
         for pdf in batches:
+            if time and pdf[time].notna().any():
+                latest = max(latest, pdf[time].max().value // 1_000_000)
             for e in pdf.itertuples(index=False):
                 r = RANK.get(e.event, 0)
                 if r:
                     best = max(best, (int(e.seq), r, int(e.status == "error"), e.status or "", int(e.entries_count or 0) if pd.notna(e.entries_count) else 0))
+        state.update(best)
+        if time:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle * 1000)
         if best != old:
-            state.update(best)
             now = "started" if best[1] < 3 else "error" if best[3] == "error" else "success"
             yield pd.DataFrame({"session": [key[0]], "chunk": [key[1]], "state": [now], "entries_count": [best[4]], "seq": [best[0]]})
 
-    return events.groupBy("session", "chunk").applyInPandasWithState(
-        step, "session string, chunk int, state string, entries_count int, seq long", "seq long, rank int, bad int, status string, entries int", "update", "NoTimeout"
+    return src.groupBy("session", "chunk").applyInPandasWithState(
+        step, "session string, chunk int, state string, entries_count int, seq long", "seq long, rank int, bad int, status string, entries int", "update", "EventTimeTimeout" if time else "NoTimeout"
     )
 
 

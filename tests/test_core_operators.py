@@ -6,10 +6,13 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions.similarity import Needle, Rules, partial_ratio
 from sievework.operators import consolidate
 from sievework.operators.components import connected_components
+from sievework.operators.entries import context_state, merged_synonyms, repair_marked
 from sievework.operators.references import orphan_references, orphan_report
 from sievework.operators.skew import join_counted, row_numbers
+from sievework.session import checkpoint_dir
 from sievework.sources.tables import norm_label, norm_session_id, upsert, write_csv, write_json
 
 KIDS = "child_table string, child_id string, key string, at timestamp_ntz, extra int"
@@ -40,7 +43,7 @@ def test_orphans_against_brute_force(spark):
     kids = [(rng.choice("ab"), rng.choice([None, str(n)]), rng.choice([None, *(f"k{n}" for n in range(180))]), stamp(), n) for n in range(400)]
     kids += kids[:40]
     c, p = spark.createDataFrame(kids, KIDS), spark.createDataFrame(folks, FOLKS)
-    for ranges in (1, 7):
+    for ranges in (1, 7, None):
         got = [(r.child_table, r.child_id, r.reason) for r in orphan_references(c, p, ranges).collect()]
         assert set(got) == orphans(kids, folks)
     report = orphan_report(c, orphan_references(c, p)).agg(F.sum("refs"), F.sum(F.col("missing") + F.col("late") + F.col("removed"))).first()
@@ -96,6 +99,62 @@ def test_blocks_find_what_all_pairs_find(spark, monkeypatch):
     assert whole and {tuple(r) for r in consolidate.similar_pairs(df).collect()} == whole
 
 
+def test_bounds_rule_out_no_pair():
+    """Whatever the rules hold for, the bounds allow."""
+    rng = random.Random(11)
+    keys = ["Total amount", "Total amounts", "Venue", "10th Grade", "Th Grade", "Grade 10", "Contact person", "Contact persons", "University fee", "College fee", "é" * 4]
+    values = ["2019-2020 with 85% overall", "2019 with 85%", "Room 12, main building", "Room 12, main buildings", "12 EUR", "12 EUR a head", "x", "overall in 2011"]
+    for compat in (False, True):
+        rules = Rules(0.85, compat)
+        rows = [{"key": k, "norm": k.lower(), "value": v, "signature": f"{k}:{v}".lower(), "comments": rng.choice(["", "meeting notes", "a session note"]), "education": rules.is_education(k.lower(), v.lower())} for k in keys for v in values]
+        ok = rules.possible(rows, rows)
+        alike = [(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and rules.alike(a, b)]
+        assert alike and all(ok[i, j] for i, j in alike) and ok.mean() < 0.9
+
+
+def test_needle_finds_what_every_ratio_finds():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab cde") for _ in range(rng.randrange(0, 60))) for _ in range(60)]
+    for t in texts[:20]:
+        scores = [partial_ratio(t, x) for x in texts]
+        best = max(range(len(texts)), key=lambda i: (scores[i], -i))
+        at, score = Needle(t).best(texts, 40.0)
+        assert (at, score) == ((best, scores[best]) if scores[best] > 40 else (-1, 40.0))
+
+
+def test_context_state_of_odd_chunks(spark):
+    rows = [("s", 1, "success", 4), ("s", 2, "error", 9), ("s", 3, None, None), ("s", 4, "success", None), ("s", 5, "success", 1), (None, 1, "success", 2)]
+    got = {(r.g, r.o): (r.processed_chunks, r.failed_chunks, r.context_messages, r.avg_entries_per_chunk, r.success_rate) for r in context_state(spark.createDataFrame(rows, "g string, o int, status string, entries_count int"), "g", "o", 1).collect()}
+    assert got[("s", 1)] == got[(None, 1)] == (0, 0, 0, 0.0, 0.0) and got[("s", 4)] == (1, 2, 2, 4.0, 33.3) and got[("s", 5)] == (2, 2, 2, 2.0, 50.0)
+
+
+def test_synonyms_become_one_name(spark):
+    rows = [(1, {"Entry Value": None, "entry_value": "a", "x": "1"}), (2, {"ENTRYVALUE": "b"}), (3, None), (4, {}), (None, {"X": "c"})]
+    got = {r.i: r.m for r in merged_synonyms(spark.createDataFrame(rows, "i int, m map<string,string>"), "i", "m").collect()}
+    assert got == {1: {"ENTRYVALUE": "a", "X": "1"}, 2: {"ENTRYVALUE": "b"}, 3: {}, 4: {}, None: {"X": "c"}}
+
+
+def test_repair_of_short_and_long_stems(spark):
+    rows = [(1, 1, "Key", "ab..."), (1, 2, "Keys", "abacus and more"), (1, 3, "other", "abacus and others"), (2, 4, "Key", "a much longer st…"), (2, 5, "key", "A much longer story"), (2, 6, "key", None), (2, 7, "key", "..."), (3, 8, "key", "abacus")]
+    df = spark.createDataFrame(rows, "g int, o int, entry_key string, entry_value string")
+    assert {(r.o, r.repaired) for r in repair_marked(df, "g", "o").collect()} == {(1, "abacus and more"), (4, "A much longer story")}
+    assert repair_marked(df.limit(0), "g", "o").count() == 0
+
+
+def test_a_shared_folder_is_asked_for_off_local():
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(type("Session", (), {"sparkContext": Context()})())
+
+
 def test_consolidation_is_a_partition(spark):
     rows = [(1, 1, "Name", "Ada Lovelace of London", None), (1, 2, "name", "Ada Lovelace of London", "seen on page two"), (1, 3, "Fee", "12 EUR", None), (1, 4, "x", "short key", None), (2, 5, "Name", "Ada Lovelace of London", None)]
     df = spark.createDataFrame(rows, "session_id long, entry_id long, entry_key string, entry_value string, comments string")
@@ -125,8 +184,10 @@ def test_labels_and_sinks(spark, tmp_path):
     write_json(df, str(tmp_path / "j"))
     write_csv(df, str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2 and spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
-    merged = upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), "k")
-    assert {tuple(r) for r in merged.collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string, t int")
+    merged = upsert(make([(1, "a", 1), (2, "b", 9), (None, "n", 1)]), make([(2, "c", 2), (2, "x", None), (3, "d", 1), (3, "e", 2), (3, "f", 2), (None, "m", 1)]), "k", "t")
+    assert {tuple(r) for r in merged.collect()} == {(1, "a", 1), (2, "c", 2), (3, "f", 2), (None, "n", 1), (None, "m", 1)}
+    assert upsert(make([]), make([]), "k", "t").count() == 0
 
 
 def test_row_numbers_are_those_of_a_window(spark):
