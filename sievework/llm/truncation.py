@@ -25,8 +25,9 @@ VOCABULARY = 1e-4
 #: Words with so many occurrences per record are the frame of sentences and stand for themselves in a context, all others for
 #: their class.
 FRAME = 0.025
-#: Words a value must have to be judged at all (one word alone is a name or code), to be aligned with a copy or judged by its
-#: ending, and to be counted among the texts whose words and endings are known. Shorter ones are met by their openings.
+#: Words a value must have to be judged by its last word (one word alone is a name or code), to be aligned with a copy or judged
+#: by its ending, and to be counted among the texts whose words and endings are known. Shorter ones are met by their openings.
+#: A mark tells at any length.
 LEAST, ALIGNED, MIN_RUNS = 2, 4, 6
 #: A bucket of more rows is not compared pair by pair (see `_hot_pairs`); which pairs are found does not depend on it.
 HOT = 1000
@@ -57,9 +58,9 @@ def state_of(value: str) -> str:
 
 
 def _values(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
-    """id and value of each record that may have LEAST words: the last look at lengths is taken where texts are read."""
+    """id and value of each record that has a value; how many words it has is seen where texts are read."""
     src = df.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"))
-    return src.filter((F.length("value") >= 2 * LEAST - 1) & ~is_placeholder(F.col("value")))
+    return src.filter(~is_placeholder(F.col("value")))
 
 
 def _judged(rb: pa.RecordBatch, least: int) -> tuple[pa.RecordBatch, Tokens]:
@@ -469,7 +470,7 @@ def _read(vocab: dict[str, int], total: int, kind: pa.DataType):
             return rows(x.shape[1], ctx=pa.array(x[0]), n=pa.array(x[1]), ends=pa.array(x[2]))
 
         for whole in batches:
-            rb, tok = _judged(whole, LEAST)
+            rb, tok = _judged(whole, 1)
             if not rb.num_rows:
                 continue
             end = e.terminal(tok)
@@ -484,7 +485,11 @@ def _read(vocab: dict[str, int], total: int, kind: pa.DataType):
                 held[:] = [sum_up()]
                 if held[0].shape[1] > 1_000_000:
                     yield counts()
-            state = np.array([state_of(v) for v in rb.column("value").to_pylist()])
+            values = rb.column("value").to_pylist()
+            state = np.array([state_of(v) for v in values])
+            # Of one word, a hyphen at its end is part of a code or grade, and nothing else tells.
+            for i in np.flatnonzero((n < LEAST) & (state != "closed")):
+                state[i] = "closed" if state[i] == "open" or values[i].rstrip().endswith("-") else "marked"
             pick = np.flatnonzero(state != "closed")
             last = (tok.first()[1:] - 1)[pick]
             words = [tok.string(i) for i in last]
@@ -512,7 +517,7 @@ def truncated(df: DataFrame, id_col: str = "entry_id", value_col: str = "entry_v
     goes on where this value ends), ``word`` (it ends inside a word of the corpus) or ``ending`` (texts of the corpus end
     behind such closing words in less than TERMINALITY of SEEN or more cases). The last two only judge values without a copy
     and without a closing sign. Vocabulary and endings are counted over all records, however many.
-    Null, blank and placeholder values and single words are never cut, and copies and endings tell from ALIGNED words on; a finished value is no case,
+    Null, blank and placeholder values are never cut, single words only if marked, and copies and endings tell from ALIGNED words on; a finished value is no case,
     however short beside its copies, nor is one that merely lacks its full stop. Repeated rows count once. Empty input gives
     no rows.
     """

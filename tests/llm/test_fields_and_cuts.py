@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,7 +46,7 @@ def test_truncation(entries):
     cases = {
         1000: (texts[0][:70], True), 1001: (texts[1][:-1], False), 1002: (texts[2].split(". ")[0] + ".", False), 1003: (texts[3][:60].rstrip() + "...", True), 1004: (texts[4][:61] + " [...]", True),
         1005: ("Please approve the ledger that Order99 sent, then inspect the", True), 1006: ("Please approve the ledger that Order98 sent, then inspect the turb", True), 1007: (texts[5][:-1] + ", etc...", False),
-        1008: (None, False), 1009: ("", False), 1010: ("short...", False), 1011: ("missing", False), 1012: (texts[6].split(". ")[0], False), 1013: (texts[7] + " " + "word " * 30_000 + "end.", False),
+        1008: (None, False), 1009: ("", False), 1010: ("short...", True), 1011: ("missing", False), 1012: (texts[6].split(". ")[0], False), 1014: ("A-", False), 1015: ("...", False), 1013: (texts[7] + " " + "word " * 30_000 + "end.", False),
     }
     rows += [(i, "s", "k", v) for i, (v, _) in cases.items()] + [(1000, "s", "k", cases[1000][0])]
     got = {r.id for r in truncation.truncated(entries(rows)).collect()}
@@ -79,6 +80,25 @@ def test_hot_buckets_find_what_pairs_find(entries):
     assert by_pairs and by_pairs == {r.key for r in truncation.aligned(values, hot=5).collect()}
 
 
+def test_alignment_finds_what_all_pairs_show(entries):
+    """Cuts at random places of edited copies: the bands and openings lose few of the texts that any pair gives away."""
+    rng = random.Random(21)
+    full = sentences(250, 8)
+    cuts = []
+    for f in full[:150]:
+        words = f.split()
+        words[rng.randrange(len(words))] = "edited"
+        text = " ".join(words)
+        cuts.append(text[: rng.randrange(25, len(text) - 2)])
+    texts = full + [c for c in cuts if truncation.state_of(c) == "open"]
+    want = {t for t in texts if truncation.state_of(t) == "open" and any(truncation.ends_early(t, f) for f in texts if f != t)}
+    df = entries([(i, "s", "k", t) for i, t in enumerate(texts)])
+    got = {r.key for r in truncation.aligned(truncation._values(df, "entry_id", "entry_value")).collect()}
+    tok = truncation.tokenize(sorted(want))
+    keys = set(truncation._keys(tok, np.ones(len(want), bool)).tolist())
+    assert len(want) > 80 and not got - keys and len(got & keys) >= 0.95 * len(keys)
+
+
 def test_alignment():
     full = "alpha beta gamma delta epsilon zeta eta theta. iota kappa"
     assert truncation.ends_early("alpha beta gamma delta epsilon ze", full)
