@@ -82,8 +82,9 @@ class Needle:
         for i, other in enumerate(others):
             short, n = min(len(self.text), len(other)), self.common(other)
             # A window is as long as the shorter text, or at the end of the longer one shorter, but no shorter than what matches.
-            if short and 200 * n / (short + n) > top and partial_ratio(self.text, other) > top:
-                where, top = i, partial_ratio(self.text, other)
+            score = partial_ratio(self.text, other) if short and 200 * n / (short + n) > top else 0.0
+            if score > top:
+                where, top = i, score
         return where, top
 
 
