@@ -18,7 +18,7 @@ from sievework.llm.bagminhash import mix
 from sievework.llm.vectext import Tokens, bare_hashes, tokenize
 from sievework.session import written
 
-SHINGLE, BANDS = 5, 8
+SHINGLE, BANDS = 5, 2
 ORDERS = (6, 4, 3, 1)  # tokens of an ending's context, longest first
 #: Vocabulary: words that occur in at least this share of records; at most (words a record) / share can.
 VOCABULARY = 1e-4
@@ -80,28 +80,38 @@ def _keys(tok: Tokens, is_open: np.ndarray) -> np.ndarray:
 # --- near-copies -----------------------------------------------------------------------------------------------------------
 
 
-def _shingle_minima(tok: Tokens, bands: int) -> np.ndarray:
-    """Per text and band the smallest of its hashed five-word shingles (a text with fewer words is one shingle)."""
+def _shingle_buckets(tok: Tokens, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and text of the smallest hashed five-word shingles of each text: over the whole text, and over its first 2, 6, 18 and so
+    on, of each ``bands``. A cut text is the beginning of its longer copy, so among as many first shingles of both they agree
+    however much longer the copy is. Texts of fewer than five words have none.
+    """
     first = tok.first()
-    n = np.diff(first)
-    h = tok.hash.copy()
-    roll = h.copy()
+    n = np.maximum(np.diff(first) - SHINGLE + 1, 0)
+    roll = tok.hash.copy()
     for i in range(1, SHINGLE):
-        nxt = np.zeros_like(h)
-        nxt[:-i] = h[i:]
+        nxt = np.zeros_like(roll)
+        nxt[:-i] = tok.hash[i:]
         roll = mix(roll * _P + nxt)
-    whole = np.repeat(np.maximum(n - SHINGLE + 1, 1), n)
-    keep = np.arange(len(h)) - np.repeat(first[:-1], n) < whole
-    roll, at = roll[keep], np.concatenate([[0], np.cumsum(np.maximum(n - SHINGLE + 1, 1))])[:-1]
-    # Texts too short for one shingle would read over their end; their words are hashed by sum instead.
-    out = np.empty((len(n), bands), np.uint64)
-    short = n < SHINGLE
-    sums = np.add.reduceat(h, first[:-1]) if len(h) else h
-    for b in range(bands):
-        low = np.minimum.reduceat(roll * (mix(np.full(1, b + 1, np.uint64)) | np.uint64(1)), at)
-        low[short] = mix(sums[short] + np.uint64(b))
-        out[:, b] = low
-    return out
+    own = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    roll = roll[np.repeat(first[:-1], n) + nth]
+    buckets, texts, level = [], [], 2
+    limits = [0]  # the whole text
+    while level <= n.max(initial=0):
+        limits.append(level)
+        level *= 3
+    for limit in limits:
+        at = np.flatnonzero(n >= max(limit, 1))
+        use = (nth < limit) & (n >= limit)[own] if limit else np.ones(len(own), bool)
+        h = roll[use]
+        edge = np.cumsum(np.minimum(n[at], limit) if limit else n[at])
+        edge = np.concatenate([[0], edge[:-1]])
+        for b in range(bands if len(at) else 0):
+            seed = mix(np.full(1, b + 1 + 64 * limit, np.uint64))
+            buckets.append(mix(np.minimum.reduceat(h * (seed | np.uint64(1)), edge) ^ seed))
+            texts.append(at)
+    none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    return np.concatenate(buckets or none[0]).view(np.int64), np.concatenate(texts or none[1])
 
 
 def _openings(tok: Tokens, key: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,10 +192,10 @@ def _band_rows(bands: int):
             new &= np.diff(tok.first()) >= MIN_RUNS
             if not new.any():
                 continue
+            bucket, at = _shingle_buckets(tok, bands)
+            bucket, at = bucket[new[at]], at[new[at]]
             n = np.diff(tok.first()).astype(np.int32)
-            bucket = mix(_shingle_minima(tok, bands) ^ mix(np.arange(1, bands + 1, dtype=np.uint64)))[new]
-            at = pa.array(np.repeat(np.flatnonzero(new), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), *(pa.array(np.repeat(x[new], bands)) for x in (key, n, _held(tok), _tails(tok))), rb.column("id").take(at)], _MEETING)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(x[at]) for x in (key, n, _held(tok), _tails(tok))), rb.column("id").take(pa.array(at))], _MEETING)
 
     return run
 
