@@ -26,6 +26,8 @@ SYNONYMS = {
 
 
 _ORDINAL = re.compile(r"(st|nd|rd|th)")
+_BASE, _NUMBER = re.compile(r"\b\d*(st|nd|rd|th)\b"), re.compile(r"\b(\d+(?:\.\d+)?)%?\b")
+_KIN = {w for a, bs in SYNONYMS.items() for w in (a, *bs)}
 
 
 @lru_cache(maxsize=65536)
@@ -107,6 +109,15 @@ def most_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(total > 0, 2 * shared / np.maximum(total, 1), 1.0)
 
 
+def most_shared(left: list[set[str]], right: list[set[str]]) -> np.ndarray:
+    """The most elements that each pair of sets can have in common: no more than bins by hash share."""
+    a, b = (np.array([np.bincount([hash(x) % _BINS for x in xs], minlength=_BINS) for xs in side]).reshape(len(side), _BINS) for side in (left, right))
+    shared = np.zeros((len(a), len(b)), np.int64)
+    for i in np.flatnonzero(a.any(axis=0) & b.any(axis=0)):
+        shared += np.minimum(a[:, None, i], b[None, :, i])
+    return shared
+
+
 class Rules:
     """When two entries say the same. ``compat`` reads years as their century and percentages only before a word character,
     as the replaced implementation did; the default reads whole years and any percentage.
@@ -147,7 +158,7 @@ class Rules:
     def education_score(self, k1: str, k2: str, v1: str, v2: str) -> float:
         """Points for lost ordinals, like base keys, common years, institutions, synonyms and near figures; at most 1."""
         score = 0.6 if self.corrupted_ordinal(k1, k2, v1, v2) else 0.0
-        b1, b2 = (re.sub(r"\b\d*(st|nd|rd|th)\b", "", k).strip() for k in (k1, k2))
+        b1, b2 = (_BASE.sub("", k).strip() for k in (k1, k2))
         score += 0.5 if b1 and b2 and similarity(b1, b2) > 0.8 else 0.0
         y1, y2 = set(self.years.findall(v1)), set(self.years.findall(v2))
         score += 0.3 * len(y1 & y2) / len(y1 | y2) if y1 and y2 else 0.0
@@ -155,7 +166,7 @@ class Rules:
             score += 0.2 * similarity(k1, k2)
         like = sum(1 if a == b else 0.8 if b in SYNONYMS.get(a, ()) else 0 for a in set(k1.split()) for b in set(k2.split()))
         score += min(0.3, 0.15 * like)
-        n1, n2 = ([float(x) for x in re.findall(r"\b(\d+(?:\.\d+)?)%?\b", v)] for v in (v1, v2))
+        n1, n2 = ([float(x) for x in _NUMBER.findall(v)] for v in (v1, v2))
         if n1 and n2:
             mean = sum(abs(a - b) for a in n1 for b in n2) / (len(n1) * len(n2))
             score += 0.1 * max(0.0, 1 - mean / 100)
@@ -172,10 +183,21 @@ class Rules:
         said = flag(lambda e: bool(e["comments"]))
         ok = (bound["signature"] >= t) | ((key >= 0.9) & (value >= 0.7)) | (meaning >= 0.8) | (said & (key >= 0.75))
         ok |= 0.4 * key + 0.3 * value + 0.2 * meaning + 0.1 * said >= 0.9 * t
-        # Shared figures make a lost ordinal, and education has points of its own: bounds say nothing there.
+        # Shared figures make a lost ordinal, of which bounds say nothing.
         figures = flag(lambda e: bool(self.years.search(e["value"]) or self.percents.search(e["value"])))
         ordinal = np.array([_ORDINAL.search(e["key"].lower()) is not None for e in left], bool)[:, None] | np.array([_ORDINAL.search(e["key"].lower()) is not None for e in right], bool)[None, :]
-        return ok | (figures & (ordinal | (bound["key"] > 0.8))) | flag(lambda e: e["education"])
+        lost = figures & (ordinal | (bound["key"] > 0.8))
+        # The most points that two entries about education can have (see `education_score`).
+        both = lambda f, of: most_shared(*([f(low(e, of)) for e in side] for side in (left, right)))
+        base = most_alike(*(bags([_BASE.sub("", low(e, "key")).strip() for e in side]) for side in (left, right))) > 0.8
+        named = flag(lambda e: any(w in low(e, "key") for w in INSTITUTIONS))
+        kin = [np.array([len(_KIN & set(low(e, "key").split())) for e in side]) for side in (left, right)]
+        like = both(lambda k: set(k.split()), "key") + 0.8 * kin[0][:, None] * kin[1][None, :]
+        numbers = flag(lambda e: _NUMBER.search(e["value"]) is not None)
+        years = both(lambda v: set(self.years.findall(v)), "value") > 0
+        school = np.minimum(1.0, 0.6 * lost + 0.5 * base + 0.3 * years + 0.2 * named + np.minimum(0.3, 0.15 * like) + 0.1 * numbers) + 1e-9
+        taught = (school >= 0.4) | (0.3 * key + 0.2 * value + 0.15 * meaning + 0.25 * school + 0.1 * said >= 0.9 * t)
+        return ok | lost | (flag(lambda e: e["education"]) & taught)
 
     def alike(self, e1: dict, e2: dict) -> bool:
         """The decision over two prepared entries (see `prepare`): any of six tests, the cheap ones first."""
