@@ -76,18 +76,21 @@ def semantic_chunks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.struct((i + 1).alias("chunk_id"), content.alias("content"), s["header"].alias("header"), start.alias("start_line"), end.alias("end_line"), pos.alias("pos"), F.length(own).alias("own"))
 
     made = _kept(base.withColumn("chunks", F.filter(F.transform("sections", chunk), lambda c: c["own"] > 100)).drop("lines", "stripped", "sections"))
-    long = made.filter(F.size("chunks") > 0).select("id", "pages", cpp.alias("cpp"), F.inline("chunks"))
+    # A document without long sections is one; both kinds in one pass, as reading twice would cut every document twice.
+    whole = F.struct(
+        F.lit(1).alias("chunk_id"), strip(F.col("text")).alias("content"), F.lit("Full Content").alias("header"), F.lit(0).alias("start_line"), F.col("n").alias("end_line"), F.lit(0).alias("pos"), F.lit(0).alias("own")
+    )
+    each = F.when(F.size("chunks") > 0, F.col("chunks")).otherwise(F.array(whole))
+    rows = made.select("id", "pages", cpp.alias("cpp"), F.length("text").alias("size"), (F.size("chunks") == 0).alias("full"), F.inline(each))
     first = F.greatest(F.lit(1), F.floor(F.col("pos") / F.col("cpp")).cast("int") + 1)
     last = F.greatest(first, F.floor((F.col("pos") + F.length("content")) / F.col("cpp")).cast("int") + 1)
-    long = long.withColumn("start_page", F.least(first, F.col("pages"))).withColumn("end_page", F.least(last, F.col("pages")))
+    full = lambda a, b: F.when(F.col("full"), a).otherwise(b)
+    rows = rows.withColumn("start_page", full(F.lit(1), F.least(first, F.col("pages")))).withColumn("end_page", full(F.col("pages"), F.least(last, F.col("pages"))))
     pages = F.when(F.col("start_page") != F.col("end_page"), F.concat_ws("-", F.col("start_page").cast("string"), F.col("end_page").cast("string"))).otherwise(F.col("start_page").cast("string"))
-    cols = ["id", "chunk_id", "content", "header", "section_type", "start_line", "end_line", "content_length", "start_page", "end_page", "page_range"]
-    long = long.withColumn("section_type", F.lit("semantic_section")).withColumn("content_length", F.length("content")).withColumn("page_range", pages).select(*cols)
-    whole = made.filter(F.size("chunks") == 0).select(
-        "id", F.lit(1).alias("chunk_id"), strip(F.col("text")).alias("content"), F.lit("Full Content").alias("header"), F.lit("full_content").alias("section_type"), F.lit(0).alias("start_line"),
-        F.col("n").alias("end_line"), F.length("text").alias("content_length"), F.lit(1).alias("start_page"), F.col("pages").alias("end_page"), F.lit("1").alias("page_range"),
+    return rows.select(
+        F.col("id").alias(id_col), "chunk_id", "content", "header", full(F.lit("full_content"), F.lit("semantic_section")).alias("section_type"), "start_line", "end_line",
+        full(F.col("size"), F.length("content")).alias("content_length"), "start_page", "end_page", full(F.lit("1"), pages).alias("page_range"),
     )
-    return long.unionByName(whole).withColumnRenamed("id", id_col)
 
 
 _STOPS = (". ", "! ", "? ", ".\n", "!\n", "?\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,12 +18,20 @@ from sievework.operators.skew import row_numbers
 from sievework.session import written
 
 BLOCK = 200  # entries of a group that one side of a task's comparison holds
+ROWS, PAIRS = 4_000, 200_000  # entries, and pairs of them, that a task looks at in one go
+
+
+def once(rows: DataFrame, seen: DataFrame, group: str, order: str) -> DataFrame:
+    """``rows``, each group and order once. Whether ``seen``, which they come from, repeats any is counted first, as ids take a
+    small part of the shuffle that whole rows do.
+    """
+    twice = seen.groupBy(group, order).agg(F.count("*").alias("_n")).filter("_n > 1").limit(1).count()
+    return rows.dropDuplicates([group, order]) if twice else rows
 
 
 def prepared(df: DataFrame, group: str, order: str) -> DataFrame:
     """Valid entries with what the pair test reads: norm, signature, key, value, comments, education."""
-    rows = valid_entries(df).dropDuplicates([group, order])
-    return rows.select(
+    return once(valid_entries(df), df, group, order).select(
         F.col(group).alias("g"), F.col(order).alias("o"), F.col("entry_key").alias("key"), F.col("entry_value").alias("value"), strip(F.coalesce("comments", F.lit(""))).alias("comments"),
         normalize_key(F.col("entry_key")).alias("norm"), signature(F.col("entry_key"), F.col("entry_value")).alias("signature"),
     )
@@ -36,32 +46,65 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85, compat: bool = False
     rules = Rules(threshold, compat)
     kind = rows.schema["o"].dataType.simpleString()
     gkind = rows.schema["g"].dataType.simpleString()
+    rows = rows.filter(F.col("o").isNotNull())
+    size = rows.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("_size"))
+    sized = lambda which: rows.join(size.filter(which), F.col("g") == F.col("_g")).withColumn("last", F.floor((F.col("_size") - 1) / BLOCK).cast("int")).drop("_g", "_size")
+    # One entry alone has no pair; a group of one block needs no numbers.
+    few = sized(F.col("_size").between(2, BLOCK)).drop("last").withColumns({c: F.lit(0) for c in ("block", "i", "j")})
     # Numbered by stretches where the order allows it, so that a group with a large share of all rows is no single task.
-    spread = kind in ("tinyint", "smallint", "int", "bigint")
-    numbered = row_numbers(rows, "g", ["o"], "_n") if spread else rows.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy("o")))
+    many, spread = sized(F.col("_size") > BLOCK), kind in ("tinyint", "smallint", "int", "bigint")
+    numbered = row_numbers(many, "g", ["o"], "_n") if spread else many.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy("o")))
     blocked = numbered.withColumn("block", F.floor((F.col("_n") - 1) / BLOCK).cast("int")).drop("_n")
-    last = blocked.groupBy(F.col("g").alias("_g")).agg(F.max("block").alias("last"))
-    placed = blocked.join(last, F.col("g") == F.col("_g"))
     # A row of block b takes part in every pair of blocks (i, j), i <= j, with b among them.
     other = F.explode(F.sequence(F.lit(0), F.col("last")))
-    placed = placed.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    placed = blocked.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    placed = few.unionByName(placed.select(few.columns))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o")
-        es = pdf.to_dict("records")
+    def pairs_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Similar entries of whole pairs of blocks, which come one after the other, each sorted by block and order."""
+        es = pdf[["g", "o", "key", "value", "comments", "norm", "signature"]].to_dict("records")
         for e in es:
             e["education"] = rules.is_education(e["key"].lower(), e["value"].lower())
-        same = pdf["i"].iat[0] == pdf["j"].iat[0] if len(pdf) else True
-        left = es if same else [e for e in es if e["block"] == e["i"]]
-        right = es if same else [e for e in es if e["block"] == e["j"]]
-        # Most pairs are ruled out by bounds, many at a time; the rest is decided one by one.
-        ok = rules.possible(left, right)
-        hit = [(left[a]["g"], left[a]["o"], right[b]["o"]) for a, b in zip(*np.nonzero(np.triu(ok, 1) if same else ok)) if rules.alike(left[a], right[b])]
-        return pd.DataFrame(hit, columns=["g", "a", "b"])
+        at, edge = np.arange(len(pdf)), np.flatnonzero(_begins(pdf))
+        ends = np.repeat(np.append(edge[1:], len(pdf)), np.diff(np.append(edge, len(pdf))))
+        i, j, block = (pdf[c].to_numpy() for c in ("i", "j", "block"))
+        # Each row meets the later ones of its block, or all of the other block, which stand behind it.
+        left = np.add.reduceat((block == i).astype(np.int64), edge)
+        second = np.repeat(edge + left, np.diff(np.append(edge, len(pdf))))
+        first = np.where(i == j, at + 1, np.where(block == i, second, ends))
+        n = ends - first
+        found = []
+        part = np.cumsum(n) // PAIRS
+        for k in range(int(part[-1]) + 1):
+            own = at[part == k]
+            a = np.repeat(own, n[own])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n[own]) - n[own], n[own]) + np.repeat(first[own], n[own])
+            hit = rules.similar(es, a, b)
+            found += [(es[x]["g"], es[x]["o"], es[y]["o"]) for x, y in zip(a[hit].tolist(), b[hit].tolist())]
+        return pd.DataFrame(found, columns=["g", "a", "b"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= ROWS:
+                rows = pd.concat(held, ignore_index=True)
+                done = int(np.flatnonzero(_begins(rows))[-1])  # the last pair of blocks may go on in the next batch
+                if done:
+                    yield pairs_of(rows.iloc[:done])
+                held, n = [rows.iloc[done:]], len(rows) - done
+        if n:
+            yield pairs_of(pd.concat(held, ignore_index=True))
 
     # Little data but much work: a number of partitions keeps adaptive execution from making one task of it all.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(parts, "g", "i", "j").groupBy("g", "i", "j").applyInPandas(compare, f"g {gkind}, a {kind}, b {kind}")
+    return placed.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "block", "o").mapInPandas(compare, f"g {gkind}, a {kind}, b {kind}")
+
+
+def _begins(pdf: pd.DataFrame) -> np.ndarray:
+    """Where a row's pair of blocks is not that of the row before."""
+    return np.logical_or.reduce([(pdf[c] != pdf[c].shift()).to_numpy(bool) for c in ("g", "i", "j")])
 
 
 def fuzzy_consolidate(df: DataFrame, group: str, order: str, threshold: float = 0.85, compat: bool = False) -> DataFrame:
@@ -76,8 +119,8 @@ def fuzzy_consolidate(df: DataFrame, group: str, order: str, threshold: float =
     rules = Rules(threshold, compat)
     rows = prepared(df, group, order)
     links = similar_pairs(rows, threshold, compat)
-    roots = connected_components(links.select("a", "b"))
-    member = rows.join(roots, F.col("o") == F.col("node"), "left").withColumn("c", F.coalesce("component", "o"))
+    roots = written(connected_components(links.select("a", "b")))
+    member = rows.join(roots, F.col("o") == F.col("node")).withColumnRenamed("component", "c")
     v = F.col("value")
     score = (
         F.length(v) * 0.4 + F.when(F.length("comments") > 10, 30).otherwise(0) + F.when(cut_mark(v), 0).otherwise(20) + F.when(F.regexp_like(v, F.lit("[0-9]")), 5).otherwise(0)
@@ -97,7 +140,10 @@ def fuzzy_consolidate(df: DataFrame, group: str, order: str, threshold: float =
     lacks = taught & (F.size("all_years") == 2) & (F.size(F.array_except("all_years", "b.years")) > 0) & ~F.contains(F.col("b.value"), F.col("span"))
     value = F.when(lacks, F.concat("b.value", F.lit(" ("), F.col("span"), F.lit(")"))).otherwise(F.col("b.value"))
     merged = _merge(F.transform("notes", lambda x: x["comments"]), ~taught)
-    return g.select(F.col("g").alias(group), "first_order", (-F.col("b.neg")).alias("best_order"), "n", F.coalesce(merged, F.nullif("b.comments", F.lit(""))).alias("comments"), value.alias("value"))
+    several = g.select(F.col("g").alias(group), "first_order", (-F.col("b.neg")).alias("best_order"), "n", F.coalesce(merged, F.nullif("b.comments", F.lit(""))).alias("comments"), value.alias("value"))
+    # An entry that resembles no other stands for itself.
+    alone = rows.join(roots, F.col("o") == F.col("node"), "left_anti")
+    return several.unionByName(alone.select(F.col("g").alias(group), F.col("o").alias("first_order"), F.col("o").alias("best_order"), F.lit(1).cast("long").alias("n"), F.nullif("comments", F.lit("")).alias("comments"), "value"))
 
 
 def _education_score(k: Column, v: Column) -> Column:
@@ -131,22 +177,26 @@ def deduplicated(df: DataFrame, group: str, order: str, threshold: float = 0.85,
     ``order`` must be unique over all groups. Keys that normalizing leaves too short take no part in the consolidation, but stay.
     """
     one = df.dropDuplicates([group, order])
-    rows = written(valid_entries(one).withColumn("raw_key", F.col("entry_key")))
-    rows = rows.withColumn("was_repaired", F.lit(False))
+    rows = valid_entries(df).withColumn("raw_key", F.col("entry_key"))
+    rows = written(rows.withColumn("entry_key", normalize_key(F.col("entry_key"))))
+    rows = once(rows, rows, group, order).withColumn("was_repaired", F.lit(False))
     fixed = rows
     if repair:
-        whole = repair_marked(rows.withColumn("entry_key", normalize_key(F.col("entry_key"))), group, order).select(F.col(order).alias("_e"), "repaired")
+        whole = written(repair_marked(rows, group, order, unique=True).select(F.col(order).alias("_e"), "repaired"))
         fixed = rows.join(whole, F.col(order) == F.col("_e"), "left").withColumn("was_repaired", F.col("repaired").isNotNull())
         fixed = fixed.withColumn("entry_value", F.coalesce("repaired", "entry_value")).drop("_e", "repaired")
-    fixed = written(fixed.withColumn("entry_key", normalize_key(F.col("entry_key"))))  # read by every step that follows
     kept = fixed
     if fuzzy:
-        best = fuzzy_consolidate(fixed, group, order, threshold).select(F.col("best_order").alias("_b"), F.col("comments").alias("_n"), F.col("value").alias("_v"))
+        best = fuzzy_consolidate(fixed, group, order, threshold)
+        # An entry that stands for itself alone brings nothing it has not got, but for its comments' margins.
+        changed = lambda c: F.when(F.col("n") > 1, F.col(c))
+        best = best.select(F.col("best_order").alias("_b"), changed("comments").alias("_n"), changed("value").alias("_v"), (F.col("n") == 1).alias("_alone"))
         kept = fixed.join(best, F.col(order) == F.col("_b"), "left").filter(F.col("_b").isNotNull() | (F.length("entry_key") < 2))
-        kept = written(kept.withColumn("comments", F.coalesce("_n", "comments")).withColumn("entry_value", F.coalesce("_v", "entry_value")).drop("_b", "_n", "_v"))
-    last = exact_key_dedup(kept, group, order).select(F.col("best_order").alias("_b"), "first_order", F.col("comments").alias("_n"))
+        own = F.when(F.col("_alone"), F.nullif(strip(F.col("comments")), F.lit("")))
+        kept = written(kept.withColumn("comments", F.coalesce("_n", own, "comments")).withColumn("entry_value", F.coalesce("_v", "entry_value")).drop("_b", "_n", "_v", "_alone"))
+    last = exact_key_dedup(kept, group, order, unique=True).select(F.col("best_order").alias("_b"), "first_order", F.col("comments").alias("_n"))
     last = kept.join(last, F.col(order) == F.col("_b")).withColumn("comments", F.coalesce("_n", "comments")).drop("_n", "_b")
-    return {"input": one, "valid": rows, "repaired": fixed, "fuzzy": kept, "exact": last}
+    return {"input": one, "valid": rows.withColumn("entry_key", F.col("raw_key")), "repaired": fixed, "fuzzy": kept, "exact": last}
 
 
 def dedup_stats(df: DataFrame, group: str, order: str, threshold: float = 0.85, fuzzy: bool = True) -> DataFrame:

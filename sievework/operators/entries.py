@@ -60,7 +60,7 @@ def normalize_key(key: Column) -> Column:
     its ordinals kept, where these have meaning. What would be left empty comes back as it was, in lower case. Null is ''.
     """
     raw = strip(F.coalesce(key, F.lit("")))
-    k = F.lower(raw)
+    low = k = F.lower(raw)
     for p in (
         rf"{B}\d+(st|nd|rd|th)?\s*(session|room|track|hall){B}", rf"{B}(session|room|track|hall)\s*[a-z0-9]+{B}",
         rf"{B}\d{{1,2}}:\d{{2}}(\s*(am|pm))?{B}", rf"{B}\d{{1,2}}/\d{{1,2}}(/\d{{2,4}})?{B}",
@@ -69,8 +69,9 @@ def normalize_key(key: Column) -> Column:
     keep = has_ordinal(k)
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(k, f"{B}{ORDINAL}{B}", ""), r"^\d+\s*[-:.]?\s*", ""), r"\s*[-:.]\s*\d+$", "")
     tidy = lambda c: F.regexp_replace(strip(F.regexp_replace(c, r"[\s\p{Z}]+", " ")), r"^[ \-:.,;]+|[ \-:.,;]+$", "")
-    out = F.when(keep, F.initcap(tidy(k))).otherwise(tidy(plain))
-    return F.when(out == "", F.lower(raw)).otherwise(out)
+    # Every pattern asks for a digit or one of these words; most keys have neither.
+    out = F.when(F.regexp_like(low, F.lit("[0-9]|session|room|track|hall")), F.when(keep, F.initcap(tidy(k))).otherwise(tidy(plain))).otherwise(tidy(low))
+    return F.when(out == "", low).otherwise(out)
 
 
 def signature(key: Column, value: Column) -> Column:
@@ -89,15 +90,15 @@ def entry_score(key: Column, value: Column, comments: Column) -> Column:
     return F.when(F.length(strip(F.coalesce(comments, F.lit("")))) > 0, 50).otherwise(0) + F.length(v) + F.when(F.regexp_like(v, F.lit("[0-9]")), 20).otherwise(0) + F.when(cut_mark(v), 0).otherwise(30) + F.length(strip(key)) / 2
 
 
-def exact_key_dedup(df: DataFrame, group: str, order: str, key: str = "entry_key", value: str = "entry_value", comments: str = "comments") -> DataFrame:
+def exact_key_dedup(df: DataFrame, group: str, order: str, key: str = "entry_key", value: str = "entry_value", comments: str = "comments", unique: bool = False) -> DataFrame:
     """One row per group and key (white space and case ignored): the best entry by `entry_score`, the first on a tie.
 
     Result: group, dedup_key, first_order (where the key was first seen), best_order (of the survivor), n and comments: all
-    distinct comments of the key in order, joined with `` | ``. Rows of equal order are one. Null keys count as ''.
+    distinct comments of the key in order, joined with `` | ``. Rows of equal order are one (``unique``: there are none). Null keys count as ''.
     Maxima combine map-side; only distinct comments of a key are held together.
     """
     k = F.lower(strip(F.coalesce(F.col(key), F.lit(""))))
-    rows = df.dropDuplicates([group, order]).withColumn("dedup_key", k)
+    rows = (df if unique else df.dropDuplicates([group, order])).withColumn("dedup_key", k)
     best = F.max(F.struct(entry_score(F.col(key), F.col(value), F.col(comments)).alias("score"), (-F.col(order)).alias("neg")))
     said = strip(F.coalesce(F.col(comments), F.lit("")))
     notes = rows.filter(F.length(said) > 0).groupBy(group, "dedup_key", said.alias("_c")).agg(F.min(order).alias("_o"))
@@ -106,16 +107,16 @@ def exact_key_dedup(df: DataFrame, group: str, order: str, key: str = "entry_key
     return g.join(notes, (F.col(group).eqNullSafe(F.col("_g"))) & (F.col("dedup_key") == F.col("_k")), "left").select(group, "dedup_key", "first_order", (-F.col("b.neg")).alias("best_order"), "n", "comments")
 
 
-def repair_marked(df: DataFrame, group: str, order: str, key: str = "entry_key", value: str = "entry_value") -> DataFrame:
+def repair_marked(df: DataFrame, group: str, order: str, key: str = "entry_key", value: str = "entry_value", unique: bool = False) -> DataFrame:
     """Values that end in dots, made whole by the first longer value of a like key in their group that begins the same.
 
     Keys are alike if they agree up to case and white space or one is within a third of the other's length in edits. Result:
     group, order and repaired value of each value that could be repaired. Candidates meet on group and the first eight
     characters of the stem, so no group is compared with itself as a whole; stems of less than eight characters only meet
-    values with all their characters.
+    values with all their characters. ``unique``: no two rows have one order.
     """
     v, k = strip(F.coalesce(F.col(value), F.lit(""))), F.lower(strip(F.coalesce(F.col(key), F.lit(""))))
-    rows = df.dropDuplicates([group, order]).select(F.col(group).alias("g"), F.col(order).alias("o"), k.alias("k"), v.alias("v"))
+    rows = (df if unique else df.dropDuplicates([group, order])).select(F.col(group).alias("g"), F.col(order).alias("o"), k.alias("k"), v.alias("v"))
     marked = rows.filter(cut_mark(F.col("v")) & (F.length("v") > 3)).withColumn("stem", strip(F.regexp_replace("v", r"[.…]+$", ""))).filter(F.length("stem") > 0)
     marked = marked.withColumn("head", F.lower(F.substring("stem", 1, 8))).withColumn("w", F.length("head"))
     whole = rows.filter(~cut_mark(F.col("v"))).select(F.col("g").alias("g2"), F.col("o").alias("o2"), F.col("k").alias("k2"), F.col("v").alias("v2"))
