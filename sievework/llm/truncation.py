@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sievework.functions.text import is_placeholder
 from sievework.llm.bagminhash import mix
-from sievework.llm.vectext import Tokens, bare_hashes, tokenize
+from sievework.llm.vectext import Tokens, bare_hashes, is_alnum, tokenize
 from sievework.session import written
 
 SHINGLE, BANDS = 5, 2
@@ -40,8 +40,10 @@ _MARK = re.compile(r"(\.\.\.|…|\[\s*…?\s*(\.\.\.)?\s*\]|[^\W\d_]-|\(cont[a-z
 _NOT_A_MARK = re.compile(r"\betc\s*(\.+|…)\s*$", re.IGNORECASE)
 _CLOSED = re.compile(r"[.!?:;)\]\"'»”’。！？][^\w]*$")
 _TAIL = 40
+_STOPS = np.array([ord(x) for x in ".!?"], np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _CUTS = ".!?;|\n"
+_PLACES = 20  # bits of a word's hash by which known words are looked up
 _GAPS = np.zeros(256, np.uint8)
 for _kind, _signs in ((1, ","), (2, ":"), (3, _CUTS)):
     _GAPS[[ord(x) for x in _signs]] = _kind
@@ -57,6 +59,22 @@ def state_of(value: str) -> str:
     return "closed" if _CLOSED.search(tail) else "open"
 
 
+def _states(values: list[str], tok: Tokens) -> np.ndarray:
+    """`state_of` of each text, of most by its last two characters: one that ends with a letter or digit is open, one with a stop
+    behind a letter or digit closed, unless a bracket near its end may begin a mark.
+    """
+    end, size = tok.stops - 1, tok.stops - 1 - tok.starts
+    at = lambda i: tok.codes[np.maximum(end - i, tok.starts)]
+    bracket = np.concatenate([[0], np.cumsum(tok.codes == 40)])
+    plain = (size >= 2) & (bracket[end] == bracket[np.maximum(end - 3 * _TAIL, tok.starts)])
+    last = at(1)
+    is_open, is_closed = plain & is_alnum(last), plain & is_alnum(at(2)) & np.isin(last, _STOPS)
+    out = np.where(is_open, "open", "closed").astype("<U6")
+    for i in np.flatnonzero(~is_open & ~is_closed).tolist():
+        out[i] = state_of(values[i])
+    return out
+
+
 def _values(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
     """id and value of each record that has a value; how many words it has is seen where texts are read."""
     src = df.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"))
@@ -170,7 +188,7 @@ def _band_rows(bands: int):
         opened: set[tuple[int, int]] = set()
         for whole in batches:
             rb, tok = _judged(whole, ALIGNED)
-            state = np.array([state_of(v) for v in rb.column("value").to_pylist()])
+            state = _states(rb.column("value").to_pylist(), tok)
             key = _keys(tok, state == "open")
             # Copies combine here: a text that a task has seen gives no more rows. Forgotten at a bound, as copies do no harm.
             new = np.zeros(len(key), bool)
@@ -246,8 +264,9 @@ def _bucket_pairs(hot: int, least: int = 100_000):
                 at = np.flatnonzero(wide)
                 own = ids.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[1][at]), own, pa.nulls(len(at), own.type), pa.array(cols[0][at])], ["cut", "cut_id", "full_id", "bucket"])
-            # A text comes once for each task that has read it.
+            # A text comes once for each task that has read it. Keys are put in order here, as a sort by one number alone costs the JVM much less.
             plain = np.flatnonzero(~wide)
+            plain = plain[np.lexsort((cols[1][plain], cols[0][plain]))]
             new = np.append(True, (cols[0][plain][1:] != cols[0][plain][:-1]) | (cols[1][plain][1:] != cols[1][plain][:-1])) if len(plain) else np.zeros(0, bool)
             plain = plain[new]
             a, b = _meet(*(x[plain] for x in cols))
@@ -354,10 +373,46 @@ def _sentence_ends_after(text: str, i: int) -> bool:
     return any(x in gap for x in _CUTS)
 
 
+def _next_words(tok: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Of each three words with a fourth behind them in their text, the text and a hash that tells of the fourth its first letter alone."""
+    if len(tok.hash) < 4:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    three = mix(mix(tok.hash[:-3] * _P + tok.hash[1:-2]) * _P + tok.hash[2:-1])
+    at = np.flatnonzero(tok.text[:-3] == tok.text[3:])
+    return tok.text[at], mix(three[at] * _P + tok.codes[tok.begin[at + 3]].astype(np.uint64))
+
+
+def _may_end_early(cuts: list[str], fulls: list[str]) -> np.ndarray:
+    """Which pairs `ends_early` can hold for: somewhere in the longer text the cut one's last three complete words stand together,
+    before a word of the same first letter as its last.
+    """
+    (cuts, nth), (fulls, mth) = _different(cuts), _different(fulls)
+    text, own = _next_words(tokenize(cuts))
+    last = np.flatnonzero(np.append(text[1:] != text[:-1], True)[: len(text)])
+    need, has = np.zeros(len(cuts), np.uint64), np.zeros(len(cuts), bool)
+    need[text[last]], has[text[last]] = own[last], True
+    text, held = _next_words(tokenize(fulls))
+    # Each pair with all places of its longer text.
+    first = np.searchsorted(text, np.arange(len(fulls) + 1))
+    n = np.diff(first)[mth]
+    pair = np.repeat(np.arange(len(nth)), n)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[mth], n)
+    out = np.zeros(len(nth), bool)
+    out[pair[held[at] == need[nth][pair]]] = True
+    return out & has[nth]
+
+
+def _different(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The different ones of ``texts``, and which of them each is."""
+    place: dict[str, int] = {}
+    nth = np.array([place.setdefault(t, len(place)) for t in texts], np.int64)
+    return list(place), nth
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         c, a, b = (rb.column(x).to_pylist() for x in ("cut", "cut_value", "full_value"))
-        hit = [x for x, s, t in zip(c, a, b) if ends_early(s, t)]
+        hit = [c[i] for i in np.flatnonzero(_may_end_early(a, b)).tolist() if ends_early(a[i], b[i])]
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], ["key"])
 
 
@@ -365,14 +420,16 @@ def aligned(values: DataFrame, bands: int = BANDS, hot: int = HOT) -> DataFrame:
     """``key`` of the open values that end early against a longer near-copy, each once."""
     kind = values.schema["id"].dataType.simpleString()
     rows = values.mapInArrow(_band_rows(bands), f"bucket long, key long, words int, held long, tail int, id {kind}")
-    found = written(rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_bucket_pairs(hot), f"cut long, cut_id {kind}, full_id {kind}, bucket long"))
+    found = written(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(hot), f"cut long, cut_id {kind}, full_id {kind}, bucket long"))
     pairs = found.filter("bucket is null").select("cut", "cut_id", "full_id")
     hot_rows = found.filter("bucket is not null")
     if hot_rows.limit(1).count():
         pairs = pairs.unionByName(_hot_pairs(hot_rows, values))
     pairs = pairs.groupBy("cut", "full_id").agg(F.min("cut_id").alias("cut_id"))
     text = lambda name: values.select(F.col("id").alias(f"{name}_id"), F.col("value").alias(f"{name}_value"))
-    both = pairs.join(text("cut"), "cut_id").join(text("full"), "full_id")
+    # Many texts are finished in a way that shows at once (see `state_of`), so they need not be moved to be met as cut ones.
+    finished = F.regexp_like(F.substring("cut_value", -2, 2), F.lit(r"^[A-Za-z0-9][.!?]\z")) & ~F.contains("cut_value", F.lit("("))
+    both = pairs.join(text("cut").filter(~finished), "cut_id").join(text("full"), "full_id")
     return both.select("cut", "cut_value", "full_value").mapInArrow(_align, "key long").distinct()
 
 
@@ -380,14 +437,32 @@ def aligned(values: DataFrame, bands: int = BANDS, hot: int = HOT) -> DataFrame:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with the number of their occurrences that are followed by something, summed up per batch; '' counts records."""
+    """Words with the number of their occurrences that are followed by something, summed up per task; '' counts records."""
+    words: dict[int, str] = {}
+    held, records = [], 0
+
+    def sum_up() -> pa.RecordBatch:
+        x = np.concatenate(held, axis=1)
+        at, key = pd.factorize(x[0])
+        n = np.bincount(at, x[1], len(key)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(["", *map(words.__getitem__, key.tolist())], pa.string()), pa.array(np.append(records, n))], ["word", "n"])
+
     for whole in batches:
         rb, tok = _judged(whole, MIN_RUNS)
         inner = np.flatnonzero((np.diff(tok.text, append=-1) == 0) & (tok.codes[tok.begin] > 57)) if len(tok.begin) else np.zeros(0, int)
         code, uniq = pd.factorize(tok.hash[inner].view(np.int64))
         at, n = np.zeros(len(uniq), np.int64), np.bincount(code, minlength=len(uniq))
         at[code[::-1]] = np.arange(len(code))[::-1]
-        yield pa.RecordBatch.from_arrays([pa.array(["", *(tok.string(i) for i in inner[at])], pa.string()), pa.array(np.append(rb.num_rows, n).astype(np.int64))], ["word", "n"])
+        # A word is made a string once a task, as most come again with each batch.
+        words.update((h, tok.string(i)) for h, i in zip(uniq.tolist(), inner[at].tolist()) if h not in words)
+        held.append(np.vstack([uniq, n]))
+        records += rb.num_rows
+        if len(words) > 200_000 or len(held) > 400:
+            yield sum_up()
+            words.clear()
+            held, records = [], 0
+    if held:
+        yield sum_up()
 
 
 def vocabulary(values: DataFrame) -> tuple[dict[str, int], int]:
@@ -408,15 +483,32 @@ class Endings:
         self.known = tok.hash[order]
         share = np.array([0 if w.isdigit() else vocab[w] / max(total, 1) for w in words])[order] if words else np.zeros(0)
         self.cls = np.where(share >= FRAME, self.known, np.uint64(1))
-        self.vocab = vocab
-        self.prefixes = {w[:i] for w in words if w.isalpha() for i in range(1, len(w))}
+        self.places = np.zeros(1 << _PLACES, np.int32)
+        self.places[(self.known >> np.uint64(64 - _PLACES)).astype(np.int64)[::-1]] = np.arange(len(self.known), dtype=np.int32)[::-1]
+        self.crowded = np.flatnonzero(np.diff(self.known >> np.uint64(64 - _PLACES), prepend=np.uint64(0)) == 0) if len(self.known) else np.zeros(0, np.int64)
+        beginnings = tokenize(sorted({w[:i] for w in words if w.isalpha() for i in range(1, len(w))})).hash
+        self.beginnings = np.setdiff1d(beginnings, self.known)
+
+    def places_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Where in ``known`` each word would be found: by the first bits of its hash, and by search for known words that share these."""
+        at = self.places[hashes >> np.uint64(64 - _PLACES)]
+        if len(self.crowded):
+            other = self.known[self.crowded]
+            i = np.minimum(np.searchsorted(other, hashes), len(other) - 1)
+            at = np.where(other[i] == hashes, self.crowded[i], at)
+        return at
+
+    def partial(self, hashes: np.ndarray) -> np.ndarray:
+        """True for words that known words of letters begin with and that are none themselves."""
+        i = np.minimum(np.searchsorted(self.beginnings, hashes), max(len(self.beginnings) - 1, 0))
+        return self.beginnings[i] == hashes if len(self.beginnings) else np.zeros(len(hashes), bool)
 
     def classes(self, tok: Tokens) -> np.ndarray:
         """Words of the frame are themselves, other known words one class, unknown ones another, numbers one per length."""
         n = len(tok.hash)
         if n == 0:
             return np.zeros(0, np.uint64)
-        at = np.minimum(np.searchsorted(self.known, tok.hash), max(len(self.known) - 1, 0))
+        at = self.places_of(tok.hash)
         hit = self.known[at] == tok.hash if len(self.known) else np.zeros(n, bool)
         c = np.where(hit, self.cls[at] if len(self.known) else np.uint64(1), np.uint64(2))
         digit = (tok.codes[tok.begin] >= 48) & (tok.codes[tok.begin] <= 57)
@@ -496,14 +588,13 @@ def _read(vocab: dict[str, int], total: int, kind: pa.DataType):
                 if held[0].shape[1] > 1_000_000:
                     yield counts()
             values = rb.column("value").to_pylist()
-            state = np.array([state_of(v) for v in values])
+            state = _states(values, tok)
             # Of one word, a hyphen at its end is part of a code or grade, and nothing else tells.
             for i in np.flatnonzero((n < LEAST) & (state != "closed")):
                 state[i] = "closed" if state[i] == "open" or values[i].rstrip().endswith("-") else "marked"
             pick = np.flatnonzero(state != "closed")
             last = (tok.first()[1:] - 1)[pick]
-            words = [tok.string(i) for i in last]
-            partial = [w.isalpha() and w not in e.vocab and w in e.prefixes for w in words]
+            partial = e.partial(tok.hash[last])
             far = (n[pick] >= ALIGNED).astype(np.uint64)  # of shorter values no ending is looked up
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(pick) * len(ctx) + 1, len(ctx), dtype=np.int32)), pa.array(np.stack([c[last] * far for c in ctx], axis=1).ravel().view(np.int64)))
             yield rows(len(pick), id=rb.column("id").take(pa.array(pick)), key=pa.array(_keys(tok, state == "open")[pick]), state=pa.array(state[pick].tolist(), pa.string()), partial=pa.array(partial, pa.bool_()), ctxs=lists)
@@ -536,10 +627,14 @@ def truncated(df: DataFrame, id_col: str = "entry_id", value_col: str = "entry_v
     vocab, total = vocabulary(values)
     read = written(values.mapInArrow(_read(vocab, total, to_arrow_type(kind)), _READ.format(kind.simpleString())))
     counts = read.filter("ctx is not null").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).filter(F.col("n") >= SEEN)
-    opened = read.filter("state = 'open'").select("id", "key", "partial", "ctxs")
-    ends = opened.select("id", "key", "partial", F.posexplode("ctxs").alias("o", "ctx")).join(counts, "ctx", "left")
+    lists = [f"c{i}" for i in range(len(ORDERS))]
+    opened = read.filter("state = 'open'").select("id", "key", "partial", *(F.col("ctxs")[i].alias(c) for i, c in enumerate(lists)))
+    # Many texts end alike: each list of contexts is looked up once. Its first, the longest, tells it from all others.
+    once = opened.select(lists).distinct()
+    ends = once.select(*lists, F.posexplode(F.array(*lists)).alias("o", "ctx")).join(counts, "ctx")
     # The longest context that was seen often enough decides.
-    best = ends.groupBy("id", "key", "partial").agg(F.min(F.when(F.col("n").isNotNull(), F.struct("o", (F.col("ends") / F.col("n")).alias("share")))).alias("b"))
+    best = ends.groupBy(*lists).agg(F.min(F.struct("o", (F.col("ends") / F.col("n")).alias("share"))).alias("b"))
+    best = opened.join(best, lists, "left").select("id", "key", "partial", "b")
     copies = aligned(values).withColumn("copy", F.lit(True))
     rare = F.col("b.share") < F.when(F.col("b.o") == len(ORDERS) - 1, TERMINALITY_OF_ONE).otherwise(TERMINALITY)
     why = F.when(F.col("copy"), "copy").when(F.col("partial"), "word").when(rare, "ending")
